@@ -254,4 +254,5 @@ def mixed_sources(*inputs: DataFrame) -> DataFrame:
     sources = inputs[0].select("source")
     for other in inputs[1:]:
         sources = sources.unionByName(other.select("source"))
-    return sources.agg(F.collect_set("source").alias("sources")).where(F.size("sources") > 1)
+    found = sources.agg(F.min("source").alias("first"), F.max("source").alias("last"))
+    return found.where("first <> last")
