@@ -1,6 +1,6 @@
 """Registered queries over the driver tables, by subject."""
 
-from vitalgrid.plans import contract, decode, gates, structure  # noqa: F401
+from vitalgrid.plans import contract, decode, gates, sources, structure  # noqa: F401
 from vitalgrid.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
