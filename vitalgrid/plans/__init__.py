@@ -1,6 +1,16 @@
 """Registered queries over the driver tables, by subject."""
 
-from vitalgrid.plans import contract, decode, gates, mortality, sources, structure  # noqa: F401
+from vitalgrid.plans import (
+    contract,
+    decode,
+    gates,
+    models,
+    mortality,
+    presentation,
+    sources,
+    structure,
+    timeseries,
+)  # noqa: F401
 from vitalgrid.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
