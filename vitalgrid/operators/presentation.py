@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitalgrid.functions.decode import parse_age
@@ -377,12 +377,8 @@ def extremes(rows: DataFrame, layout: DataFrame, by: Sequence[str]) -> DataFrame
             F.min(F.when(value == F.col("lowest"), geo)).alias("lowest_area"),
         )
     )
-    size = layout.agg(F.count("*").alias("_areas"))
-    return (
-        sides.join(size)
-        .withColumn("missing", F.col("_areas") - F.col("_n"))
-        .drop("_n", "_areas")
-    )
+    areas = layout.agg(F.count("*")).scalar()
+    return sides.withColumn("missing", areas - F.col("_n")).drop("_n")
 
 
 def symbol_sizes(rows: DataFrame, by: Sequence[str], max_radius: float = 28.0) -> DataFrame:
@@ -419,13 +415,9 @@ def tile_violations(rows: DataFrame, layout: DataFrame, focus: str) -> DataFrame
     return shared.unionByName(missing)
 
 
-def styles(spark: SparkSession) -> DataFrame:
-    """How each nature and status is drawn: a dimension of fixed size."""
+def with_style(obs: DataFrame) -> DataFrame:
+    """Rows with how they are drawn, from two dimensions of fixed size."""
+    spark = obs.sparkSession
     natures = values_frame(spark, ("nature", "dash", "band", "color"), NATURE_STYLE)
     statuses = values_frame(spark, ("status", "drawn", "hollow"), STATUS_STYLE)
-    return natures.join(statuses)
-
-
-def with_style(obs: DataFrame) -> DataFrame:
-    """Rows with how they are drawn."""
-    return obs.join(styles(obs.sparkSession), ["nature", "status"])
+    return obs.join(natures, "nature").join(statuses, "status")

@@ -15,8 +15,11 @@ from vitalgrid.plans.views import (
     LAST_AGE,
     age_label,
     cells,
+    cells_table,
     death_rates,
+    death_rates_of,
     fertility_rates,
+    fertility_rates_of,
     order_geo,
     sql,
     table,
@@ -82,9 +85,9 @@ CLASS_SQL = """(CASE WHEN {x} BETWEEN 15 AND 19 THEN '15-19'
     WHEN {x} BETWEEN 40 AND 44 THEN '40-44' ELSE CAST({x} AS VARCHAR) END)"""
 
 
-def female_q(spark: SparkSession, sf: str) -> DataFrame:
+def female_q(rows: DataFrame) -> DataFrame:
     m = F.col("m")
-    rates = death_rates(spark, sf).where("sex = 'female'")
+    rates = death_rates_of(rows).where("sex = 'female'")
     return rates.select("geo_code", "period", "x", (m / (1 + 0.5 * m)).alias("q"))
 
 
@@ -107,7 +110,7 @@ pyears AS (
     ),
 )
 def survivors(spark: SparkSession, sf: str) -> DataFrame:
-    out = lt.survivors_from_q(female_q(spark, sf), ("geo_code", "period"), CLASSES)
+    out = lt.survivors_from_q(female_q(cells(spark, sf)), ("geo_code", "period"), CLASSES)
     return out.select("geo_code", "period", "age", F.round("person_years", 9).alias("person_years"))
 
 
@@ -135,16 +138,12 @@ def threshold(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(*KEYS, r6("threshold", "threshold"))
 
 
-def single_population(spark: SparkSession, sf: str) -> DataFrame:
-    return (
-        cells(spark, sf)
-        .where("q_known IS NOT NULL")
-        .select(
-            *KEYS,
-            F.col("a").alias("x"),
-            (F.col("a") == LAST_AGE).alias("is_open"),
-            F.col("q_known").alias("value"),
-        )
+def single_population(rows: DataFrame) -> DataFrame:
+    return rows.where("q_known IS NOT NULL").select(
+        *KEYS,
+        F.col("a").alias("x"),
+        (F.col("a") == LAST_AGE).alias("is_open"),
+        F.col("q_known").alias("value"),
     )
 
 
@@ -163,8 +162,9 @@ def single_population(spark: SparkSession, sf: str) -> DataFrame:
     ),
 )
 def prospective(spark: SparkSession, sf: str) -> DataFrame:
-    limits = lt.old_age_threshold(tables(spark, sf), KEYS)
-    out = lt.prospective_ratio(single_population(spark, sf), limits)
+    rows = cells_table(spark, sf)
+    limits = lt.old_age_threshold(lt.life_table(death_rates_of(rows), KEYS, A0), KEYS)
+    out = lt.prospective_ratio(single_population(rows), limits)
     return out.select("geo_code", "period", r6("value"))
 
 
@@ -202,19 +202,16 @@ def arriaga(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def women(spark: SparkSession, sf: str) -> DataFrame:
-    return (
-        cells(spark, sf)
-        .where("sex = 'female' AND q_known IS NOT NULL")
-        .select("geo_code", "period", F.col("a").alias("x"), F.col("q_known").alias("value"))
+def women(rows: DataFrame) -> DataFrame:
+    return rows.where("sex = 'female' AND q_known IS NOT NULL").select(
+        "geo_code", "period", F.col("a").alias("x"), F.col("q_known").alias("value")
     )
 
 
-def births_by_class(spark: SparkSession, sf: str) -> DataFrame:
-    """Births by mother's age class, where every age of the class has a cell."""
+def births_by_class(rows: DataFrame) -> DataFrame:
+    """Births by mother's age class."""
     return (
-        cells(spark, sf)
-        .withColumn("age", fe.class_of(CLASSES, "a"))
+        rows.withColumn("age", fe.class_of(CLASSES, "a"))
         .where("age IS NOT NULL AND sex = 'female'")
         .groupBy("geo_code", "period", "age")
         .agg(F.sum("n_n").cast("double").alias("value"))
@@ -251,8 +248,8 @@ bir AS (SELECT geo_code, y, {CLASS_SQL.format(x="a")} AS age, sum(n_n) AS n FROM
     ),
 )
 def kitagawa(spark: SparkSession, sf: str) -> DataFrame:
-    mean = fe.mean_women(women(spark, sf), CLASSES)
-    out = fe.births_change(births_by_class(spark, sf), mean)
+    rows = cells_table(spark, sf)
+    out = fe.births_change(births_by_class(rows), fe.mean_women(women(rows), CLASSES))
     return out.select("geo_code", "period", "age", "part", r6("value"), "change")
 
 
@@ -362,10 +359,10 @@ def mean_age_gate(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("geo_code", "period", "order", r6("mean_age", "mean_age"))
 
 
-def class_rates(spark: SparkSession, sf: str) -> DataFrame:
+def class_rates(rows: DataFrame) -> DataFrame:
     """Mean fertility rate of each age class with all its ages."""
     return (
-        fertility_rates(spark, sf)
+        fertility_rates_of(rows)
         .withColumn("age", fe.class_of(CLASSES))
         .groupBy("geo_code", "period", "age")
         .agg(F.avg("f").alias("rate"), F.count("*").alias("n"))
@@ -405,18 +402,18 @@ def class_rates(spark: SparkSession, sf: str) -> DataFrame:
     ),
 )
 def reproduction(spark: SparkSession, sf: str) -> DataFrame:
-    c = cells(spark, sf)
+    c = cells_table(spark, sf)
     births = c.groupBy("geo_code", "period").agg(F.sum("n_n").alias("value"))
     girls = c.groupBy("geo_code", "period").agg(
         F.try_divide(F.sum(F.when(F.col("sex") == "female", F.col("n_n"))), F.sum("n_n")).alias(
             "girls"
         )
     )
-    lived = lt.survivors_from_q(female_q(spark, sf), ("geo_code", "period"), CLASSES)
+    lived = lt.survivors_from_q(female_q(c), ("geo_code", "period"), CLASSES)
     out = fe.reproduction_rates(
         births,
-        fe.mean_women(women(spark, sf), CLASSES),
-        class_rates(spark, sf),
+        fe.mean_women(women(c), CLASSES),
+        class_rates(c),
         girls,
         lived,
         WIDTHS,
@@ -427,7 +424,7 @@ def reproduction(spark: SparkSession, sf: str) -> DataFrame:
 
 def migration_terms(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Population, deaths and births of the cells as the three tables of the residual."""
-    c = cells(spark, sf)
+    c = cells_table(spark, sf)
     flags = {
         "provisional": F.col("period") == "2001",
         "break_in_series": F.col("period") == "1998",
@@ -518,7 +515,7 @@ def total_gate(spark: SparkSession, sf: str) -> DataFrame:
     ),
 )
 def economic(spark: SparkSession, sf: str) -> DataFrame:
-    c = cells(spark, sf)
+    c = cells_table(spark, sf)
     keys = ("geo_code", "period")
     old = c.where("a >= 35").groupBy(*keys).agg(F.sum("q_known").alias("value"))
     active = c.where("a >= 35").groupBy(*keys).agg((F.sum("n_r") / 1000).alias("value"))

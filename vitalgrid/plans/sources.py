@@ -14,6 +14,7 @@ from vitalgrid.plans.views import (
     FIRST_YEAR,
     LAST_YEAR,
     cells,
+    cells_table,
     nation_cells,
     population,
     sql,
@@ -469,7 +470,7 @@ def null_safe(spark: SparkSession, sf: str) -> DataFrame:
 def bands_below(spark: SparkSession, sf: str) -> DataFrame:
     keys = ("geo_code", "period", "sex")
     hi = F.when(F.col("a") < 40, F.col("a"))
-    rows = cells(spark, sf).select(*keys, F.col("a").alias("lo"), hi.alias("hi"))
+    rows = cells_table(spark, sf).select(*keys, F.col("a").alias("lo"), hi.alias("hi"))
     out = joins.bands_below_open(rows, keys)
     return out.groupBy(*keys, "open").agg(F.count("*").alias("bands"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitalgrid.operators import timeseries as ts
@@ -63,28 +63,35 @@ def excess(spark: SparkSession, sf: str) -> DataFrame:
 def monthly_orders(spark: SparkSession, sf: str) -> DataFrame:
     """Orders per area, year and month, July 2001 the last; the published total of complete
     years, one too high in W3 1997; one of unknown month in W4 1998."""
-    nation = (
+    geo, y, m = F.col("geo_code"), F.col("y"), F.col("m")
+    code = F.concat(F.lit("M"), F.lpad(m.cast("string"), 2, "0"))
+    n = F.col("n").cast("double")
+    extra = F.when((geo == "W3") & (y == 1997) & (m == 1), 1.0).otherwise(0.0)
+
+    def row(month: Column, value: Column) -> Column:
+        return F.struct(month.alias("month"), value.alias("value"))
+
+    rows = F.array_compact(
+        F.array(
+            row(code, n),
+            F.when(y < 2001, row(F.lit("TOTAL"), n + extra)),
+            F.when((geo == "W4") & (y == 1998) & (m == 1), row(F.lit("UNK"), F.lit(1.0))),
+        )
+    )
+    by_month = (
         order_geo(spark, sf)
         .groupBy("geo_code", F.year("o_orderdate").alias("y"), F.month("o_orderdate").alias("m"))
         .agg(F.count("*").alias("n"))
         .where("NOT (y = 2001 AND m > 7)")
         .withColumn("geo_code", F.explode(ancestors()))
-        .withColumn("month", F.concat(F.lit("M"), F.lpad(F.col("m").cast("string"), 2, "0")))
-        .withColumn(
-            "month",
-            F.explode(
-                F.when(F.col("y") < 2001, F.array("month", F.lit("TOTAL"))).otherwise(F.array("month"))
-            ),
-        )
-        .groupBy("geo_code", "y", "month")
-        .agg(F.sum("n").cast("double").alias("value"))
+        .groupBy("geo_code", "y", "m")
+        .agg(F.sum("n").alias("n"))
     )
-    geo, y, total = F.col("geo_code"), F.col("y"), F.col("month") == "TOTAL"
-    off = F.when((geo == "W3") & (y == 1997) & total, 1.0).otherwise(0.0)
-    unknown = nation.where((geo == "W4") & (y == 1998) & total).withColumns(
-        {"month": F.lit("UNK"), "value": F.lit(1.0)}
+    return (
+        by_month.select("geo_code", "y", F.inline(rows))
+        .groupBy("geo_code", "y", "month")
+        .agg(F.sum("value").alias("value"))
     )
-    return nation.withColumn("value", F.col("value") + off).unionByName(unknown)
 
 
 MONTH_SQL = """

@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vitalgrid.functions.frames import written
+
 FIRST_YEAR, LAST_YEAR = 1995, 2001
 LAST_AGE = 49  # ages 0-48 and the open class 49+
 PROVENANCE = {
@@ -110,6 +112,12 @@ def cells(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def cells_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The cells written once, for queries that read them in several ways: their filters and
+    columns differ, so Spark could not share the exchange and would scan lineitem each time."""
+    return written(cells(spark, sf), "cells")
+
+
 def age_label(a: Column | str = "a") -> Column:
     c = F.col(a) if isinstance(a, str) else a
     return F.concat(c.cast("string"), F.when(c == LAST_AGE, "+").otherwise(""))
@@ -162,9 +170,13 @@ def population(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def death_rates(spark: SparkSession, sf: str) -> DataFrame:
+    return death_rates_of(cells(spark, sf))
+
+
+def death_rates_of(cells: DataFrame) -> DataFrame:
     """Death rates by area, year, sex and age index, only where every age is present."""
     m = 0.0009 * F.exp(0.14 * F.col("a")) * (F.col("n_r") + 0.5) / (F.col("n_all") + 1)
-    rates = cells(spark, sf).select("geo_code", "period", "sex", F.col("a").alias("x"), m.alias("m"))
+    rates = cells.select("geo_code", "period", "sex", F.col("a").alias("x"), m.alias("m"))
     return complete_ages(rates, ("geo_code", "period", "sex"), LAST_AGE + 1)
 
 
@@ -177,10 +189,13 @@ def complete_ages(df: DataFrame, group: tuple[str, ...], n: int) -> DataFrame:
 
 
 def fertility_rates(spark: SparkSession, sf: str) -> DataFrame:
-    """Fertility rate by area, year and age 15-44, both lines of status together."""
+    return fertility_rates_of(cells(spark, sf))
+
+
+def fertility_rates_of(cells: DataFrame) -> DataFrame:
+    """Fertility rate by area, year and age 15-44, both sexes' lines together."""
     return (
-        cells(spark, sf)
-        .where(F.col("a").between(15, 44))
+        cells.where(F.col("a").between(15, 44))
         .groupBy("geo_code", "period", F.col("a").alias("x"))
         .agg((0.05 * F.sum("n_n") / (F.sum("n_all") + 1)).alias("f"))
     )
