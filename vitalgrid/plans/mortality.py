@@ -260,9 +260,10 @@ def order_births(spark: SparkSession, sf: str) -> DataFrame:
     """Births (lines not returned or accepted) by age 15-44 and order, with zeros."""
     from vitalgrid.plans.views import ancestors
 
-    orders = order_geo(spark, sf).select(
+    orders = order_geo(
+        spark,
+        sf,
         F.col("o_orderkey").alias("l_orderkey"),
-        "geo_code",
         F.year("o_orderdate").alias("y"),
         F.col("o_orderpriority").alias("order"),
     )
