@@ -4,6 +4,7 @@ from vitalgrid.plans import (
     contract,
     decode,
     gates,
+    indicators,
     models,
     mortality,
     presentation,
