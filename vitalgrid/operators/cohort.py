@@ -53,7 +53,7 @@ def boys_share(inputs: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Share of boys among births, from the births of each sex that give the population aged
     0 on the next 1 January (``p_next``) under m and g."""
     m = F.col("m")
-    born = (F.col("p_next") * (1 + m / 4) - F.col("g")) / (1 - m / 4)
+    born = F.try_divide(F.col("p_next") * (1 + m / 4) - F.col("g"), 1 - m / 4)
     return (
         inputs.where("x = 0 AND p_next IS NOT NULL")
         .groupBy(*keys)
@@ -98,7 +98,7 @@ def population_momentum(
     everyone = Window.partitionBy(*keys, "sex")
     x, survival, girls = F.col("x"), F.col("_l"), 1 - boys
     bearing = F.coalesce(F.when(_sex("female"), F.col("f") * (F.col("_l1") + survival) / 2), F.lit(0.0))
-    open_class = F.col("_l1") * F.col("s") / (1 - F.col("s"))
+    open_class = F.try_divide(F.col("_l1") * F.col("s"), 1 - F.col("s"))
     lived = F.when(x == last, open_class).otherwise(survival)
 
     def total(sex: str, column: Column) -> Column:
@@ -109,7 +109,7 @@ def population_momentum(
         .withColumn("_l1", F.lag("_l").over(ages))
         .withColumn("_h", bearing)
         .withColumn("_h", F.try_divide("_h", girls * F.sum("_h").over(everyone)))
-        .withColumn("_value", girls * F.coalesce(F.sum("_h").over(later), F.lit(0.0)) / survival)
+        .withColumn("_value", F.try_divide(girls * F.coalesce(F.sum("_h").over(later), F.lit(0.0)), survival))
         .groupBy(*keys)
         .agg(
             total("female", F.col("p") * F.col("_value")).alias("_worth"),
@@ -126,7 +126,7 @@ def population_momentum(
     men = F.col("_girls_born") * F.col("_boys") / (1 - F.col("_boys")) * F.col("_m")
 
     def ratio(sex: str, ultimate: Column, now: Column) -> Column:
-        return F.struct(F.lit(sex).alias("sex"), (ultimate / now).alias("value"))
+        return F.struct(F.lit(sex).alias("sex"), F.try_divide(ultimate, now).alias("value"))
 
     rows = F.array(
         ratio("female", women, F.col("female")),

@@ -184,40 +184,25 @@ def bands(obs: DataFrame, series: Sequence[str] = SERIES) -> DataFrame:
 
 def first_last(obs: DataFrame, series: Sequence[str] = SERIES) -> DataFrame:
     """First and last value of each series with their natures, and the 95 % bounds of the
-    last."""
-    row = F.struct("period", "value", "nature")
-    valued = F.col("value").isNotNull()
-    shown = F.col("interval").isNull() & valued
+    last. Bounds meet their central value per period first, so no group is collected."""
 
-    def bound(side: str) -> Column:
-        here = (F.col("interval") == f"95_{side}") & valued
-        return F.collect_list(F.when(here, F.struct("period", "value")))
+    def of(interval: str | None, column: str) -> Column:
+        same = F.col("interval").eqNullSafe(F.lit(interval).cast("string"))
+        return F.max(F.when(same, F.col(column)))
 
-    def at_last(column: str) -> Column:
-        same = F.filter(column, lambda b: b["period"] == F.col("_b.period"))
-        return F.get(same, F.lit(0))["value"]
-
-    return (
-        obs.groupBy(*series)
-        .agg(
-            F.min(F.when(shown, row)).alias("_a"),
-            F.max(F.when(shown, row)).alias("_b"),
-            bound("lower").alias("_lower"),
-            bound("upper").alias("_upper"),
-        )
-        .where("_a IS NOT NULL")
-        .select(
-            *series,
-            F.col("_a.period").alias("first_period"),
-            F.col("_a.value").alias("first_value"),
-            F.col("_a.nature").alias("first_nature"),
-            F.col("_b.period").alias("last_period"),
-            F.col("_b.value").alias("last_value"),
-            F.col("_b.nature").alias("last_nature"),
-            at_last("_lower").alias("lower"),
-            at_last("_upper").alias("upper"),
-        )
+    periods = obs.groupBy(*series, "period").agg(
+        of(None, "value").alias("value"),
+        of(None, "nature").alias("nature"),
+        of("95_lower", "value").alias("lower"),
+        of("95_upper", "value").alias("upper"),
+    )
+    row = F.struct("period", "value", "nature", "lower", "upper")
+    ends = periods.where("value IS NOT NULL").groupBy(*series).agg(
+        F.min(row).alias("first"), F.max(row).alias("last")
     )
+    sides = [F.col(f"{e}.{c}").alias(f"{e}_{c}") for e in ("first", "last")
+             for c in ("period", "value", "nature")]
+    return ends.select(*series, *sides, "last.lower", "last.upper")
 
 
 def last_observed(obs: DataFrame, keys: Sequence[str] = ("geo_code",)) -> DataFrame:

@@ -62,7 +62,7 @@ def excess_over_baseline(
         .select(
             *keys,
             F.date_format("month", "yyyy-MM").alias("period"),
-            (100 * (F.col("value") - F.col("_base")) / F.col("_base")).alias("value"),
+            (100 * F.try_divide(F.col("value") - F.col("_base"), F.col("_base"))).alias("value"),
         )
     )
 
@@ -98,12 +98,12 @@ def _pairs(cumulative: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def _estimate() -> Column:
-    return F.col("b.total") * F.col("cum") / F.col("b.cum")
+    return F.try_divide(F.col("b.total") * F.col("cum"), F.col("b.cum"))
 
 
 def nowcast_backtest(cumulative: DataFrame, keys: Sequence[str] = ("geo_code",)) -> DataFrame:
     """Relative error of the estimate from k months, for past clean pairs of years."""
-    error = _estimate() / F.col("total") - 1
+    error = F.try_divide(_estimate(), F.col("total")) - 1
     return (
         _pairs(cumulative, keys)
         .where("clean AND k <= 11")

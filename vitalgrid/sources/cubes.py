@@ -18,7 +18,7 @@ DOCUMENT = """
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """Cube files of a folder, one document a row: (doc_id, json)."""
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     return files.select(F.col("_metadata.file_name").alias("doc_id"), F.col("value").alias("json"))
 
 
