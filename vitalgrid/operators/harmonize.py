@@ -58,6 +58,17 @@ def attach_definition(df: DataFrame, definitions: DataFrame) -> DataFrame:
     )
 
 
+def definition_columns(definitions: DataFrame, definition_id: str) -> dict[str, Column]:
+    """Id, metric and unit of one definition as columns: scalar subqueries, since a join on a
+    constant would be a nested loop."""
+    one = definitions.where(F.col("definition_id") == definition_id)
+    return {
+        "definition_id": F.lit(definition_id),
+        "metric": one.select("metric").scalar(),
+        "unit": one.select("unit").scalar(),
+    }
+
+
 def with_constants(df: DataFrame, **constants: object) -> DataFrame:
     """Breakdowns and provenance that a source gives in its code instead of a column."""
     return df.withColumns({k: F.lit(v) for k, v in constants.items()})

@@ -39,8 +39,9 @@ class Indicator:
 def compute(indicator: Indicator, tables: Mapping[str, DataFrame], definitions: DataFrame) -> DataFrame:
     """The indicator as observations of nature derived."""
     values = indicator.formula({name: tables[name] for name in indicator.inputs})
-    rows = values.withColumn("definition_id", F.lit(indicator.definition_id))
-    return to_observations(rows, definitions, indicator.transform_version)
+    return to_observations(
+        values, definitions, indicator.transform_version, definition_id=indicator.definition_id
+    )
 
 
 def check(

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitalgrid.functions import decode as d
-from vitalgrid.operators.harmonize import attach_definition
+from vitalgrid.operators.harmonize import attach_definition, definition_columns
 from vitalgrid.schema import OBSERVATION
 from vitalgrid.sources.cubes import prefix_filter, select_slice
 
@@ -18,17 +18,29 @@ SEX_CODES = {"T": "total", "M": "male", "F": "female"}
 
 
 def to_observations(
-    df: DataFrame, definitions: DataFrame, transform_version: str, nature: str = "derived", **constants: object
+    df: DataFrame,
+    definitions: DataFrame,
+    transform_version: str,
+    nature: str = "derived",
+    definition_id: str | None = None,
+    **constants: object,
 ) -> DataFrame:
     """Rows of the contract from values with ``provisional`` and ``break_in_series``: metric and
-    unit by definition, status from the flag, other missing columns from ``constants`` or null.
+    unit by definition (one for all rows if ``definition_id`` is given, else each row's own),
+    status from the flag, other missing columns from ``constants`` or null.
     """
     cols: dict[str, Column] = {k: F.lit(v) for k, v in constants.items()}
     cols["transform_version"] = F.lit(transform_version)
     cols["nature"] = F.lit(nature)
     if "provisional" in df.columns:
         cols["status"] = F.when(F.col("provisional"), "provisional").otherwise("final")
-    rows = attach_definition(df.withColumns(cols), definitions)
+    if definition_id is None:
+        return _contract(attach_definition(df.withColumns(cols), definitions))
+    return _contract(df.withColumns(cols | definition_columns(definitions, definition_id)))
+
+
+def _contract(rows: DataFrame) -> DataFrame:
+    """The twenty columns with their types; those the rows lack are null."""
     return rows.select(
         *[
             (F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name)
@@ -64,7 +76,6 @@ def read_series(
     value, flag = F.col("value"), F.col("flag")
     fixed = {k: F.lit(v) for k, v in series.fixed.items()}
     cols = {
-        "definition_id": F.lit(series.definition_id),
         "geo_code": F.col("geo"),
         "geo_vintage": F.lit(series.geo_vintage),
         "period": F.col("time"),
@@ -78,14 +89,9 @@ def read_series(
     } | fixed
     rows = rows.select(*[c.alias(k) for k, c in cols.items()]).withColumns(
         {k: F.lit(v) for k, v in provenance.items()}
+        | definition_columns(definitions, series.definition_id)
     )
-    rows = attach_definition(rows, definitions)
-    return rows.select(
-        *[
-            (F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name)
-            for f in OBSERVATION
-        ]
-    )
+    return _contract(rows)
 
 
 def combined_provenance(tables: Sequence[Mapping[str, str]]) -> dict[str, str]:

@@ -12,15 +12,18 @@ from vitalgrid.operators import migration as mi
 from vitalgrid.plans.registry import query
 from vitalgrid.plans.structure import r6
 from vitalgrid.plans.views import (
+    AREA,
     LAST_AGE,
     age_label,
+    ancestors,
     cells,
     cells_table,
     death_rates,
     death_rates_of,
     fertility_rates,
     fertility_rates_of,
-    order_geo,
+    geo_of_area,
+    order_area,
     sql,
     table,
 )
@@ -258,9 +261,7 @@ ORDERS = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
 
 def order_births(spark: SparkSession, sf: str) -> DataFrame:
     """Births (lines not returned or accepted) by age 15-44 and order, with zeros."""
-    from vitalgrid.plans.views import ancestors
-
-    orders = order_geo(
+    orders = order_area(
         spark,
         sf,
         F.col("o_orderkey").alias("l_orderkey"),
@@ -275,9 +276,9 @@ def order_births(spark: SparkSession, sf: str) -> DataFrame:
         .select("l_orderkey", "l_partkey", "l_returnflag")
         .join(part.where(F.col("x").between(15, 44)), "l_partkey")
         .join(orders, "l_orderkey")
-        .groupBy("geo_code", "y", "x", "order")
+        .groupBy(*AREA, "y", "x", "order")
         .agg(F.count_if(F.col("l_returnflag") == "N").alias("n"), F.count("*").alias("n_all"))
-        .withColumn("geo_code", F.explode(ancestors()))
+        .withColumn("geo_code", F.explode(ancestors(geo_of_area())))
     )
     by_order = [F.sum(F.when(F.col("order") == o, F.col("n"))).alias(o) for o in ORDERS]
     wide = counts.groupBy("geo_code", F.col("y").cast("string").alias("period"),

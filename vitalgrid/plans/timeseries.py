@@ -9,7 +9,7 @@ from vitalgrid.operators import timeseries as ts
 from vitalgrid.plans.gates import totals
 from vitalgrid.plans.registry import query
 from vitalgrid.plans.structure import r6
-from vitalgrid.plans.views import ancestors, order_geo, sql
+from vitalgrid.plans.views import AREA, ancestors, geo_of_area, order_area, sql
 
 ORD_SQL = """
 ord AS (
@@ -26,11 +26,11 @@ def weekly_orders(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("-W"),
         F.lpad(F.weekofyear("o_orderdate").cast("string"), 2, "0"),
     )
-    nation = order_geo(spark, sf).groupBy("geo_code", week.alias("period")).agg(
-        F.count("*").alias("n")
-    )
+    orders = order_area(spark, sf, week.alias("period"))
     return (
-        nation.withColumn("geo_code", F.explode(ancestors()))
+        orders.groupBy(*AREA, "period")
+        .agg(F.count("*").alias("n"))
+        .withColumn("geo_code", F.explode(ancestors(geo_of_area())))
         .groupBy("geo_code", "period")
         .agg(F.sum("n").cast("double").alias("value"))
     )
@@ -79,11 +79,13 @@ def monthly_orders(spark: SparkSession, sf: str) -> DataFrame:
         )
     )
     by_month = (
-        order_geo(spark, sf)
-        .groupBy("geo_code", F.year("o_orderdate").alias("y"), F.month("o_orderdate").alias("m"))
-        .agg(F.count("*").alias("n"))
+        order_area(
+            spark, sf, F.year("o_orderdate").alias("y"), F.month("o_orderdate").alias("m")
+        )
         .where("NOT (y = 2001 AND m > 7)")
-        .withColumn("geo_code", F.explode(ancestors()))
+        .groupBy(*AREA, "y", "m")
+        .agg(F.count("*").alias("n"))
+        .withColumn("geo_code", F.explode(ancestors(geo_of_area())))
         .groupBy("geo_code", "y", "m")
         .agg(F.sum("n").alias("n"))
     )

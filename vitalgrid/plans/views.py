@@ -44,36 +44,38 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
-def customer_geo(spark: SparkSession, sf: str) -> DataFrame:
-    """Customer key and the code of its nation: W, the region key, a letter."""
-    nation = table(spark, sf, "nation").join(
-        table(spark, sf, "region").select(F.col("r_regionkey").alias("n_regionkey")), "n_regionkey"
-    )
-    code = F.concat(
-        F.lit("W"), F.col("n_regionkey").cast("string"), F.chr(F.col("n_nationkey") + 65)
-    )
-    geo = nation.select(F.col("n_nationkey").alias("c_nationkey"), code.alias("geo_code"))
+AREA = ("n_regionkey", "n_nationkey")
+
+
+def geo_of_area() -> Column:
+    """Code of a nation: W, the region key, a letter. Built after rows are grouped by the two
+    integer keys (``AREA``), so that no string is made or hashed per line."""
+    region, nation = F.col("n_regionkey"), F.col("n_nationkey")
+    return F.concat(F.lit("W"), region.cast("string"), F.chr(nation + 65))
+
+
+def customer_area(spark: SparkSession, sf: str) -> DataFrame:
+    """Customer key with the keys of its nation and region."""
+    region = table(spark, sf, "region").select(F.col("r_regionkey").alias("n_regionkey"))
+    nation = table(spark, sf, "nation").select(*AREA).join(region, "n_regionkey")
     customer = table(spark, sf, "customer").select(
-        F.col("c_custkey").alias("o_custkey"), "c_nationkey"
+        F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("n_nationkey")
     )
-    out = customer.join(geo, "c_nationkey").select("o_custkey", "geo_code")
-    return broadcast_if_small(out, customer)
+    return broadcast_if_small(customer.join(nation, "n_nationkey"), customer)
 
 
-def order_geo(spark: SparkSession, sf: str, *columns: Column) -> DataFrame:
-    """Orders with the area of their customer, and the given columns. Joined to lineitem as a
+def order_area(spark: SparkSession, sf: str, *columns: Column) -> DataFrame:
+    """The given columns of orders with the area of their customer. Joined to lineitem as a
     whole, so that a large customer table meets orders and not lineitem."""
     orders = table(spark, sf, "orders")
-    out = orders.join(customer_geo(spark, sf), "o_custkey")
-    if not columns:
-        return out
-    return broadcast_if_small(out.select("geo_code", *columns), orders)
+    out = orders.join(customer_area(spark, sf), "o_custkey").select(*AREA, *columns)
+    return broadcast_if_small(out, orders)
 
 
 def base(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per lineitem: area, year, sex, age index, return flag and quantity."""
+    """One row per lineitem: area, year, whether female, age index, return flag, quantity."""
     key, year = F.col("o_orderkey").alias("l_orderkey"), F.year("o_orderdate").alias("y")
-    orders = order_geo(spark, sf, key, year)
+    orders = order_area(spark, sf, key, year)
     part = table(spark, sf, "part").select(
         F.col("p_partkey").alias("l_partkey"), (F.col("p_size") - 1).alias("a")
     )
@@ -83,9 +85,9 @@ def base(spark: SparkSession, sf: str) -> DataFrame:
         .join(part, "l_partkey")
         .join(orders, "l_orderkey")
         .select(
-            "geo_code",
+            *AREA,
             "y",
-            F.when(F.col("l_linestatus") == "F", "female").otherwise("male").alias("sex"),
+            (F.col("l_linestatus") == "F").alias("female"),
             "a",
             F.col("l_returnflag").alias("rf"),
             F.col("l_quantity").alias("q"),
@@ -103,7 +105,7 @@ def nation_cells(spark: SparkSession, sf: str) -> DataFrame:
     rf, q = F.col("rf"), F.col("q")
     return (
         base(spark, sf)
-        .groupBy("geo_code", "y", "sex", "a")
+        .groupBy(*AREA, "y", "female", "a")
         .agg(
             F.sum(F.when(rf != "R", q)).alias("q_known"),
             F.sum(F.when(rf == "R", q)).alias("q_unknown"),
@@ -111,6 +113,13 @@ def nation_cells(spark: SparkSession, sf: str) -> DataFrame:
             F.count_if(rf == "R").alias("n_r"),
             F.count_if(rf == "N").alias("n_n"),
         )
+        .withColumns(
+            {
+                "geo_code": geo_of_area(),
+                "sex": F.when(F.col("female"), "female").otherwise("male"),
+            }
+        )
+        .drop(*AREA, "female")
     )
 
 
