@@ -153,13 +153,18 @@ def normalise_label(text: Column) -> Column:
 def _fold(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Compatibility decomposition, accents dropped, case folded: Spark has no built-in for
     Unicode normalisation, so Arrow batches pass through the standard library."""
+    import re
     import unicodedata
 
+    other = re.compile(r"[^\x00-\x7f]+")
+
+    def bare(run: re.Match[str]) -> str:
+        return "".join(c for c in run.group() if not unicodedata.combining(c))
+
     def one(text: str | None) -> str | None:
-        if text is None:
-            return None
-        plain = unicodedata.normalize("NFKD", text)
-        return "".join(c for c in plain if not unicodedata.combining(c)).casefold()
+        if text is None or text.isascii():
+            return text and text.lower()
+        return other.sub(bare, unicodedata.normalize("NFKD", text)).casefold()
 
     for part in parts:
         yield part.map(one)

@@ -180,9 +180,48 @@ def violations(obs: DataFrame, definitions: DataFrame) -> DataFrame:
     rules["definition match"] = F.col("_known")
     one = F.lit(1).cast("long").alias("n")
     rows = _broken(obs.join(known, cols, "left"), rules).select("rule", one)
-    pairs = interval_violations(obs).select(F.lit("interval pair").alias("rule"), "n")
-    twice = duplicate_keys(obs).select(F.lit("unique key").alias("rule"), "n")
-    return rows.unionByName(pairs).unionByName(twice).groupBy("rule").agg(F.sum("n").alias("n"))
+    return rows.unionByName(_key_rules(obs)).groupBy("rule").agg(F.sum("n").alias("n"))
+
+
+def _key_rules(obs: DataFrame) -> DataFrame:
+    """Repeated keys and unpaired intervals together: both follow from the number of rows per
+    interval of a key, so one aggregation and one shuffle serve both rules."""
+    keys = [k for k in KEY if k != "interval"]
+    interval, value = F.col("interval"), F.col("value")
+    aggs = [F.count_if(interval.isNull()).alias("n_central"), F.count("*").alias("n_all")]
+    for name in INTERVALS:
+        here = interval == name
+        aggs += [F.count_if(here).alias(f"n_{name}"), F.max(F.when(here, value)).alias(f"v_{name}")]
+
+    def repeated(n: str) -> Column:
+        return F.when(F.col(n) > 1, F.col(n)).otherwise(0)
+
+    def unpaired(level: str) -> Column:
+        lower, upper = F.col(f"n_{level}_lower"), F.col(f"n_{level}_upper")
+        ordered = F.coalesce(F.col(f"v_{level}_lower") <= F.col(f"v_{level}_upper"), F.lit(True))
+        good = (F.col("n_central") > 0) & (lower > 0) & (upper > 0) & ordered
+        return F.when(good, 0).otherwise(lower + upper)
+
+    # an interval outside the vocabulary is a key of its own
+    other = F.when(~interval.isin(*INTERVALS), interval)
+    strange = F.when(F.col("_other").isNotNull(), repeated("n_all")).otherwise(0)
+    twice = strange + repeated("n_central")
+    for name in INTERVALS:
+        twice = twice + repeated(f"n_{name}")
+    found = F.array(
+        F.struct(F.lit("unique key").alias("rule"), twice.cast("long").alias("n")),
+        F.struct(
+            F.lit("interval pair").alias("rule"),
+            (unpaired("80") + unpaired("95")).cast("long").alias("n"),
+        ),
+    )
+    return (
+        obs.withColumn("_other", other)
+        .groupBy(*keys, "_other")
+        .agg(*aggs)
+        .select(F.inline(found))
+        .where("n > 0")
+    )
 
 
 def validate(obs: DataFrame, definitions: DataFrame) -> DataFrame:

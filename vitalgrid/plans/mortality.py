@@ -301,7 +301,7 @@ MID = {str(a): a + 0.5 for a in range(15, 45)}
 UPO_SQL = """
 upo AS (
   SELECT unnest([geo[:1], geo[:2], geo]) AS geo_code, y, a, rf, ord FROM (
-  SELECT 'W' || n.n_regionkey || chr(65 + n.n_nationkey) AS geo, year(o.o_orderdate) AS y,
+  SELECT 'W' || n.n_regionkey || chr(65 + n.n_nationkey) AS geo, CAST(year(o.o_orderdate) AS INT) AS y,
     p.p_size - 1 AS a, l.l_returnflag AS rf, o.o_orderpriority AS ord
   FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
   JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey

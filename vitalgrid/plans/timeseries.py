@@ -97,7 +97,8 @@ def monthly_orders(spark: SparkSession, sf: str) -> DataFrame:
 
 
 MONTH_SQL = """
-mm AS (SELECT geo_code, year(d) AS y, month(d) AS k, count(*) AS n FROM ord
+mm AS (SELECT geo_code, CAST(year(d) AS INT) AS y, CAST(month(d) AS INT) AS k, count(*) AS n
+  FROM ord
   WHERE NOT (year(d) = 2001 AND month(d) > 7) GROUP BY ALL),
 ct AS (SELECT geo_code, y, sum(n) + CASE WHEN geo_code = 'W3' AND y = 1997 THEN 1 ELSE 0 END
   AS total FROM mm WHERE y < 2001 GROUP BY geo_code, y),

@@ -225,7 +225,7 @@ def fertility_rates_of(cells: DataFrame) -> DataFrame:
 # The same views for the SQL counterparts.
 SQL = """
 base AS (
-  SELECT 'W' || n.n_regionkey || chr(65 + n.n_nationkey) AS geo, year(o.o_orderdate) AS y,
+  SELECT 'W' || n.n_regionkey || chr(65 + n.n_nationkey) AS geo, CAST(year(o.o_orderdate) AS INT) AS y,
          CASE WHEN l.l_linestatus = 'F' THEN 'female' ELSE 'male' END AS sex,
          p.p_size - 1 AS a, l.l_returnflag AS rf, l.l_quantity AS q
   FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey

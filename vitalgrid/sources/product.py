@@ -15,12 +15,12 @@ def write_product(obs: DataFrame, definitions: DataFrame, path: str) -> None:
     """Validate, order by key (nulls last) and write as Parquet and CSV.
 
     The order is a range partitioning, so files hold disjoint key ranges and Parquet statistics
-    prune them."""
+    prune them. The CSV is made from the Parquet files: nothing is computed or sorted again."""
     rows = validate(obs.select(*COLUMNS), definitions)
-    rows = rows.orderBy(*[F.col(k).asc_nulls_last() for k in KEY])
-    rows.write.parquet(f"{path}/parquet")
+    rows.orderBy(*[F.col(k).asc_nulls_last() for k in KEY]).write.parquet(f"{path}/parquet")
+    stored = obs.sparkSession.read.schema(rows.schema).parquet(f"{path}/parquet")
     stamp = F.date_format("retrieved_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
-    csv = rows.withColumn("retrieved_at", stamp)
+    csv = stored.withColumn("retrieved_at", stamp)
     csv.write.csv(f"{path}/csv", header=True, nullValue="", emptyValue='""')
 
 
