@@ -20,6 +20,19 @@ def null_safe_join(
     return left.join(theirs, on, how).drop(*[f"_r_{k}" for k in keys])
 
 
+def side_by_side(
+    ours: DataFrame, official: DataFrame, keys: Sequence[str], alternative: str = "official"
+) -> DataFrame:
+    """Two tables' values of the same key, where both have one."""
+    theirs = official.where("value IS NOT NULL").select(*keys, F.col("value").alias(alternative))
+    return ours.where("value IS NOT NULL").join(theirs, list(keys))
+
+
+def of_groups(df: DataFrame, groups: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows that belong to the listed groups (complete years, members of a group of areas)."""
+    return df.join(groups.select(*keys), list(keys), "left_semi")
+
+
 def flag_known(df: DataFrame, listed: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     """A boolean column that says whether the row's key is listed."""
     marks = listed.select(*keys, F.lit(True).alias(name)).distinct()

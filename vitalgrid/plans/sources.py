@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vitalgrid.functions.frames import scratch_path, values_frame, year_shift
 from vitalgrid.operators import gates, joins
+from vitalgrid.operators.structure import complete_groups
 from vitalgrid.plans.gates import gapped, totals
 from vitalgrid.plans.registry import query
 from vitalgrid.plans.structure import r6
@@ -377,6 +378,37 @@ def snapshots_used(spark: SparkSession, sf: str) -> DataFrame:
     return product.snapshots_used(entries(spark, sf))
 
 
+@query(
+    "D01_equi_join",
+    sql(
+        """SELECT c.geo_code, c.period, c.sex, p.value, c.q_known AS official FROM cells c
+        JOIN pop p ON p.geo_code = c.geo_code AND p.y = c.y AND p.sex = c.sex
+          AND p.age = '7' WHERE c.a = 7 AND c.q_known IS NOT NULL"""
+    ),
+)
+def equi_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Age 7 in the table of observations and in the cells."""
+    keys = ("geo_code", "period", "sex")
+    ours = population(spark, sf).where("age = '7'").select(*keys, "value")
+    theirs = cells(spark, sf).where("a = 7").select(*keys, F.col("q_known").alias("value"))
+    return joins.side_by_side(ours, theirs, keys)
+
+
+@query(
+    "D04_semi_join",
+    sql(
+        """SELECT geo_code, period, sex, count(*) AS n, sum(q_known) AS value FROM cells
+        WHERE q_known IS NOT NULL GROUP BY ALL HAVING count(*) = 50"""
+    ),
+)
+def semi_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of the groups that have every age."""
+    keys = ("geo_code", "period", "sex")
+    rows = cells(spark, sf).where("q_known IS NOT NULL")
+    out = joins.of_groups(rows, complete_groups(rows, keys, "a", 50), keys)
+    return out.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("q_known").alias("value"))
+
+
 @query(
     "D02_flagged_left_join",
     sql(
