@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalgrid.llm import simhash
+from vitalgrid.llm import decontam, lines, mixing, pii, simhash
 from vitalgrid.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,3 +35,54 @@ def op2_simhash(spark: SparkSession, sf: str) -> DataFrame:
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.col("component").alias("component_id"),
     )
+
+
+@query("op9_mixing", mixing.ORACLE)
+def op9_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    """How many words of every document the mix takes."""
+    return mixing.mix(table(spark, sf, "documents", "doc_id", "text", "source"))
+
+
+@query("op4_line_dedup", lines.ORACLE)
+def op4_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines, removed lines and a digest of the remaining text of every document."""
+    found = lines.line_dedup(table(spark, sf, "documents", "doc_id", "text"))
+    return found.select(
+        "doc_id",
+        "n_lines",
+        "n_removed",
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"),
+    )
+
+
+@query("op3_decontamination", decontam.ORACLE)
+def op3_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    """Benchmark items in every document, and whether they contaminate it."""
+    docs = table(spark, sf, "documents", "doc_id", "text")
+    found = decontam.contamination(docs, table(spark, sf, "benchmark", "item_id", "text"))
+    return found.drop("key").withColumnRenamed("id", "doc_id")
+
+
+@query("op10_pii")
+def op10_pii(spark: SparkSession, sf: str) -> DataFrame:
+    """Personal data in every document: counts of the base kinds, their digest, and all spans."""
+    found = pii.find(table(spark, sf, "documents", "doc_id", "text"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*pii.KINDS))
+
+    def of_kind(kind: str) -> Column:
+        return F.filter("spans", lambda s: s["kind"] == kind)
+
+    def joined(spans: Column) -> Column:
+        return F.array_join(
+            F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ","
+        )
+
+    return found.select(
+        F.col("id").alias("doc_id"),
+        *[
+            F.size(of_kind(k)).cast("long").alias(f"n_{k}")
+            for k in pii.KINDS
+        ],
+        F.sha2(joined(base), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+    )
