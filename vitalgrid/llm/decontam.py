@@ -232,7 +232,7 @@ def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     bad = contamination(docs, items, id_col, text_col).where("contaminated").select("id", "key").distinct()
     key = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
     same = docs[f"`{id_col}`"].eqNullSafe(bad["id"]) & (key == bad["key"])
-    return docs.join(bad, same, "left_anti")
+    return docs.join(bad.hint("merge"), same, "left_anti")  # they follow the input: never broadcast
 
 
 ORACLE = r"""

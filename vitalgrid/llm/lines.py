@@ -129,10 +129,11 @@ def removed_lines(keyed: DataFrame, text: Column, least: int) -> DataFrame:
 
 
 def line_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, counts: bool = True
 ) -> DataFrame:
-    """The documents without repeated runs, and `n_lines` and `n_removed` (existing columns of those
-    names are replaced).
+    """The documents without repeated runs, and with `counts` also `n_lines` and `n_removed` (existing
+    columns of those names are replaced). Without it, a column `n_chars` follows the text where that
+    changed.
 
     A document that loses lines is joined anew from its other lines with words; others keep their
     text as it is. Lines without words take no part. Null and empty texts stay. A null id comes after
@@ -146,10 +147,20 @@ def line_dedup(
     gone = saved(removed_lines(keyed, text, least))
     right = gone.select(*[F.col(c).alias(f"g_{c}") for c in DOC], "gone")
     same = keyed["doc"].eqNullSafe(right["g_doc"]) & (keyed["key"] == right["g_key"])
-    joined = keyed.join(right, same, "left")
+    # merged at every size: which documents lose lines follows the input, so it is never broadcast
+    joined = keyed.join(right.hint("merge"), same, "left")
     lines = _filled(text)
     rest = F.filter(lines, lambda x, i: ~F.array_contains("gone", i))
     new = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(rest, "\n"))
+    if not counts:
+        size = F.when(F.col("gone").isNull(), F.col("row").getField("n_chars") if "n_chars" in docs.columns else None)
+        changed = {text_col: new, "n_chars": size.otherwise(F.length(new))}
+        return joined.select(
+            *[
+                changed.get(c, F.col("row").getField(c)).cast(docs.schema[c].dataType).alias(c)
+                for c in docs.columns
+            ]
+        )
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     return joined.select(
         *[new.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in own],

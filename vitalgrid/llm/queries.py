@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalgrid.llm import decontam, lines, mixing, pii, simhash
+from vitalgrid.llm import chat, decontam, langid, lines, lm, mixing, pii, pivots, simhash, toxicity
 from vitalgrid.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,48 @@ def op10_pii(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2(joined(base), 256).alias("base_sha256"),
         joined(F.col("spans")).alias("spans"),
     )
+
+
+@query("op1_chat_format")
+def op1_chat_format(spark: SparkSession, sf: str) -> DataFrame:
+    """Every turn of every conversation after repair, with its rendered piece."""
+    found = chat.chat_format(table(spark, sf, "conversations", "conv_id", "turn", "role", "text"))
+    return found.withColumnRenamed("conv", "conv_id")
+
+
+@query("op5_pivot_neighbours")
+def op5_pivot_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """Links and component of every embedding."""
+    found = pivots.near_duplicates(table(spark, sf, "embeddings", "vec_id", "embedding"))
+    return found.select(
+        F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept"
+    )
+
+
+@query("op6_language_id")
+def op6_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    """Predicted language of every document."""
+    docs = table(spark, sf, "documents", "doc_id", "text", "lang")
+    found = langid.language_id(docs, langid.train(docs), ["doc_id"])
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query("op7_lm_scores")
+def op7_lm_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Masked pseudo-log-likelihood of every document, in all and by token."""
+    found = lm.lm_scores(table(spark, sf, "documents", "doc_id", "text"), ["doc_id"])
+    return found.withColumn("mean_log_likelihood", F.try_divide("log_likelihood", "n_tokens"))
+
+
+@query("op8_toxicity")
+def op8_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    """Toxicity of every document."""
+    docs = table(spark, sf, "documents", "doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf, "labels", "doc_id", "toxic"))
+    found = toxicity.toxicity(docs, model, ["doc_id"])
+    return found.select(
+        "doc_id",
+        toxicity.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )

@@ -176,8 +176,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
     found = with_root(saved(with_fingerprint(keyed, ["__id", "__hash"], f"`{text_col}`")))
     key = F.struct(F.col("__id").isNull().alias("none"), "__id", "__hash")
-    winners = found.groupBy("root").agg(F.min(key).alias("key")).select("key.__id", "key.__hash")
-    winners = winners.select(F.col("__id").alias("i"), F.col("__hash").alias("h"))
-    same = keyed["__id"].eqNullSafe(winners["i"]) & (keyed["__hash"] == winners["h"])
-    kept = keyed.join(winners, same, "left_semi")
-    return kept.dropDuplicates(["__id", "__hash"]).select(*[F.col(f"`{c}`") for c in columns])
+    winners = found.groupBy("root").agg(F.min(key).alias("key")).select(F.col("key.__hash").alias("h"))
+    # the hash covers the id; merged, since the winners follow the input, and the rows stay dealt by hash
+    kept = keyed.join(winners.hint("merge"), keyed["__hash"] == winners["h"], "left_semi")
+    return kept.dropDuplicates(["__hash"]).select(*[F.col(f"`{c}`") for c in columns])
