@@ -30,6 +30,12 @@ def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{folder}/{name}.parquet").select(*columns)
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns, nulls included: rows that are equal in all columns share it."""
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    return F.xxhash64(*columns, *[c.isNull() for c in columns])
+
+
 def ordered(df: DataFrame, order: list[Column], sums: dict[str, Column] | None = None) -> DataFrame:
     """Adds `row` (1, 2, ... in the given total order) and inclusive running sums of `sums`.
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vitalgrid.llm.common import saved
+from vitalgrid.llm.common import row_hash, saved
 from vitalgrid.llm.text import ALNUM, Words, chunks, mixed
 
 WINDOW, SHINGLE = 13, 5  # words
@@ -183,7 +183,7 @@ def contamination(
     """
     narrow = docs.select(
         F.col(f"`{id_col}`").alias("id"),
-        F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("key"),
+        row_hash(docs).alias("key"),
         F.col(f"`{text_col}`").alias("text"),
     )
     windows = saved(item_windows(items))
@@ -229,10 +229,10 @@ def contamination(
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that no benchmark item contaminates."""
-    bad = contamination(docs, items, id_col, text_col).where("contaminated").select("id", "key").distinct()
-    key = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    same = docs[f"`{id_col}`"].eqNullSafe(bad["id"]) & (key == bad["key"])
-    return docs.join(bad.hint("merge"), same, "left_anti")  # they follow the input: never broadcast
+    found = contamination(docs, items, id_col, text_col).where("contaminated")
+    bad = found.select(F.col("key").alias("__key")).distinct()  # the hash covers the id
+    # they follow the input, so they are merged and never broadcast
+    return docs.join(bad.hint("merge"), row_hash(docs) == F.col("__key"), "left_anti")
 
 
 ORACLE = r"""

@@ -20,19 +20,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitalgrid.llm.common import ordered, saved
+from vitalgrid.llm.common import ordered, row_hash, saved
 from vitalgrid.llm.mixing import words
 
 LEAST = 50  # words of a run that is worth removing
-DOC = ["none", "doc", "key"]  # whether the id is null, the id, a hash of all columns
+DOC = ["none", "doc", "key"]  # whether the id is null, the id (0 then), a hash of all columns
 
 
 def _with_key(docs: DataFrame, id_col: str) -> DataFrame:
     return docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
         F.col(f"`{id_col}`").isNull().alias("none"),
-        F.col(f"`{id_col}`").alias("doc"),
-        F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("key"),
+        F.coalesce(f"`{id_col}`", F.lit(0).cast(docs.schema[id_col].dataType)).alias("doc"),
+        row_hash(docs).alias("key"),
     )
 
 
@@ -146,7 +146,7 @@ def line_dedup(
     text = F.col("row").getField(text_col)
     gone = saved(removed_lines(keyed, text, least))
     right = gone.select(*[F.col(c).alias(f"g_{c}") for c in DOC], "gone")
-    same = keyed["doc"].eqNullSafe(right["g_doc"]) & (keyed["key"] == right["g_key"])
+    same = (F.col("none") == F.col("g_none")) & (F.col("doc") == F.col("g_doc")) & (F.col("key") == F.col("g_key"))
     # merged at every size: which documents lose lines follows the input, so it is never broadcast
     joined = keyed.join(right.hint("merge"), same, "left")
     lines = _filled(text)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vitalgrid.llm.common import saved
+from vitalgrid.llm.common import row_hash, saved
 from vitalgrid.llm.components import components
 from vitalgrid.llm.text import SPACED, Words, chunks
 
@@ -171,9 +171,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """One row of each near-duplicate group, with all its columns: the row of the smallest id (null
     ids last); among rows of that id the one whose columns hash lowest; of equal rows, one."""
     columns = docs.columns
-    keyed = docs.withColumn("__id", F.col(f"`{id_col}`")).withColumn(
-        "__hash", F.xxhash64(*[F.col(f"`{c}`") for c in columns])
-    )
+    keyed = docs.withColumn("__id", F.col(f"`{id_col}`")).withColumn("__hash", row_hash(docs))
     found = with_root(saved(with_fingerprint(keyed, ["__id", "__hash"], f"`{text_col}`")))
     key = F.struct(F.col("__id").isNull().alias("none"), "__id", "__hash")
     winners = found.groupBy("root").agg(F.min(key).alias("key")).select(F.col("key.__hash").alias("h"))
