@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitalgrid.llm.common import saved
+from vitalgrid.llm.common import row_hash, saved
 
 # fixed values: the patterns of the base kinds, in the order of the kinds; possessive forms and the
 # guards before a run find the same matches without backtracking
@@ -104,7 +104,7 @@ def narrow(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, key, text); key is a hash of all columns, so only wholly equal rows share both."""
     return docs.select(
         F.col(f"`{id_col}`").alias("id"),
-        F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("key"),
+        row_hash(docs).alias("key"),
         F.col(f"`{text_col}`").alias("text"),
     )
 
@@ -162,7 +162,11 @@ def disclosing_terms(texts: DataFrame, near: DataFrame) -> DataFrame:
     """(term, share, bits): the terms that disclose an entity, with their largest share."""
     seen = near.distinct().groupBy("entity", "term", "around").agg(F.count("*").alias("n"))
     pairs = seen.groupBy("entity", "term").agg(F.sum("n").alias("both"), F.count("*").alias("contexts"))
-    pairs = saved(pairs.where(F.col("contexts") >= CONTEXTS))
+    # a term is in at least as many documents as hold it beside any entity: a share above this bound
+    # can't be reached, whatever the rest of the corpus holds
+    anywhere = near.select(*DOC, "term").distinct().groupBy("term").agg(F.count("*").alias("least"))
+    pairs = pairs.where(F.col("contexts") >= CONTEXTS).join(anywhere, "term")
+    pairs = saved(pairs.where(F.col("both") >= SHARE * F.col("least")).drop("least"))
     entities = near.select(*DOC, "entity").distinct().groupBy("entity").agg(F.count("*").alias("of_entity"))
     counts = terms_among(texts, pairs.select("term").distinct()).groupBy("term").agg(
         F.count("*").alias("of_term")
@@ -226,10 +230,9 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with every span generalised to its kind in brackets, or removed."""
     found = find(docs, id_col, text_col).where(F.size("spans") > 0).distinct()
-    key = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    same = docs[f"`{id_col}`"].eqNullSafe(found["id"]) & (key == found["key"])
+    found = found.select(F.col("key").alias("__key"), F.col("spans").alias("__spans"))
     text = F.col(f"`{text_col}`")
-    joined = docs.join(found.withColumnRenamed("spans", "__spans"), same, "left")
+    joined = docs.join(found, row_hash(docs) == F.col("__key"), "left")  # the hash covers the id
     mark = lambda s: F.when(s["kind"] == "removed", "").otherwise(F.concat(F.lit("["), s["kind"], F.lit("]")))
     # base kinds may overlap each other: a span starts where the one before has ended at the earliest
     state = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
