@@ -141,16 +141,18 @@ def phrases(model: Model, symbols: np.ndarray, offsets: np.ndarray) -> np.ndarra
     order = np.argsort(-length, kind="stable")
     start, length, text = start[order], length[order], text[order]
     state = np.repeat(model.root[:, None], len(start), axis=1)
-    ended = np.ones(state.shape, np.int32)  # the last phrase of each segment
+    begun = np.zeros(state.shape, np.int32)
     for i in range(int(length[0]) if len(length) else 0):
         active = int(np.searchsorted(-length, -i, "left"))
         c = symbols[start[:active] + i]
-        now = model.step[state[:, :active] + c]
+        before = state[:, :active]
+        now = model.step[before + c]
         missed = now < 0
-        ended[:, :active] += missed
+        # a phrase begins where the last cannot go on, and after a symbol that no substring has
+        begun[:, :active] += missed | (before == model.root[:, None])
         state[:, :active] = np.where(missed, model.again[:, c], now)
     for language in range(len(model.names)):
-        counts[:, language] = np.bincount(text, ended[language], len(sizes))
+        counts[:, language] = np.bincount(text, begun[language], len(sizes))
     return counts
 
 

@@ -9,8 +9,9 @@ pivots, so no pair is counted twice and no pair is ever emitted: a list yields t
 member and one star of links per linked set.
 
 Equal vectors are collapsed first, with their multiplicity. Long lists are dealt to pairs of blocks of
-BLOCK members, so a hot group is many tasks. Pivots are a bounded sample: the PIVOTS distinct vectors that
-hash lowest. Pairs that share fewer pivots are missed; recall falls as pairs get close to the threshold.
+BLOCK members, so a hot group is many tasks. Pivots come from a bounded sample, the SAMPLE distinct vectors
+that hash lowest: each next pivot is the vector farthest from those chosen, so that a dense group does not
+draw several. Pairs that share fewer pivots are missed; recall falls as pairs get close to the threshold.
 """
 
 from __future__ import annotations
@@ -27,9 +28,10 @@ from vitalgrid.llm.common import saved
 from vitalgrid.llm.components import components
 
 PIVOTS = 64  # a set of pivots is one 64-bit number
-NEAREST, SHARED = 7, 5
+NEAREST, SHARED = 8, 5
 COSINE = 0.9
 BLOCK = 1024
+SAMPLE = 2048  # vectors that pivots are chosen from
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -44,6 +46,16 @@ def unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
 
 
+def spread(rows: np.ndarray) -> np.ndarray:
+    """Up to PIVOTS of the rows, each the farthest from those before; none links with another."""
+    nearest = rows @ rows[0]
+    chosen = [0]
+    while len(chosen) < PIVOTS and nearest.min() < COSINE:
+        chosen.append(int(nearest.argmin()))
+        nearest = np.maximum(nearest, rows @ rows[chosen[-1]])
+    return rows[chosen]
+
+
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(id, node, vector) of every row; node is a hash of the vector, null if it links with nothing."""
     vector = F.col(f"`{vector_col}`").cast("array<double>")
@@ -192,8 +204,8 @@ def near_duplicates(
     lists: DataFrame | None = None
     for length in lengths.collect():  # one row a length of vectors
         some = distinct.where(F.size("vector") == length.n)
-        sample = some.orderBy(F.hash("node"), "node").limit(PIVOTS).select("vector").collect()
-        pivots = unit(np.array([r.vector for r in sample], np.float64))
+        sample = some.orderBy(F.hash("node"), "node").limit(SAMPLE).select("vector").collect()
+        pivots = spread(unit(np.array([r.vector for r in sample], np.float64)))
         part = postings(some, pivots, nearest, shared)
         lists = part if lists is None else lists.unionAll(part)
     if lists is None:
