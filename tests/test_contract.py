@@ -133,10 +133,12 @@ def test_listed_differences_fail_both_ways(spark):
     )
     known = values_frame(spark, ("geo_code", "period"), [("A", "1"), ("Z", "1")])
     assert rows(g.reconcile_gate(ours, official, known)) == [
-        ("gone", "A", "1"), ("unexplained", "B", "1"),
+        ("gone", "A", "1", None, None, None, None), ("unexplained", "B", "1", "t", "t", 1.06, 1.0),
     ]
     alt = ours.where("geo_code = 'B'")
-    assert rows(g.reconcile_gate(ours, official, known, alternatives=[alt])) == [("gone", "A", "1")]
+    assert rows(g.reconcile_gate(ours, official, known, alternatives=[alt])) == [
+        ("gone", "A", "1", None, None, None, None)
+    ]
     # half a unit of the last decimal exactly is no difference
     edge = ours.selectExpr("* except (value)", "value + 0.05 value").where("geo_code = 'C'")
     assert g.disagreements(edge, official, known).count() == 0

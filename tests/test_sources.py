@@ -12,59 +12,94 @@ from tests.conftest import rows
 from vitalgrid.functions.frames import scratch_path, values_frame, written
 from vitalgrid.sources import cubes, product, snapshots, wide
 
-DOC = {
-    "class": "dataset", "label": "L", "updated": "2026-01-01",
-    "id": ["freq", "sex", "geo", "time"], "size": [1, 2, 2, 2],
+# tons of fruit landed at two quays, by kind and quarter: 2 x 3 x 2 cells, quays listed backwards
+CUBE = {
+    "class": "dataset", "label": "Fruit", "updated": "2025-07-09",
+    "id": ["quay", "kind", "quarter"], "size": [2, 3, 2],
     "dimension": {
-        "freq": {"category": {"label": {"A": "annual"}}},
-        "sex": {"category": {"index": {"M": 1, "F": 0}}},
-        "geo": {"category": {"index": ["EL", "IT"]}},
-        "time": {"category": {"index": {"2023": 0, "2024": 1}}},
+        "quay": {"category": {"index": {"south": 1, "north": 0}}},
+        "kind": {"category": {"label": {"fig": "figs", "kiwi": "kiwis", "plum": "plums"}}},
+        "quarter": {"category": {"index": ["Q2", "Q3"]}},
     },
-    "value": {"0": 10, "1": 11, "2": 12.5, "4": 14, "5": 15, "6": 16, "7": 17},
-    "status": {"1": "p", "3": ":"},
+    "value": {"0": 1.5, "3": 40, "5": 0, "6": 7, "11": 2},
+    "status": {"4": "c", "6": "e"},
+}
+DIMS = ("quay", "kind", "quarter")
+CELLS = {
+    ("north", "fig", "Q2"): (1.5, None), ("north", "kiwi", "Q3"): (40.0, None), ("north", "plum", "Q2"): (None, "c"),
+    ("north", "plum", "Q3"): (0.0, None), ("south", "fig", "Q2"): (7.0, "e"), ("south", "plum", "Q3"): (2.0, None),
 }
-DIMS = ("freq", "sex", "geo", "time")
 
 
 def docs(spark, *documents):
-    data = [(str(i), json.dumps(d)) for i, d in enumerate(documents)]
+    data = [(str(i), d if isinstance(d, str) else json.dumps(d)) for i, d in enumerate(documents)]
     return spark.createDataFrame(data, "doc_id string, json string")
 
 
-def test_sparse_cube(spark):
-    out = cubes.explode_cube(docs(spark, DOC), DIMS).collect()
-    cell = {(r["sex"], r["geo"], r["time"]): (r["value"], r["flag"]) for r in out}
-    assert len(out) == 8 and sum(r["value"] is not None for r in out) == 7
-    assert cell["F", "IT", "2024"] == (None, ":")
-    assert cell["F", "EL", "2024"] == (11.0, "p")
-    assert cell["M", "IT", "2024"] == (17.0, None)
+def exploded(spark, document):
+    out = cubes.explode_cube(docs(spark, document), DIMS).collect()
+    assert len(out) == 12
+    return {tuple(r[d] for d in DIMS): (r["value"], r["flag"]) for r in out}
+
+
+def test_cells_of_an_object_and_of_a_list(spark):
+    every = {(q, k, t): CELLS.get((q, k, t), (None, None)) for q in ("north", "south")
+             for k in ("fig", "kiwi", "plum") for t in ("Q2", "Q3")}
+    assert exploded(spark, CUBE) == every
+    place = {key: i for i, key in enumerate(every)}
+    listed = {**CUBE, "value": [None] * 12, "status": [None] * 12}
+    for key, (value, flag) in CELLS.items():
+        listed["value"][place[key]], listed["status"][place[key]] = value, flag
+    assert exploded(spark, listed) == every
+
+
+BAD = {
+    "not a dataset": {**CUBE, "class": "dimension"},
+    "category counts do not match size": {**CUBE, "size": [2, 4, 2]},
+    "list of another length": {**CUBE, "value": [1.0] * 13},
+    "cell outside the cube": {**CUBE, "value": {"12": 5}},
+    "not a document": '{"class": "dataset", "id": [',
+}
+
+
+@pytest.mark.parametrize("problem", list(BAD))
+def test_bad_cubes_raise(spark, problem):
+    bad = docs(spark, CUBE, BAD[problem])
+    assert rows(cubes.cube_violations(bad)) == [("1", problem)]
+    with pytest.raises(Exception, match=problem):
+        cubes.explode_cube(bad, DIMS).collect()
 
 
-def test_dense_equals_sparse(spark):
-    dense = {**DOC, "value": [10, 11, 12.5, None, 14, 15, 16, 17],
-             "status": [None, "p", None, ":", None, None, None, None]}
-    out = cubes.explode_cube(docs(spark, DOC, dense), DIMS)
-    one, two = (rows(out.where(f"doc_id = '{i}'").drop("doc_id")) for i in "01")
-    assert one == two
+@pytest.mark.parametrize("key", ["-1", "seven", "2.5"])
+def test_bad_keys(spark, key):
+    for part in ("value", "status"):
+        bad = docs(spark, {**CUBE, part: {key: "1"}})
+        assert rows(cubes.cube_violations(bad)) == [("0", "cell outside the cube")]
 
 
-def test_bad_cubes(spark):
-    wrong = [{**DOC, "class": "collection"}, {**DOC, "size": [1, 2, 2, 3]}, DOC]
-    assert rows(cubes.cube_violations(docs(spark, *wrong))) == [
-        ("0", "not a dataset"), ("1", "category counts do not match size"),
-    ]
+def test_large_cube(spark):
+    """Two million cells, almost all left out."""
+    codes = [f"c{i}" for i in range(2000)]
+    big = {
+        "class": "dataset", "id": ["a", "b"], "size": [1000, 2000],
+        "dimension": {"a": {"category": {"index": codes[:1000]}}, "b": {"category": {"index": codes}}},
+        "value": {"0": 1, "1999999": 3},
+    }
+    out = cubes.explode_cube(docs(spark, big), ("a", "b"))
+    total = out.agg(F.count("*"), F.count("value"), F.sum("value")).first()
+    assert tuple(total) == (2_000_000, 2, 4.0)
+    assert rows(out.where("value = 3").select("a", "b")) == [("c999", "c1999")]
 
 
 def test_summary(spark):
-    r = cubes.cube_summary(docs(spark, DOC)).first()
-    assert (r["label"], r["n_values"], r["dimensions"]) == ("L", 7, dict(zip(DIMS, (1, 2, 2, 2))))
+    r = cubes.cube_summary(docs(spark, CUBE)).first()
+    assert (r["label"], r["n_values"], r["dimensions"]) == ("Fruit", 5, dict(zip(DIMS, (2, 3, 2))))
 
 
 def test_read_documents(spark, tmp_path):
-    (tmp_path / "a.json").write_text(json.dumps(DOC, indent=1))
+    (tmp_path / "a.json").write_text(json.dumps(CUBE, indent=1))
     out = cubes.explode_cube(cubes.read_documents(spark, str(tmp_path)), DIMS)
-    assert out.count() == 8
+    assert out.count() == 12
 
 
 def test_scan_snapshots(spark, tmp_path):
@@ -124,19 +159,16 @@ def test_wide(spark):
 
 
 class Named:
-    """Stands in for a cluster's session, whose shared folder is set when it starts."""
+    """Stands in for a session with the given settings."""
 
-    def __init__(self, folder, master="yarn"):
-        self.conf = {"spark.checkpoint.dir": folder} if folder else {}
-        self.sparkContext = self
-        self.master = master
+    def __init__(self, **conf):
+        self.conf = {k.replace("_", "."): v for k, v in conf.items()}
 
 
-def test_scratch_follows_the_session(spark):
-    assert scratch_path(Named("hdfs://shared/dir/"), "x").startswith("hdfs://shared/dir/x-")
-    assert scratch_path(Named(None, "local[2]"), "x").startswith("/tmp/run-")
-    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        scratch_path(Named(None), "x")
+def test_scratch_is_a_shared_folder(spark):
+    named = Named(spark_checkpoint_dir="hdfs://shared/dir/", spark_sql_warehouse_dir="hdfs://w")
+    assert scratch_path(named, "x").startswith("hdfs://shared/dir/x-")
+    assert scratch_path(Named(spark_sql_warehouse_dir="s3://w"), "x").startswith("s3://w/_scratch/x-")
     assert rows(written(spark.range(3).toDF("i"), "t")) == [(0,), (1,), (2,)]
 
 

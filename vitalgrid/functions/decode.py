@@ -172,7 +172,9 @@ def _fold(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def normalise_text(text: Column) -> Column:
     """Text for comparison: case, accents and punctuation do not count."""
-    words = F.regexp_replace(_fold(text), r"(?U)[^\w]+", " ")
+    # only text with other characters leaves the JVM
+    other = F.when(text.rlike(r"[^\x00-\x7F]"), text)
+    words = F.regexp_replace(F.coalesce(_fold(other), F.lower(text)), r"(?U)[^\w]+", " ")
     return F.trim(words)
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterable, Sequence
 
@@ -77,41 +76,11 @@ def lag_in_buckets(
     )
 
 
-def planned_bytes(df: DataFrame) -> int | None:
-    """Catalyst's estimate of the size of a frame; for a plain scan, that of its files."""
-    if not hasattr(df, "_jdf"):  # a session without a JVM at hand
-        return None
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def broadcast_if_small(df: DataFrame, bound: DataFrame) -> DataFrame:
-    """``df`` with a broadcast hint if the table that bounds its size is below Spark's own
-    broadcast threshold; otherwise ``df`` as it is, to be shuffled.
-
-    Catalyst multiplies sizes over a join, so it overrates a table joined with its small
-    dimensions. ``bound`` is the scan of a table with at least as many and as wide rows."""
-    limit = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    size = planned_bytes(bound)
-    threshold = _bytes(limit)
-    return F.broadcast(df) if size is not None and 0 <= size <= threshold else df
-
-
-def _bytes(text: str) -> int:
-    """A size setting such as '10485760', '10485760b' or '10MB' in bytes."""
-    units = {"": 1, "b": 1, "k": 2**10, "m": 2**20, "g": 2**30}
-    number = text.strip().lower().rstrip("b")
-    unit = number[-1:] if number[-1:].isalpha() else ""
-    return int(number[: len(number) - len(unit)]) * units[unit]
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder the cluster names in ``spark.checkpoint.dir``; a local
-    temporary folder only where the session names none (tests on one machine)."""
+    """A new path in the shared folder that the session names in ``spark.checkpoint.dir``, or in
+    the warehouse, which executors share as well."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root and spark.sparkContext.master.startswith("local"):
-        root = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-    if not root:
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+    root = root or spark.conf.get("spark.sql.warehouse.dir") + "/_scratch"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -99,10 +99,13 @@ def decode_age(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "B05_resolve_open_age",
     sql(
-        """SELECT c.geo_code AS geo, c.period AS time, c.sex, 'Y_GE' || (m.k + 1) AS age, c.value
-        FROM pop c JOIN (SELECT geo_code, period, sex, max(TRY_CAST(age AS INT)) AS k FROM pop
-          WHERE NOT (age = '48' AND y = 1997) GROUP BY ALL HAVING k IS NOT NULL) m
-        USING (geo_code, period, sex) WHERE c.age = '49+'"""
+        """SELECT c.geo_code AS geo, c.period AS time, c.sex, CASE WHEN c.age = 'total' THEN 'TOTAL'
+          WHEN c.age = 'unknown' THEN 'UNK' WHEN c.age = '49+' THEN 'Y_GE' || (m.k + 1)
+          ELSE 'Y' || c.age END AS age,
+          CASE WHEN NOT (c.age = '48' AND c.y = 1997) THEN c.value END AS value
+        FROM pop c LEFT JOIN (SELECT geo_code, period, sex, max(TRY_CAST(age AS INT)) AS k FROM pop
+          WHERE NOT (age = '48' AND y = 1997) GROUP BY ALL) m
+        USING (geo_code, period, sex)"""
     ),
 )
 def resolve_open_age(spark: SparkSession, sf: str) -> DataFrame:
@@ -121,7 +124,7 @@ def resolve_open_age(spark: SparkSession, sf: str) -> DataFrame:
         code.alias("age"),
         F.when(~hidden, F.col("value")).alias("value"),
     )
-    return d.resolve_open_age(cube).where(F.col("age").startswith("Y_GE"))
+    return d.resolve_open_age(cube)
 
 
 @query(

@@ -254,9 +254,9 @@ def disagreements(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "E17_reconcile_gate",
     sql(
-        """SELECT DISTINCT 'unexplained' AS kind, geo_code, period
-        FROM dis WHERE NOT known
-        UNION ALL SELECT 'gone', geo_code, period FROM (
+        """SELECT 'unexplained' AS kind, geo_code, period, sex, round(ours, 6) AS ours,
+          round(official, 6) AS official FROM dis WHERE NOT known
+        UNION ALL SELECT 'gone', geo_code, period, NULL, NULL, NULL FROM (
           SELECT DISTINCT geo_code, period FROM ours
           WHERE (geo_code, period) IN (('W1', '1996'), ('W0', '1995'), ('W9', '1995'))
           EXCEPT SELECT geo_code, period FROM dis WHERE known)""",
@@ -266,7 +266,10 @@ def disagreements(spark: SparkSession, sf: str) -> DataFrame:
 )
 def reconcile(spark: SparkSession, sf: str) -> DataFrame:
     ours = old_age(spark, sf)
-    return g.reconcile_gate(ours, official(ours), listed(spark))
+    out = g.reconcile_gate(ours, official(ours), listed(spark))
+    return out.select(
+        "kind", "geo_code", "period", "sex", r6("ours", "ours"), r6("official", "official")
+    )
 
 
 def totals(spark: SparkSession, sf: str) -> DataFrame:
@@ -376,19 +379,19 @@ def printed_share(spark: SparkSession, sf: str) -> DataFrame:
     sql(
         """SELECT area AS geo_code, period, sum(q) AS value,
         CASE WHEN count(DISTINCT geo_code) > 1 THEN 'derived' ELSE 'observed' END AS nature
-        FROM (SELECT geo_code, period, q_known AS q, CASE geo_code[2] WHEN '0' THEN 'A'
-          WHEN '1' THEN 'A' WHEN '2' THEN 'B' WHEN '3' THEN 'C' END AS area
-          FROM cells WHERE length(geo_code) = 2) WHERE area IS NOT NULL GROUP BY ALL"""
+        FROM (SELECT geo_code, period, q_known AS q, CASE WHEN geo_code IN ('W0', 'W1') THEN 'A'
+          WHEN geo_code = 'W2' THEN 'B' WHEN geo_code = 'W3' THEN 'C'
+          WHEN geo_code IN ('W4E', 'W4J') THEN 'D' END AS area
+          FROM cells) WHERE area IS NOT NULL GROUP BY ALL"""
     ),
 )
 def merge_units(spark: SparkSession, sf: str) -> DataFrame:
     units = (
         cells(spark, sf)
-        .where(F.length("geo_code") == 2)
         .groupBy(F.col("geo_code").alias("unit"), "period")
         .agg(F.sum("q_known").alias("value"))
     )
-    rows = [("W0", "A"), ("W1", "A"), ("W2", "B"), ("W3", "C")]
+    rows = [("W0", "A"), ("W1", "A"), ("W2", "B"), ("W3", "C"), ("W4E", "D"), ("W4J", "D")]
     return g.merge_units(units, values_frame(spark, ("unit", "geo_code"), rows))
 
 

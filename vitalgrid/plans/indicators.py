@@ -150,8 +150,8 @@ def keep_contract(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "I04_indicator_check",
     sql(
-        """SELECT 'gone' AS kind, 'W1' AS geo_code, '1996' AS period
-        UNION ALL SELECT DISTINCT 'unexplained', geo_code, period FROM g
+        """SELECT 'gone' AS kind, 'W1' AS geo_code, '1996' AS period, NULL AS sex, NULL AS ours
+        UNION ALL SELECT 'unexplained', geo_code, period, sex, round(old / working * 100, 6) FROM g
         WHERE geo_code = 'W0' AND period IN ('1997', '1999') AND old / nullif(working, 0) IS NOT NULL""",
         ps.GROUPS_SQL,
     ),
@@ -169,4 +169,5 @@ def indicator_check(spark: SparkSession, sf: str) -> DataFrame:
     off = (F.col("geo_code") == "W0") & F.col("period").isin("1997", "1998", "1999")
     printed = F.round("value", 1) + F.when(off, 0.4).otherwise(0.0)
     official = ours.withColumn("value", printed)
-    return ind.check(one, ours, official, pop)
+    out = ind.check(one, ours, official, pop)
+    return out.select("kind", "geo_code", "period", "sex", F.round("ours", 6).alias("ours"))

@@ -106,7 +106,7 @@ def boys_share(spark: SparkSession, sf: str) -> DataFrame:
         """SELECT s.geo_code, CAST(s.y + 1 AS VARCHAR) AS period, s.sex, s.x,
         round(s.value, 6) AS ours, n.p AS theirs FROM step s
         JOIN inp n ON n.geo_code = s.geo_code AND n.y = s.y + 1 AND n.sex = s.sex AND n.x = s.x
-        WHERE abs(s.value - n.p) > 100""",
+        WHERE abs(s.value - n.p) > 10""",
         INPUTS_SQL,
         STEP_SQL,
     ),
@@ -116,7 +116,7 @@ def projection_gate(spark: SparkSession, sf: str) -> DataFrame:
     step = co.cohort_step(rows, F.lit(BOYS), LAST_AGE)
     ahead = step.withColumn("period", (F.col("period").cast("int") + 1).cast("string"))
     theirs = rows.withColumnRenamed("p", "value")
-    out = co.projection_gate(ahead, theirs, (*KEYS, "sex", "x"), 100.0)
+    out = co.projection_gate(ahead, theirs, (*KEYS, "sex", "x"), 10.0)
     return out.select(*KEYS, "sex", "x", r6("ours", "ours"), "theirs")
 
 
@@ -193,16 +193,18 @@ def intrinsic(spark: SparkSession, sf: str) -> DataFrame:
 
 
 FIT_LAST, HORIZON = 1999, 2
+LEVEL, LOW_LEVEL = 0.0009, 0.00006  # of the rates; at the low one life is long enough for b to rotate
 
 
-def rates(spark: SparkSession, sf: str) -> DataFrame:
-    """Death rates of the areas that have every year, sex and age."""
-    m = 0.0009 * F.exp(0.14 * F.col("a")) * (F.col("n_r") + 0.5) / (F.col("n_all") + 1)
-    whole = F.count("*").over(Window.partitionBy("geo_code"))
+def rates(spark: SparkSession, sf: str, level: float = LEVEL) -> DataFrame:
+    """Death rates of the areas that have every sex and age in each of their years."""
+    m = level * F.exp(0.14 * F.col("a")) * (F.col("n_r") + 0.5) / (F.col("n_all") + 1)
+    area = Window.partitionBy("geo_code")
+    years = F.size(F.collect_set("y").over(area))
     return (
         cells(spark, sf)
-        .withColumn("_n", whole)
-        .where(F.col("_n") == 7 * 2 * (LAST_AGE + 1))
+        .withColumns({"_n": F.count("*").over(area), "_years": years})
+        .where(F.col("_n") == F.col("_years") * 2 * (LAST_AGE + 1))
         .select("geo_code", "sex", "y", "period", F.col("a").alias("x"), m.alias("m"))
     )
 
@@ -210,21 +212,20 @@ def rates(spark: SparkSession, sf: str) -> DataFrame:
 RATES_SQL = """
 lr AS (SELECT geo_code, y, period, sex, a AS x,
     0.0009 * exp(0.14 * a) * (n_r + 0.5) / (n_all + 1) AS m
-  FROM (SELECT *, count(*) OVER (PARTITION BY geo_code) AS n FROM cells) WHERE n = 700)
+  FROM cells WHERE geo_code IN (SELECT geo_code FROM cells GROUP BY geo_code
+    HAVING count(*) = 100 * count(DISTINCT y)))
 """
 FIT_SQL = """
 fc AS (SELECT *, ln(m) - a AS c FROM (
   SELECT *, avg(ln(m)) OVER (PARTITION BY geo_code, sex, x) AS a FROM lr WHERE y <= 1999)),
 fk AS (SELECT *, sum(c) OVER (PARTITION BY geo_code, sex, y) AS k FROM fc),
 fb AS (SELECT geo_code, sex, x, max(a) AS a, sum(c * k) / sum(k * k) AS b0 FROM fk GROUP BY ALL),
-ab AS (SELECT *, b0 / sum(b0) OVER (PARTITION BY geo_code, sex) AS b FROM fb),
-ks AS (SELECT DISTINCT geo_code, sex, y, k FROM (
-  SELECT geo_code, sex, y, round(k, 12) AS k FROM fk))
+ab AS (SELECT *, b0 / sum(b0) OVER (PARTITION BY geo_code, sex) AS b FROM fb)
 """
 
 
-def fitted(spark: SparkSession, sf: str) -> DataFrame:
-    return lc.lee_carter_fit(rates(spark, sf).where(F.col("y") <= FIT_LAST))
+def fitted(spark: SparkSession, sf: str, level: float = LEVEL) -> DataFrame:
+    return lc.lee_carter_fit(rates(spark, sf, level).where(F.col("y") <= FIT_LAST))
 
 
 @query(
@@ -236,29 +237,29 @@ def lee_carter(spark: SparkSession, sf: str) -> DataFrame:
     return ab.select("geo_code", "sex", "x", r9("a"), r9("b"))
 
 
-def shared(spark: SparkSession, sf: str) -> DataFrame:
-    return lc.shared_b(fitted(spark, sf).where(F.col("y") == FIT_LAST))
-
-
-def repaired(spark: SparkSession, sf: str) -> DataFrame:
-    return lc.repair_b(shared(spark, sf))
+def repaired(spark: SparkSession, sf: str, level: float = LEVEL) -> DataFrame:
+    """b(x) of each area: each sex's b repaired, then their mean."""
+    fit = fitted(spark, sf, level).where(F.col("y") == FIT_LAST)
+    return lc.shared_b(lc.repair_b(fit, ("geo_code", "sex")))
 
 
 REPAIR_SQL = """
-sb AS (SELECT geo_code, x, avg(b) AS b FROM ab GROUP BY ALL),
-rb0 AS (SELECT geo_code, x, b, x AS pos, b AS v FROM sb WHERE b > 0 OR x = 0
-  UNION ALL SELECT n.geo_code, n.x, n.b, r.pos, r.v FROM rb0 r JOIN sb n
-    ON n.geo_code = r.geo_code AND n.x = r.x + 1 AND n.b <= 0),
-rb AS (SELECT geo_code, x, v / sum(v) OVER (PARTITION BY geo_code) AS b FROM (
-  SELECT geo_code, x, greatest(v, 0) * pow(0.5, x - pos) AS v FROM rb0))
+rb0 AS (SELECT geo_code, sex, x, b, x AS pos, b AS v FROM ab WHERE b > 0 OR x = 0
+  UNION ALL SELECT n.geo_code, n.sex, n.x, n.b, r.pos, r.v FROM rb0 r JOIN ab n
+    ON n.geo_code = r.geo_code AND n.sex = r.sex AND n.x = r.x + 1 AND n.b <= 0),
+rs AS (SELECT geo_code, sex, x, v / sum(v) OVER (PARTITION BY geo_code, sex) AS b FROM (
+  SELECT geo_code, sex, x, greatest(v, 0) * pow(0.5, x - pos) AS v FROM rb0)),
+rb AS (SELECT geo_code, x, avg(b) AS b FROM rs GROUP BY ALL)
 """
 
 
+def recursive(text: str) -> str:
+    return text.replace("WITH", "WITH RECURSIVE", 1)
+
+
 @query(
     "H08_repair_b",
-    sql(
-        "SELECT geo_code, x, round(b, 9) AS b FROM rb", RATES_SQL, FIT_SQL, REPAIR_SQL
-    ).replace("WITH", "WITH RECURSIVE", 1),
+    recursive(sql("SELECT geo_code, x, round(b, 9) AS b FROM rb", RATES_SQL, FIT_SQL, REPAIR_SQL)),
 )
 def repair(spark: SparkSession, sf: str) -> DataFrame:
     return repaired(spark, sf).select("geo_code", "x", r9("b"))
@@ -272,32 +273,38 @@ ub AS (SELECT geo_code, x, b, u0 / sum(u0) OVER (PARTITION BY geo_code) AS u FRO
 """
 
 
-def ultimate(spark: SparkSession, sf: str) -> DataFrame:
-    return lc.ultimate_b(repaired(spark, sf), 5, 30)
+def ultimate(spark: SparkSession, sf: str, level: float = LEVEL) -> DataFrame:
+    return lc.ultimate_b(repaired(spark, sf, level), 5, 30)
 
 
 @query(
     "H09_ultimate_b",
-    sql(
-        "SELECT geo_code, x, round(u, 9) AS u FROM ub", RATES_SQL, FIT_SQL, REPAIR_SQL, ULTIMATE_SQL
-    ).replace("WITH", "WITH RECURSIVE", 1),
+    recursive(
+        sql("SELECT geo_code, x, round(u, 9) AS u FROM ub", RATES_SQL, FIT_SQL, REPAIR_SQL, ULTIMATE_SQL)
+    ),
 )
 def ultimate_b(spark: SparkSession, sf: str) -> DataFrame:
     return ultimate(spark, sf).select("geo_code", "x", r9("u"))
 
 
+def weight_sql(e0: str) -> str:
+    inside = f"sqrt(0.5 * (1 + sin(pi() / 2 * (2 * ({e0} - 80) / 22 - 1))))"
+    return f"CASE WHEN {e0} < 80 THEN 0 WHEN {e0} >= 102 THEN 1 ELSE {inside} END"
+
+
 @query(
     "H10_rotate_b",
-    sql(
-        """SELECT geo_code, x, e0, round(CASE WHEN e0 < 80 THEN b WHEN e0 >= 102 THEN u
-        ELSE (1 - w) * b + w * u END, 9) AS b FROM (
-        SELECT *, sqrt(0.5 * (1 + sin(pi() / 2 * (2 * (e0 - 80) / 22 - 1)))) AS w
-        FROM ub, (SELECT unnest([79, 80, 91, 95.5, 102])::DOUBLE AS e0))""",
-        RATES_SQL,
-        FIT_SQL,
-        REPAIR_SQL,
-        ULTIMATE_SQL,
-    ).replace("WITH", "WITH RECURSIVE", 1),
+    recursive(
+        sql(
+            f"""SELECT geo_code, x, e0, round((1 - w) * b + w * u, 9) AS b FROM (
+            SELECT *, {weight_sql("e0")} AS w
+            FROM ub, (SELECT unnest([79, 80, 91, 95.5, 102])::DOUBLE AS e0))""",
+            RATES_SQL,
+            FIT_SQL,
+            REPAIR_SQL,
+            ULTIMATE_SQL,
+        )
+    ),
 )
 def rotate(spark: SparkSession, sf: str) -> DataFrame:
     levels = F.explode(F.array(*[F.lit(e) for e in (79.0, 80.0, 91.0, 95.5, 102.0)]))
@@ -306,29 +313,57 @@ def rotate(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("geo_code", "x", "e0", F.round(b, 9).alias("b"))
 
 
+def e0_sql(rate: str, size: str) -> str:
+    """Life expectancy of the rates given by an expression in the age number j (1 to size)."""
+    older = f"list_reverse(list_transform(range(2, {size}), lambda j: {rate}))"
+    last, first = (f"list_transform([{j}], lambda j: {rate})[1]" for j in (size, 1))
+    at_one = f"list_reduce({older}, lambda e, m: (1 + (1 - 0.5 * m) * e) / (1 + 0.5 * m), 1 / {last})"
+    return f"((1 + (1 - 0.2 * {first}) * {at_one}) / (1 + 0.8 * {first}))"
+
+
+# the bisection of k, step by step, over the arrays of a sex's ages
+REFIT_SQL = f"""
+{life_sql("lr").strip()},
+cur AS (SELECT l.geo_code, l.sex, list(ln(l.m) ORDER BY l.x) AS a, list(rb.b ORDER BY l.x) AS b
+  FROM lr l JOIN rb ON rb.geo_code = l.geo_code AND rb.x = l.x WHERE l.y = 1999 GROUP BY ALL),
+bis AS (
+  SELECT t.geo_code, t.sex, t.y, t.ex AS e0, c.a, c.b, 0 AS i, -1000.0::DOUBLE AS lo, 1000.0::DOUBLE AS hi
+  FROM lt t JOIN cur c ON c.geo_code = t.geo_code AND c.sex = t.sex WHERE t.x = 0 AND t.y <= 1999
+  UNION ALL
+  SELECT geo_code, sex, y, e0, a, b, i + 1, CASE WHEN long THEN mid ELSE lo END,
+    CASE WHEN long THEN hi ELSE mid END
+  FROM (SELECT *, {e0_sql("exp(a[j] + b[j] * mid)", "len(a)")} > e0 AS long
+        FROM (SELECT *, (lo + hi) / 2 AS mid FROM bis WHERE i < 80))),
+ks AS (SELECT geo_code, sex, y, e0, (lo + hi) / 2 AS k FROM bis WHERE i = 80)
+"""
+
+
+def refitted(spark: SparkSession, sf: str, level: float = LEVEL) -> DataFrame:
+    return lc.refit_k(rates(spark, sf, level), repaired(spark, sf, level), FIT_LAST, A0)
+
+
+CHAIN = (RATES_SQL, FIT_SQL, REPAIR_SQL, REFIT_SQL)
+
+
 @query(
     "H11_solve_k_for_e0",
-    sql(
-        """SELECT geo_code, sex, y, round(ex, 9) AS e0, round(ex, 9) AS reached FROM lt
-        WHERE x = 0 AND y <= 1999""",
-        RATES_SQL,
-        life_sql("lr"),
+    recursive(
+        sql("SELECT geo_code, sex, y, round(e0, 9) AS e0, round(e0, 9) AS reached, round(k, 6) AS k FROM ks", *CHAIN)
     ),
 )
 def solve_k(spark: SparkSession, sf: str) -> DataFrame:
     """k of each year; the life table at k must have the year's life expectancy."""
-    out = lc.refit_k(rates(spark, sf), repaired(spark, sf), FIT_LAST, A0)
-    return out.select("geo_code", "sex", "y", r9("e0"), r9("reached"))
+    out = refitted(spark, sf)
+    return out.select("geo_code", "sex", "y", r9("e0"), r9("reached"), r6("k", "k"))
 
 
-def drifts(spark: SparkSession, sf: str) -> DataFrame:
-    k = fitted(spark, sf).where("x = 0").select("geo_code", "sex", "y", "k")
-    return lc.k_drift(k)
+def drifts(spark: SparkSession, sf: str, level: float = LEVEL) -> DataFrame:
+    return lc.k_drift(refitted(spark, sf, level).select("geo_code", "sex", "y", "k"))
 
 
 DRIFT_SQL = """
-dr0 AS (SELECT geo_code, sex, (max(k) FILTER (WHERE y = 1999) - max(k) FILTER (WHERE y = 1995)) / 4
-    AS own, stddev_samp(d) AS sigma, 4 AS n FROM (
+dr0 AS (SELECT geo_code, sex, (arg_max(k, y) - arg_min(k, y)) / (max(y) - min(y)) AS own,
+    stddev_samp(d) AS sigma, max(y) - min(y) AS n FROM (
   SELECT *, k - lag(k) OVER (PARTITION BY geo_code, sex ORDER BY y) AS d FROM ks) GROUP BY ALL),
 dr AS (SELECT *, avg(own) OVER (PARTITION BY geo_code) AS drift FROM dr0)
 """
@@ -336,36 +371,40 @@ dr AS (SELECT *, avg(own) OVER (PARTITION BY geo_code) AS drift FROM dr0)
 
 @query(
     "H12_k_drift",
-    sql(
-        """SELECT geo_code, sex, round(own, 9) AS own, round(sigma, 9) AS sigma, n,
-        round(drift, 9) AS drift FROM dr""",
-        RATES_SQL,
-        FIT_SQL,
-        DRIFT_SQL,
+    recursive(
+        sql(
+            """SELECT geo_code, sex, round(own, 6) AS own, round(sigma, 6) AS sigma, n,
+            round(drift, 6) AS drift FROM dr""",
+            *CHAIN,
+            DRIFT_SQL,
+        )
     ),
 )
 def k_drift(spark: SparkSession, sf: str) -> DataFrame:
-    return drifts(spark, sf).select("geo_code", "sex", r9("own"), r9("sigma"), "n", r9("drift"))
+    out = drifts(spark, sf)
+    return out.select("geo_code", "sex", r6("own", "own"), r6("sigma", "sigma"), "n", r6("drift", "drift"))
 
 
 AGES = (0, 20)
 
 
-def curves(spark: SparkSession, sf: str) -> DataFrame:
-    """a and b of each area and sex, a being the jump-off year's log rates."""
-    fit = fitted(spark, sf).where(F.col("y") == FIT_LAST)
-    return fit.select("geo_code", "sex", "x", F.ln("m").alias("a"), "b")
+def curves(spark: SparkSession, sf: str, level: float = LEVEL) -> DataFrame:
+    """a and b of each area and sex: the jump-off year's log rates, and the area's repaired b."""
+    start = rates(spark, sf, level).where(F.col("y") == FIT_LAST)
+    start = start.select("geo_code", "sex", "x", F.ln("m").alias("a"))
+    return start.join(repaired(spark, sf, level).select("geo_code", "x", "b"), ["geo_code", "x"])
 
 
-FAN_SQL = """
-fan0 AS (SELECT d.geo_code, d.sex, h.h AS y, b.i AS period, c.x,
-    exp(ln(c.m) + c.b * (d.drift * h.h + b.z * d.sigma * sqrt(h.h + h.h * h.h / d.n))) AS m
-  FROM dr d JOIN (SELECT ab.geo_code, ab.sex, ab.x, ab.b, lr.m FROM ab JOIN lr
-      ON lr.geo_code = ab.geo_code AND lr.sex = ab.sex AND lr.x = ab.x AND lr.y = 1999) c
-    ON c.geo_code = d.geo_code AND c.sex = d.sex, (SELECT unnest([1, 2]) AS h) h,
-  (SELECT unnest(['c', '80_lower', '80_upper', '95_lower', '95_upper']) AS i,
-     unnest([0, 1.2815515655446004, -1.2815515655446004, 1.959963984540054,
-             -1.959963984540054]) AS z) b)
+BOUNDS_SQL = """bounds AS (SELECT unnest([1, 2]) AS h, i, z FROM (
+  SELECT unnest(['c', '80_lower', '80_upper', '95_lower', '95_upper']) AS i,
+    unnest([0, 1.2815515655446004, -1.2815515655446004, 1.959963984540054,
+            -1.959963984540054]) AS z))"""
+FAN_SQL = f"""
+{BOUNDS_SQL},
+fan0 AS (SELECT d.geo_code, d.sex, w.h AS y, w.i AS period, l.x,
+    exp(ln(l.m) + rb.b * (d.drift * w.h + w.z * d.sigma * sqrt(w.h + w.h * w.h / d.n))) AS m
+  FROM dr d JOIN lr l ON l.geo_code = d.geo_code AND l.sex = d.sex AND l.y = 1999
+  JOIN rb ON rb.geo_code = l.geo_code AND rb.x = l.x, bounds w)
 """
 
 
@@ -375,36 +414,70 @@ def _fan_life() -> str:
     return body.replace("PARTITION BY geo_code, y, sex", "PARTITION BY geo_code, y, period, sex")
 
 
-@query(
-    "H13_lc_fan",
-    sql(
-        """SELECT geo_code, sex, y AS h, nullif(period, 'c') AS interval, x,
-        round(ex, 6) AS value FROM ft WHERE x IN (0, 20)""",
-        RATES_SQL,
-        FIT_SQL,
-        DRIFT_SQL,
-        FAN_SQL,
-        _fan_life(),
-    ),
-)
+FAN_BODY = """SELECT geo_code, sex, y AS h, nullif(period, 'c') AS interval, x,
+        round(ex, 6) AS value FROM ft WHERE x IN (0, 20)"""
+
+
+@query("H13_lc_fan", recursive(sql(FAN_BODY, *CHAIN, DRIFT_SQL, FAN_SQL, _fan_life())))
 def fan(spark: SparkSession, sf: str) -> DataFrame:
     out = lc.lc_fan(curves(spark, sf), drifts(spark, sf), HORIZON, A0, AGES)
     return out.select("geo_code", "sex", "h", "interval", "x", r6("value"))
 
 
-@query("H13_lc_fan_rotated")
+ROTATED_SQL = f"""
+{BOUNDS_SQL},
+both_ AS (SELECT f.geo_code, f.a AS fa, m.a AS ma, f.b, u.u, d.drift, (ef.ex + em.ex) / 2 AS mean0
+  FROM cur f JOIN cur m ON m.geo_code = f.geo_code AND m.sex = 'male' AND f.sex = 'female'
+  JOIN (SELECT geo_code, list(u ORDER BY x) AS u FROM ub GROUP BY geo_code) u ON u.geo_code = f.geo_code
+  JOIN dr d ON d.geo_code = f.geo_code AND d.sex = 'female'
+  JOIN lt ef ON ef.geo_code = f.geo_code AND ef.sex = 'female' AND ef.x = 0 AND ef.y = 1999
+  JOIN lt em ON em.geo_code = f.geo_code AND em.sex = 'male' AND em.x = 0 AND em.y = 1999),
+rot AS (
+  SELECT *, 1 AS h, {weight_sql("mean0")} AS w FROM both_
+  UNION ALL
+  SELECT geo_code, fa, ma, b, u, drift, mean1, h + 1, {weight_sql("mean1")} FROM (
+    SELECT *, ({e0_sql("exp(fa[j] + ((1 - w) * b[j] + w * u[j]) * drift * h)", "len(fa)")}
+      + {e0_sql("exp(ma[j] + ((1 - w) * b[j] + w * u[j]) * drift * h)", "len(fa)")}) / 2 AS mean1
+    FROM rot WHERE h < 2)),
+fan0 AS (SELECT d.geo_code, d.sex, w.h AS y, w.i AS period, l.x,
+    exp(ln(l.m) + ((1 - r.w) * ub.b + r.w * ub.u)
+      * (d.drift * w.h + w.z * d.sigma * sqrt(w.h + w.h * w.h / d.n))) AS m
+  FROM dr d JOIN lr l ON l.geo_code = d.geo_code AND l.sex = d.sex AND l.y = 1999
+  JOIN ub ON ub.geo_code = l.geo_code AND ub.x = l.x
+  JOIN bounds w ON true JOIN rot r ON r.geo_code = d.geo_code AND r.h = w.h)
+"""
+
+
+@query(
+    "H13_lc_fan_rotated",
+    recursive(
+        sql(
+            FAN_BODY,
+            RATES_SQL.replace("0.0009", "0.00006"),
+            *CHAIN[1:],
+            ULTIMATE_SQL,
+            DRIFT_SQL,
+            ROTATED_SQL,
+            _fan_life(),
+        )
+    ),
+)
 def fan_rotated(spark: SparkSession, sf: str) -> DataFrame:
-    """With rotation. The synthetic e0 is about 41, below where rotation starts, so the
-    expectancies are shifted to show it: the jump-off level is given as 85."""
-    u = lc.ultimate_b(lc.repair_b(curves(spark, sf), ("geo_code", "sex")), 5, 30, ("geo_code", "sex"))
-    start = curves(spark, sf).drop("b").join(u, ["geo_code", "sex", "x"])
-    rows = start.withColumn("ex0", F.lit(85.0))
-    return lc.lc_fan_rotated(rows, drifts(spark, sf), HORIZON, A0, AGES)
+    """With rotation, at rates so low that the life expectancy passes the age where it begins."""
+    u = ultimate(spark, sf, LOW_LEVEL).select("geo_code", "x", "u")
+    start = rates(spark, sf, LOW_LEVEL).where(F.col("y") == FIT_LAST)
+    table = lt.life_table(start, ("geo_code", "sex", "y"), A0).where("x = 0")
+    e0 = table.select("geo_code", "sex", F.col("ex").alias("ex0"))
+    rows = curves(spark, sf, LOW_LEVEL).join(u, ["geo_code", "x"]).join(e0, ["geo_code", "sex"])
+    walks = drifts(spark, sf, LOW_LEVEL)
+    weights = lc.rotation_weights(rows, walks, HORIZON, A0)
+    out = lc.lc_fan(rows, walks, HORIZON, A0, AGES, weights)
+    return out.select("geo_code", "sex", "h", "interval", "x", r6("value"))
 
 
 @query(
     "H14_interval_coverage",
-    sql(
+    recursive(sql(
         """SELECT count(*) AS n, count(*) FILTER (WHERE a BETWEEN l80 AND u80) AS inside_80,
         count(*) FILTER (WHERE a BETWEEN l95 AND u95) AS inside_95,
         round(max(abs(c - a)), 6) AS max_error FROM (
@@ -417,13 +490,11 @@ def fan_rotated(spark: SparkSession, sf: str) -> DataFrame:
         FROM ft f JOIN lt r ON r.geo_code = f.geo_code AND r.sex = f.sex AND r.x = f.x
           AND r.y = 1999 + f.y WHERE f.x IN (0, 20)
         GROUP BY f.geo_code, f.sex, f.y, f.x)""",
-        RATES_SQL,
-        FIT_SQL,
+        *CHAIN,
         DRIFT_SQL,
         FAN_SQL,
         _fan_life(),
-        life_sql("lr"),
-    ),
+    )),
 )
 def coverage(spark: SparkSession, sf: str) -> DataFrame:
     """The fan from 1999 against the tables of 2000 and 2001."""

@@ -59,10 +59,6 @@ cen AS (SELECT * FROM ser WHERE interval IS NULL)
 """
 
 
-def regional(df: DataFrame) -> DataFrame:
-    return df.where(F.length("geo_code") == 2)
-
-
 @query(
     "J01_fact",
     sql(
@@ -286,13 +282,13 @@ CLASS_BODY = """SELECT geo_code, period, round(value, 6) AS value,
     CAST(len(list_filter(range(1, 5), lambda i : value >= {at})) AS INT) AS class FROM (
     SELECT *, min(value) OVER w AS lo, max(value) OVER w AS hi, max(abs(value)) OVER w AS big,
       {extra} FROM (SELECT geo_code, y, period, value - 5000 AS value FROM cen
-      WHERE scenario_id IS NULL AND length(geo_code) = 2 AND value IS NOT NULL)
+      WHERE scenario_id IS NULL AND value IS NOT NULL)
     WINDOW w AS (PARTITION BY y))"""
 
 
 def shifted(spark: SparkSession, sf: str) -> DataFrame:
-    """Regional totals less 5000, so that some are negative."""
-    rows = regional(pr.central(series(spark, sf)).where("scenario_id IS NULL"))
+    """Totals less 5000, so that some are negative."""
+    rows = pr.central(series(spark, sf)).where("scenario_id IS NULL")
     return rows.withColumn("value", F.col("value") - 5000)
 
 
@@ -362,13 +358,13 @@ def extremes(spark: SparkSession, sf: str) -> DataFrame:
         """SELECT geo_code, period, round(28 * sqrt(abs(v) / max(abs(v)) OVER
           (PARTITION BY period)), 6) AS radius,
         CASE WHEN v < 0 THEN 'negative' ELSE 'positive' END AS sign FROM (
-        SELECT *, value - 5000 AS v FROM cen WHERE scenario_id IS NULL AND length(geo_code) = 2
+        SELECT *, value - 5000 AS v FROM cen WHERE scenario_id IS NULL
           AND value IS NOT NULL AND geo_code <> 'W4')""",
         SER_SQL,
     ),
 )
 def symbols(spark: SparkSession, sf: str) -> DataFrame:
-    """Counts of the regions; those of W4 are given as a rate and left out."""
+    """Counts of the areas; those of W4 are given as a rate and left out."""
     unit = F.when(F.col("geo_code") == "W4", "per 1000 persons").otherwise(F.col("unit"))
     out = pr.symbol_sizes(shifted(spark, sf).withColumn("unit", unit), ("period",))
     return out.select("geo_code", "period", r6("radius", "radius"), "sign")

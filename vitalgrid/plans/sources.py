@@ -12,8 +12,7 @@ from vitalgrid.plans.gates import gapped, totals
 from vitalgrid.plans.registry import query
 from vitalgrid.plans.structure import r6
 from vitalgrid.plans.views import (
-    FIRST_YEAR,
-    LAST_YEAR,
+    age_label,
     cells,
     cells_table,
     nation_cells,
@@ -21,6 +20,7 @@ from vitalgrid.plans.views import (
     sql,
     table,
     with_provenance,
+    years,
 )
 from vitalgrid.schema import COLUMNS, definitions
 from vitalgrid.sources import cubes, product, snapshots, wide
@@ -114,13 +114,16 @@ def history(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def cube_documents(spark: SparkSession, sf: str) -> DataFrame:
-    """A cube document per nation: geo (1) x flag (3) x year (7), a fifth of the cells left
-    out, values as an object for every other nation and as a list for the rest."""
+    """A cube document per nation: geo (1) x flag (3) x year, a fifth of the cells left out,
+    values as an object for every other nation and as a list for the rest."""
+    every = years(spark, sf)
+    first, n_years = every[0], len(every)
+    places = F.sequence(F.lit(0), F.lit(3 * n_years - 1))
     n_a = F.col("n_all") - F.col("n_n") - F.col("n_r")
-    place = F.col("y") - FIRST_YEAR
+    place = F.col("y") - first
     counts = F.array(
         *[
-            F.struct((place + 7 * i).alias("flat"), n.cast("long").alias("v"))
+            F.struct((place + n_years * i).alias("flat"), n.cast("long").alias("v"))
             for i, n in enumerate((n_a, F.col("n_n"), F.col("n_r")))
         ]
     )
@@ -134,37 +137,40 @@ def cube_documents(spark: SparkSession, sf: str) -> DataFrame:
         .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("flat", "v")))).alias("all"))
     )
     shown = F.map_filter("all", lambda i, v: (i + F.col("k")) % 5 != 0)
-    listed = F.transform(F.sequence(F.lit(0), F.lit(20)), lambda i: F.try_element_at(shown, i))
+    listed = F.transform(places, lambda i: F.try_element_at(shown, i))
     value = F.when(F.col("k") % 2 == 0, F.to_json(shown)).otherwise(F.to_json(listed))
     status = F.to_json(
         F.map_from_entries(
             F.transform(
-                F.filter(F.sequence(F.lit(0), F.lit(20)), lambda i: i % 6 == 1),
+                F.filter(places, lambda i: i % 6 == 1),
                 lambda i: F.struct(i.alias("i"), F.lit("p").alias("f")),
             )
         )
     )
-    years = ", ".join(f'"{y}": {y - FIRST_YEAR}' for y in range(LAST_YEAR, FIRST_YEAR - 1, -1))
+    index = ", ".join(f'"{y}": {y - first}' for y in reversed(every))
     head = F.concat(
         F.lit('{"class": "dataset", "label": "Lines", "updated": "2026-01-02", "id": '
-              '["geo", "rf", "time"], "size": [1, 3, 7], "dimension": {"geo": {"category": '
+              '["geo", "rf", "time"], "size": [1, 3, ' + str(n_years) + '], "dimension": {"geo": {"category": '
               '{"label": {"'),
         F.col("geo_code"),
         F.lit('": "a nation"}}}, "rf": {"category": {"index": ["A", "N", "R"]}}, "time": '
-              '{"category": {"index": {' + years + '}}}}, "value": '),
+              '{"category": {"index": {' + index + '}}}}, "value": '),
     )
     json = F.concat(head, value, F.lit(', "status": '), status, F.lit("}"))
     return given.select(F.col("geo_code").alias("doc_id"), json.alias("json"))
 
 
 CUBE_SQL = """
+span AS (SELECT CAST(min(year(o_orderdate)) AS INT) AS y0, CAST(max(year(o_orderdate)) AS INT) AS y1
+  FROM orders),
 cube AS (
   SELECT g.geo_code AS geo, f.rf, CAST(f.y AS VARCHAR) AS time, f.flat,
     CASE WHEN (f.flat + ascii(g.geo_code[3]) - 65) % 5 <> 0 THEN c.n::DOUBLE END AS value,
     CASE WHEN f.flat % 6 = 1 THEN 'p' END AS flag
   FROM (SELECT DISTINCT geo_code FROM cells WHERE length(geo_code) = 3) g,
-    (SELECT y, rf, y - 1995 + 7 * (CASE rf WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END) AS flat
-     FROM (SELECT unnest(range(1995, 2002)) AS y), (SELECT unnest(['A', 'N', 'R']) AS rf)) f
+    (SELECT y, rf, y - y0 + (y1 - y0 + 1) * (CASE rf WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END)
+       AS flat FROM (SELECT unnest(range(y0, y1 + 1)) AS y, y0, y1 FROM span),
+       (SELECT unnest(['A', 'N', 'R']) AS rf)) f
   LEFT JOIN (SELECT geo_code, y, 'A' AS rf, sum(n_all - n_n - n_r) AS n FROM cells GROUP BY ALL
     UNION ALL SELECT geo_code, y, 'N', sum(n_n) FROM cells GROUP BY ALL
     UNION ALL SELECT geo_code, y, 'R', sum(n_r) FROM cells GROUP BY ALL) c
@@ -179,12 +185,45 @@ def explode_cube(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(*DIMS, "value", "flag")
 
 
+DEFECTS = (
+    "not a dataset",
+    "category counts do not match size",
+    "not a document",
+    "list of another length",
+    "cell outside the cube",
+)
+
+
+@query(
+    "A05_cube_violations",
+    sql(
+        "SELECT DISTINCT geo AS doc_id, CASE (ascii(geo[3]) - 65) % 6 "
+        + " ".join(f"WHEN {i} THEN '{problem}'" for i, problem in enumerate(DEFECTS))
+        + " END AS problem FROM cube WHERE (ascii(geo[3]) - 65) % 6 < 5",
+        CUBE_SQL,
+    ),
+)
+def cube_violations(spark: SparkSession, sf: str) -> DataFrame:
+    """Every sixth document is sound; the others have one defect each."""
+    json = F.col("json")
+    kind = (F.ascii(F.substring("doc_id", 3, 1)) - 65) % 6
+    damaged = (
+        F.when(kind == 0, F.replace(json, F.lit('"dataset"'), F.lit('"bundle"')))
+        .when(kind == 1, F.replace(json, F.lit('"size": [1, '), F.lit('"size": [2, ')))
+        .when(kind == 2, F.substring(json, F.lit(1), F.length(json) - 9))
+        .when(kind == 3, F.replace(json, F.lit('"value": ['), F.lit('"value": [0, ')))
+        .when(kind == 4, F.replace(json, F.lit('"value": {'), F.lit('"value": {"99999": 1, ')))
+        .otherwise(json)
+    )
+    return cubes.cube_violations(cube_documents(spark, sf).withColumn("json", damaged))
+
+
 @query(
     "A06_cube_summary",
     sql(
         """SELECT geo AS doc_id, 'Lines' AS label, '2026-01-02' AS updated,
-        'geo:1|rf:3|time:7' AS dimensions, CAST(CASE WHEN ascii(geo[3]) % 2 = 1
-        THEN count(value) ELSE 21 END AS INT) AS n_values FROM cube GROUP BY geo""",
+        'geo:1|rf:3|time:' || count(DISTINCT time) AS dimensions,
+        CAST(CASE WHEN ascii(geo[3]) % 2 = 1 THEN count(value) ELSE count(*) END AS INT) AS n_values FROM cube GROUP BY geo""",
         CUBE_SQL,
     ),
 )
@@ -255,7 +294,6 @@ def scan_csv(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-YEARS = [str(y) for y in range(FIRST_YEAR, LAST_YEAR + 1)]
 SHEETS = {None: 1.0, "80_lower": 0.9, "80_upper": 1.1}
 
 
@@ -269,16 +307,17 @@ SHEETS = {None: 1.0, "80_lower": 0.9, "80_upper": 1.1}
 )
 def wide_years(spark: SparkSession, sf: str) -> DataFrame:
     year = F.col("period")
+    names = [str(y) for y in years(spark, sf)]
     sheet = (
         cells(spark, sf)
         .groupBy("geo_code")
-        .agg(*[F.sum(F.when(year == y, F.col("q_known"))).alias(y) for y in YEARS])
+        .agg(*[F.sum(F.when(year == y, F.col("q_known"))).alias(y) for y in names])
     )
     sheets = {
-        interval: sheet.select("geo_code", *[(F.col(y) / 1000 * f).alias(y) for y in YEARS])
+        interval: sheet.select("geo_code", *[(F.col(y) / 1000 * f).alias(y) for y in names])
         for interval, f in SHEETS.items()
     }
-    return wide.wide_years_to_long(sheets, ["geo_code"], YEARS)
+    return wide.wide_years_to_long(sheets, ["geo_code"], names)
 
 
 @query(
@@ -298,9 +337,13 @@ def wide_sex(spark: SparkSession, sf: str) -> DataFrame:
     return wide.wide_sex_to_long(table_, ["geo_code", "period"], names)
 
 
-@query("A12_write_product", sql("SELECT geo_code, period, sex, age, value FROM pop WHERE length(geo_code) = 2"))
+@query(
+    "A12_write_product",
+    sql("SELECT geo_code, period, sex, age, value FROM pop WHERE length(geo_code) >= 2"),
+)
 def write_product(spark: SparkSession, sf: str) -> DataFrame:
-    rows = population(spark, sf).where(F.length("geo_code") == 2).select(*COLUMNS)
+    # the contract wants codes of two characters or more, which leaves the whole area out
+    rows = population(spark, sf).where(F.length("geo_code") >= 2).select(*COLUMNS)
     path = scratch_path(spark, "product")
     product.write_product(rows, definitions(spark), path)
     back = spark.read.schema(rows.schema).parquet(f"{path}/parquet")
@@ -381,16 +424,19 @@ def snapshots_used(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "D01_equi_join",
     sql(
-        """SELECT c.geo_code, c.period, c.sex, p.value, c.q_known AS official FROM cells c
+        """SELECT c.geo_code, c.period, c.sex, p.age, p.value, c.q_known AS official FROM cells c
         JOIN pop p ON p.geo_code = c.geo_code AND p.y = c.y AND p.sex = c.sex
-          AND p.age = '7' WHERE c.a = 7 AND c.q_known IS NOT NULL"""
+          AND p.age = CASE WHEN c.a = 49 THEN '49+' ELSE CAST(c.a AS VARCHAR) END
+        WHERE c.q_known IS NOT NULL"""
     ),
 )
 def equi_join(spark: SparkSession, sf: str) -> DataFrame:
-    """Age 7 in the table of observations and in the cells."""
-    keys = ("geo_code", "period", "sex")
-    ours = population(spark, sf).where("age = '7'").select(*keys, "value")
-    theirs = cells(spark, sf).where("a = 7").select(*keys, F.col("q_known").alias("value"))
+    """Every single age in the table of observations and in the cells."""
+    keys = ("geo_code", "period", "sex", "age")
+    ours = population(spark, sf).select(*keys, "value")
+    theirs = cells(spark, sf).where("q_known IS NOT NULL").select(
+        "geo_code", "period", "sex", age_label().alias("age"), F.col("q_known").alias("value")
+    )
     return joins.side_by_side(ours, theirs, keys)
 
 

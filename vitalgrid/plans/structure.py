@@ -48,12 +48,11 @@ g AS (SELECT *, u10 AS young, u35 - u10 AS working, known - u35 AS old, known -
         """SELECT geo_code, sex, bool_or(status = 'provisional') AS provisional,
         bool_or(break_in_series) AS break_in_series, 'Office' AS source,
         'pop_cells' AS dataset_code, '2026-01-02' AS vintage, count(*) AS n
-        FROM pop WHERE y >= 1999 GROUP BY geo_code, sex"""
+        FROM pop GROUP BY geo_code, sex"""
     ),
 )
 def carry(spark: SparkSession, sf: str) -> DataFrame:
-    rows = population(spark, sf).where(F.col("period") >= "1999")
-    out = rows.groupBy("geo_code", "sex").agg(*st.carry(), F.count("*").alias("n"))
+    out = population(spark, sf).groupBy("geo_code", "sex").agg(*st.carry(), F.count("*").alias("n"))
     return out.select("geo_code", "sex", *FLAGS, "source", "dataset_code", "vintage", "n")
 
 

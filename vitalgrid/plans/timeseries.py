@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vitalgrid.operators import timeseries as ts
@@ -61,8 +61,8 @@ def excess(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def monthly_orders(spark: SparkSession, sf: str) -> DataFrame:
-    """Orders per area, year and month, July 2001 the last; the published total of complete
-    years, one too high in W3 1997; one of unknown month in W4 1998."""
+    """Orders per area, year and month; the published total of all years but the latest, one too
+    high in W3 1997; one of unknown month in W4 1998."""
     geo, y, m = F.col("geo_code"), F.col("y"), F.col("m")
     code = F.concat(F.lit("M"), F.lpad(m.cast("string"), 2, "0"))
     n = F.col("n").cast("double")
@@ -74,7 +74,7 @@ def monthly_orders(spark: SparkSession, sf: str) -> DataFrame:
     rows = F.array_compact(
         F.array(
             row(code, n),
-            F.when(y < 2001, row(F.lit("TOTAL"), n + extra)),
+            F.when(y < F.col("latest"), row(F.lit("TOTAL"), n + extra)),
             F.when((geo == "W4") & (y == 1998) & (m == 1), row(F.lit("UNK"), F.lit(1.0))),
         )
     )
@@ -82,7 +82,6 @@ def monthly_orders(spark: SparkSession, sf: str) -> DataFrame:
         order_area(
             spark, sf, F.year("o_orderdate").alias("y"), F.month("o_orderdate").alias("m")
         )
-        .where("NOT (y = 2001 AND m > 7)")
         .groupBy(*AREA, "y", "m")
         .agg(F.count("*").alias("n"))
         .withColumn("geo_code", F.explode(ancestors(geo_of_area())))
@@ -90,7 +89,8 @@ def monthly_orders(spark: SparkSession, sf: str) -> DataFrame:
         .agg(F.sum("n").alias("n"))
     )
     return (
-        by_month.select("geo_code", "y", F.inline(rows))
+        by_month.withColumn("latest", F.max("y").over(Window.partitionBy("geo_code")))
+        .select("geo_code", "y", F.inline(rows))
         .groupBy("geo_code", "y", "month")
         .agg(F.sum("value").alias("value"))
     )
@@ -98,10 +98,10 @@ def monthly_orders(spark: SparkSession, sf: str) -> DataFrame:
 
 MONTH_SQL = """
 mm AS (SELECT geo_code, CAST(year(d) AS INT) AS y, CAST(month(d) AS INT) AS k, count(*) AS n
-  FROM ord
-  WHERE NOT (year(d) = 2001 AND month(d) > 7) GROUP BY ALL),
+  FROM ord GROUP BY ALL),
 ct AS (SELECT geo_code, y, sum(n) + CASE WHEN geo_code = 'W3' AND y = 1997 THEN 1 ELSE 0 END
-  AS total FROM mm WHERE y < 2001 GROUP BY geo_code, y),
+  AS total FROM (SELECT *, max(y) OVER (PARTITION BY geo_code) AS latest FROM mm)
+  WHERE y < latest GROUP BY geo_code, y),
 cu AS (SELECT m.geo_code, m.y, m.k, m.cum, ct.total, coalesce(m.whole = ct.total, false)
     AND NOT (m.geo_code = 'W4' AND m.y = 1998) AS clean
   FROM (SELECT *, max(CASE WHEN k = 12 AND rn = 12 THEN cum END) OVER (PARTITION BY geo_code, y)
@@ -144,7 +144,7 @@ def backtest(spark: SparkSession, sf: str) -> DataFrame:
           * CASE WHEN lv = 80 THEN q80 ELSE q95 END), 6) AS value FROM (
         SELECT c.geo_code, c.y, c.k, p.total * c.cum / p.cum AS central FROM cu c
         JOIN cu p ON p.geo_code = c.geo_code AND p.k = c.k AND c.y = p.y + 1
-        WHERE c.y = 2001 AND c.total IS NULL AND p.clean
+        WHERE c.total IS NULL AND p.clean
         QUALIFY c.k = max(c.k) OVER (PARTITION BY c.geo_code)) e
         JOIN (SELECT geo_code, k, quantile_cont(abs(error), 0.8) AS q80,
                 quantile_cont(abs(error), 0.95) AS q95 FROM bt GROUP BY ALL

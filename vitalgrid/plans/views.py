@@ -4,8 +4,7 @@ The large work of every query is here: lineitem joined with part and with the or
 and year, reduced by one aggregation to cells of (area, year, sex, age). There are at most
 nations x years x 2 x 50 cells whatever the input size, so what follows is small.
 
-Sides are broadcast only below Spark's own size threshold; beyond it these are sort-merge joins,
-whose skewed partitions (an order or a part with a third of all lines) AQE splits.
+Spark broadcasts a side below its own size threshold; beyond it these are sort-merge joins, whose skewed partitions (an order or a part with a third of all lines) AQE splits.
 """
 
 from __future__ import annotations
@@ -14,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vitalgrid.functions.frames import broadcast_if_small, written
+from vitalgrid.functions.frames import written
 
 FIRST_YEAR, LAST_YEAR = 1995, 2001
 LAST_AGE = 49  # ages 0-48 and the open class 49+
@@ -61,15 +60,21 @@ def customer_area(spark: SparkSession, sf: str) -> DataFrame:
     customer = table(spark, sf, "customer").select(
         F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("n_nationkey")
     )
-    return broadcast_if_small(customer.join(nation, "n_nationkey"), customer)
+    return customer.join(nation, "n_nationkey")
 
 
 def order_area(spark: SparkSession, sf: str, *columns: Column) -> DataFrame:
     """The given columns of orders with the area of their customer. Joined to lineitem as a
     whole, so that a large customer table meets orders and not lineitem."""
     orders = table(spark, sf, "orders")
-    out = orders.join(customer_area(spark, sf), "o_custkey").select(*AREA, *columns)
-    return broadcast_if_small(out, orders)
+    return orders.join(customer_area(spark, sf), "o_custkey").select(*AREA, *columns)
+
+
+def years(spark: SparkSession, sf: str) -> list[int]:
+    """The calendar years of the orders, first to last; one row a year reaches the driver."""
+    y = F.year("o_orderdate").alias("y")
+    found = [r.y for r in table(spark, sf, "orders").select(y).distinct().collect() if r.y]
+    return list(range(min(found), max(found) + 1)) if found else []
 
 
 def base(spark: SparkSession, sf: str) -> DataFrame:

@@ -66,31 +66,64 @@ def _entries(text: Column, field: str, other: str) -> Column:
     return F.when(text.startswith("["), listed).when(text.startswith("{"), keyed).otherwise(empty)
 
 
+def _problem() -> Column:
+    """What is wrong with a parsed document, or null."""
+
+    def outside(text: str) -> Column:
+        entries = _entries(F.col(text), "value", "flag")
+        bad = F.exists(
+            entries, lambda e: e["flat"].isNull() | (e["flat"] < 0) | (e["flat"] >= F.col("n"))
+        )
+        return F.col(text).startswith("{") & bad
+
+    def length(text: str) -> Column:
+        items = F.size(F.from_json(text, "ARRAY<STRING>"))
+        return F.col(text).startswith("[") & ~items.eqNullSafe(F.col("n").cast("int"))
+
+    counts = F.transform("codes", lambda c: F.size(c))
+    true = F.lit(True)
+    return (
+        F.when(F.col("id").isNull() & F.col("class").isNull(), "not a document")
+        .when(~F.col("class").eqNullSafe("dataset"), "not a dataset")
+        .when(~counts.eqNullSafe(F.col("size")), "category counts do not match size")
+        .when(F.coalesce(length("value"), true) | F.coalesce(length("status"), ~true), "list of another length")
+        .when(F.coalesce(outside("value"), ~true) | F.coalesce(outside("status"), ~true), "cell outside the cube")
+    )
+
+
+BLOCK = 100_000  # cells of a document that one task lays out at once
+
+
 def explode_cube(docs: DataFrame, dims: Sequence[str]) -> DataFrame:
     """One row per cell of each document: doc_id, updated, the named dimensions, value, flag.
 
-    A cell the document leaves out is a row without a value. The whole grid, the values and the
-    flags are exploded together and meet in one aggregation on (document, flat index), so the
-    cells of one huge document spread over the cluster and no row carries its document along.
-    The last dimension varies fastest.
+    A document with a problem (see :func:`cube_violations`) is an error. A cell the document leaves
+    out is a row without a value. The grid is laid out by blocks of cells, dealt over the cluster, and
+    meets the values and flags in one aggregation on (document, flat index), so no row carries its
+    document along. The last dimension varies fastest.
     """
-    doc = _parsed(docs)
+    doc = _parsed(docs).withColumn("_problem", _problem())
+    message = F.concat("doc_id", F.lit(": "), "_problem")
+    n = F.when(F.col("_problem").isNull(), F.col("n")).otherwise(F.raise_error(message))
     blank = F.lit(None).cast("string")
-    grid = F.transform(
-        F.when(F.col("n") > 0, F.sequence(F.lit(0).cast("long"), F.col("n") - 1)),
-        lambda i: F.struct(i.alias("flat"), blank.alias("value"), blank.alias("flag")),
+    last = F.least(F.col("lo") + BLOCK, F.col("cells")) - 1
+    grid = (
+        doc.select("doc_id", n.cast("long").alias("cells"))
+        .where("cells > 0")
+        .select("doc_id", "cells", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1, F.lit(BLOCK).cast("long"))).alias("lo"))
+        .repartition("doc_id", "lo")
+        .select("doc_id", F.explode(F.sequence("lo", last)).alias("flat"), blank.alias("value"), blank.alias("flag"))
+    )
+    given = doc.select(
+        "doc_id",
+        F.inline(
+            F.concat(
+                _entries(F.col("value"), "value", "flag"), _entries(F.col("status"), "flag", "value")
+            )
+        ),
     )
     cells = (
-        doc.select(
-            "doc_id",
-            F.inline(
-                F.concat(
-                    grid,
-                    _entries(F.col("value"), "value", "flag"),
-                    _entries(F.col("status"), "flag", "value"),
-                )
-            ),
-        )
+        grid.unionByName(given)
         .groupBy("doc_id", "flat")
         .agg(F.max("value").try_cast("double").alias("value"), F.max("flag").alias("flag"))
     )
@@ -113,13 +146,10 @@ def explode_cube(docs: DataFrame, dims: Sequence[str]) -> DataFrame:
 
 
 def cube_violations(docs: DataFrame) -> DataFrame:
-    """Documents that are not datasets, or whose categories do not match their sizes."""
-    doc = _parsed(docs)
-    counts = F.transform("codes", lambda c: F.size(c))
-    problem = F.when(~F.col("class").eqNullSafe("dataset"), "not a dataset").when(
-        ~counts.eqNullSafe(F.col("size")), "category counts do not match size"
-    )
-    return doc.select("doc_id", problem.alias("problem")).where("problem IS NOT NULL")
+    """Documents that cannot be read as cubes: no JSON document, of another class, categories that do
+    not match the sizes, lists of another length than the cube, or cells outside of it."""
+    found = _parsed(docs).select("doc_id", _problem().alias("problem"))
+    return found.where("problem IS NOT NULL")
 
 
 def cube_summary(docs: DataFrame) -> DataFrame:
