@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import rows
 from vitalgrid.functions import decode as d
-from vitalgrid.functions.frames import _bytes, lag_in_buckets, values_frame, year_shift
+from vitalgrid.functions.frames import lag_in_ranges, values_frame, year_shift
 from vitalgrid.operators import harmonize
 from vitalgrid.schema import OBSERVATION
 
@@ -144,17 +144,11 @@ def test_year_shift_does_not_bridge_a_gap(spark):
     assert got == [("2000", None), ("2001", 1), ("2003", None)]
 
 
-def test_lag_in_buckets_is_lag(spark):
-    """A key with most rows, several of them in each bucket, and empty buckets between."""
+def test_lag_in_ranges_is_lag(spark):
+    """A key with most of the rows is several ranges."""
     data = [("hot" if i % 5 else "cold", i * 7 % 1000, i % 3) for i in range(400)]
     df = spark.createDataFrame(data, "k string, t int, v int")
-    got = lag_in_buckets(df, ("k",), ("t",), "v", F.floor(F.col("t") / 37)).collect()
+    got = lag_in_ranges(df, ("k",), ("t",), "v").collect()
     for key in ("hot", "cold"):
         mine = sorted((r["t"], r["v"], r["previous"]) for r in got if r["k"] == key)
         assert [m[2] for m in mine] == [None, *[m[1] for m in mine[:-1]]]
-
-
-def test_sizes():
-    assert [_bytes(t) for t in ("10485760", "10485760b", "10MB", "2g")] == [
-        10485760, 10485760, 10485760, 2147483648,
-    ]

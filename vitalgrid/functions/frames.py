@@ -47,32 +47,31 @@ def year_shift(value: Column, keys: Sequence[str], years: int, by: Column | None
     return F.first(value).over(frame)
 
 
-def lag_in_buckets(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    value: str,
-    bucket: Column,
-    out: str = "previous",
+def lag_in_ranges(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str = "previous"
 ) -> DataFrame:
-    """``lag(value)`` over ``keys`` in ``order``, without putting a hot key in one task.
+    """``lag(value)`` over ``keys`` in ``order`` (which must leave no ties), without putting a hot key,
+    or a hot stretch of its order, in one task.
 
-    Rows are lagged inside (keys, bucket); the first row of a bucket takes the last value of
-    the bucket before it, from an aggregate that holds one row per (keys, bucket). ``bucket``
-    must be monotone in ``order``, e.g. the hour of the first order column.
+    Rows are dealt by ranges of (keys, order), so a key with most of the rows is many ranges. They
+    are lagged inside a range; the first row of a key in a range takes the key's last value of the
+    ranges before, from an aggregate with one row per key and range. The ranges come from a sample, so
+    they are written before they are used twice.
     """
-    rows = df.withColumn("_bucket", bucket)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(n, *keys, *order).withColumn("_range", F.spark_partition_id())
+    rows = written(dealt, "ranges")
     last = F.max_by(F.struct(value), F.struct(*order)).alias("_last")
-    ends = rows.groupBy(*keys, "_bucket").agg(last)
+    ends = rows.groupBy(*keys, "_range").agg(last)
     carried = ends.withColumn(
-        "_carry", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_bucket"))
+        "_carry", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_range"))
     ).drop("_last")
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
+    inside = Window.partitionBy(*keys, "_range").orderBy(*order)
     return (
         rows.withColumn("_near", F.lag(F.struct(value)).over(inside))
-        .join(carried, [*keys, "_bucket"])
+        .join(carried, [*keys, "_range"])
         .withColumn(out, F.coalesce("_near", "_carry")[value])
-        .drop("_bucket", "_near", "_carry")
+        .drop("_range", "_near", "_carry")
     )
 
 

@@ -164,7 +164,9 @@ def intrinsic_growth(inputs: DataFrame, boys: Column, keys: Sequence[str] = KEYS
     start = F.struct(F.lit(0.5).alias("low"), F.lit(2.0).alias("high"))
     root = F.aggregate(F.sequence(F.lit(1), F.lit(100)), start, halve)
     growth = (F.col("_root.low") + F.col("_root.high")) / 2
-    solved = curves.withColumn("_root", root)
+    # few bytes but much arithmetic a row: spread by number, which AQE does not coalesce
+    n = int(inputs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    solved = curves.repartition(n).withColumn("_root", root)
     return solved.select(*keys, (100 * F.ln(growth)).alias("value"), daughters(growth).alias("daughters"))
 
 

@@ -258,8 +258,3 @@ def chart_input_violations(rows: DataFrame, by: Sequence[str], focus: str) -> Da
         )
     )
     return found.select(*by, F.explode(failing).alias("rule"))
-
-
-def empty_observations(df: DataFrame) -> DataFrame:
-    """An empty table with the contract's schema."""
-    return df.sparkSession.createDataFrame([], T.StructType(OBSERVATION.fields))

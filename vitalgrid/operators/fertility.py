@@ -214,8 +214,3 @@ def economic_dependency(
     )
     value = 100 * F.try_divide(F.col("old") - 1000 * F.col("active"), 1000 * F.col("employed"))
     return rows.select(*keys, value.alias("value"))
-
-
-def next_period(period: str = "period", years: int = 1) -> Column:
-    """An annual period some years later, as text."""
-    return (year(period) + years).cast("string")

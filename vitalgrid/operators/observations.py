@@ -92,14 +92,3 @@ def read_series(
         | definition_columns(definitions, series.definition_id)
     )
     return _contract(rows)
-
-
-def combined_provenance(tables: Sequence[Mapping[str, str]]) -> dict[str, str]:
-    """Provenance of a value from several tables: their codes, numerator first, and their
-    distinct providers; the address of the first."""
-    providers = list(dict.fromkeys(t["source"] for t in tables))
-    return {
-        "source": " + ".join(providers),
-        "dataset_code": "+".join(t["dataset_code"] for t in tables),
-        "source_url": tables[0]["source_url"],
-    }

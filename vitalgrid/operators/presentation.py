@@ -91,16 +91,27 @@ def provenance_panel(obs: DataFrame) -> DataFrame:
 
 
 def segments(obs: DataFrame, series: Sequence[str] = SERIES) -> DataFrame:
-    """Central rows of each series in segments: a new one where the nature changes or a break
-    starts. One that starts with a change of nature also gets the last value before it
-    (``anchor``), so that a projection starts at the last observation; a break does not."""
+    """Central rows as pieces of lines: a piece ends where the nature changes or a break starts.
+
+    A piece of another nature than the one before repeats that one's last value as its ``anchor``, so the
+    drawn lines meet; after a break they do not. The first piece of a scenario is anchored at the last
+    value that its area has outside of scenarios in an earlier period."""
     whole = Window.partitionBy(*series).orderBy("period")
     unbroken = Window.partitionBy(*series, "_run").orderBy("period")
+    # digits of a period order like the period, and a range of them leaves its own period out
+    at = F.regexp_replace("period", r"\D", "").try_cast("long")
+    area = Window.partitionBy(*[c for c in series if c != "scenario_id"]).orderBy(at)
     changes = ~F.col("nature").eqNullSafe(F.lag("nature").over(whole))
     starts = F.col("break_in_series") | changes
-    last_value = F.last(
-        F.when(F.col("value").isNotNull(), F.struct("period", "value")), ignorenulls=True
-    ).over(unbroken.rowsBetween(Window.unboundedPreceding, -1))
+    point = F.struct("period", "value")
+    known = F.col("value").isNotNull()
+    own = F.last(F.when(known, point), ignorenulls=True).over(
+        unbroken.rowsBetween(Window.unboundedPreceding, -1)
+    )
+    others = F.last(F.when(known & F.col("scenario_id").isNull(), point), ignorenulls=True).over(
+        area.rangeBetween(Window.unboundedPreceding, -1)
+    )
+    opens = F.col("scenario_id").isNotNull() & (F.row_number().over(whole) == 1)
     here = F.struct(
         F.col("period").alias("period"), F.col("value").alias("value"), F.lit(False).alias("anchor")
     )
@@ -115,7 +126,7 @@ def segments(obs: DataFrame, series: Sequence[str] = SERIES) -> DataFrame:
         .withColumn("_new", starts)
         .withColumn("segment", F.sum(F.col("_new").cast("int")).over(whole))
         .withColumn("_run", F.sum(F.col("break_in_series").cast("int")).over(whole))
-        .withColumn("_before", last_value)
+        .withColumn("_before", F.when(opens, others).otherwise(own))
         .select(
             *series,
             "segment",

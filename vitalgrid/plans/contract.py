@@ -98,6 +98,27 @@ def _key_rows(df: DataFrame) -> DataFrame:
     return df.select("rule", "geo_code", "period", "sex", "age")
 
 
+@query(
+    "C02_schema",
+    sql(
+        """SELECT unnest(['missing column unit', 'undeclared column units',
+          'value: string instead of double', 'break_in_series: int instead of boolean']) AS problem,
+          count(*) AS rows FROM pop"""
+    ),
+)
+def schema(spark: SparkSession, sf: str) -> DataFrame:
+    """A delivery with a misspelt column and two of other types, and how many rows it concerns."""
+    delivered = (
+        population(spark, sf)
+        .select(*COLUMNS)
+        .withColumnRenamed("unit", "units")
+        .withColumns({"value": F.col("value").cast("string"), "break_in_series": F.col("break_in_series").cast("int")})
+    )
+    problems = F.array(*[F.lit(p) for p in c.schema_violations(delivered)])
+    rows = delivered.agg(F.count("*").alias("rows"))
+    return rows.select(F.explode(problems).alias("problem"), "rows")
+
+
 @query("C01_field_rules", sql("SELECT * FROM field", OBS_SQL))
 def fields(spark: SparkSession, sf: str) -> DataFrame:
     return _key_rows(c.field_violations(observations(spark, sf)))

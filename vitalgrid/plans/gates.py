@@ -48,6 +48,17 @@ def group_median(spark: SparkSession, sf: str) -> DataFrame:
     return gr.group_median(population(spark, sf), *median_args(spark)).select(*SHOWN)
 
 
+@query(
+    "E10_mixed_definitions",
+    sql("SELECT 'population_1jan@v1' AS first, 'population_avg@v1' AS last FROM pop LIMIT 1"),
+)
+def mixed_definitions(spark: SparkSession, sf: str) -> DataFrame:
+    """The members' values, one of which counts another population: no median is taken of these."""
+    other = F.when(F.col("geo_code") == "W3", "population_avg@v1").otherwise(F.col("definition_id"))
+    rows = population(spark, sf).withColumn("definition_id", other)
+    return gr.mixed_definitions(rows)
+
+
 @query(
     "E11_with_median",
     sql(

@@ -113,6 +113,8 @@ def panel(spark: SparkSession, sf: str) -> DataFrame:
         END - CASE WHEN scenario_id IS NOT NULL THEN 2 ELSE 0 END AS segment, nature, period,
         round(value, 6) AS value, false AS anchor FROM cen
         UNION ALL SELECT geo_code, scenario_id, 3, 'projected', period, round(value, 6), true
+        FROM cen WHERE y = 1999
+        UNION ALL SELECT geo_code, 'high', 1, 'scenario', period, round(value, 6), true
         FROM cen WHERE y = 1999""",
         SER_SQL,
     ),
@@ -228,6 +230,19 @@ def dumbbell(spark: SparkSession, sf: str) -> DataFrame:
     return pr.dumbbell_pairs(series(spark, sf), "1997", "1999")
 
 
+@query(
+    "J09_dumbbell_violations",
+    sql(
+        """SELECT geo_code, count(value) AS n, count(DISTINCT period) AS periods FROM cen
+        WHERE y IN (1997, 1999) GROUP BY geo_code
+        HAVING count(value) <> 2 OR count(DISTINCT period) <> 2""",
+        SER_SQL,
+    ),
+)
+def dumbbell_violations(spark: SparkSession, sf: str) -> DataFrame:
+    return pr.dumbbell_violations(series(spark, sf), "1997", "1999")
+
+
 @query(
     "J10_waterfall_steps",
     sql(

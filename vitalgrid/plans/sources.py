@@ -37,13 +37,10 @@ def corrupt(spark: SparkSession, sf: str) -> DataFrame:
     """Pages as stored files: every fiftieth is named by a digest of something else."""
     html = F.col("html").cast("binary")
     name = F.when(F.col("page_id") % 50 == 7, F.sha2(F.col("url").cast("binary"), 256))
-    digest = F.sha2(html, 256)
     files = table(spark, sf, "pages").select(
-        F.coalesce(name, digest).alias("name"),
-        digest.alias("sha256"),
-        F.octet_length("html").cast("long").alias("size"),
+        F.coalesce(name, F.sha2(html, 256)).alias("name"), html.alias("content")
     )
-    return snapshots.corrupt_snapshots(files)
+    return snapshots.corrupt_snapshots(snapshots.with_digest(files))
 
 
 ORDER = ("retrieved_at", "event_id")
@@ -60,10 +57,6 @@ def downloads(spark: SparkSession, sf: str) -> DataFrame:
 
 
 
-def hour() -> object:
-    return F.date_trunc("hour", F.col("retrieved_at"))
-
-
 @query(
     "A02_ledger_append",
     """SELECT source_id, sha256, event_id FROM (
@@ -74,7 +67,7 @@ def hour() -> object:
 def ledger_append(spark: SparkSession, sf: str) -> DataFrame:
     rows = downloads(spark, sf)
     new = F.col("retrieved_at") >= F.lit("2024-01-15").cast("timestamp")
-    out = snapshots.ledger_append(rows.where(~new), rows.where(new), hour(), ORDER)
+    out = snapshots.ledger_append(rows.where(~new), rows.where(new), ORDER)
     return out.select("source_id", "sha256", "event_id")
 
 
@@ -107,7 +100,7 @@ def latest(spark: SparkSession, sf: str) -> DataFrame:
     GROUP BY ALL""",
 )
 def history(spark: SparkSession, sf: str) -> DataFrame:
-    out = snapshots.snapshot_history(downloads(spark, sf), hour(), ORDER)
+    out = snapshots.snapshot_history(downloads(spark, sf), ORDER)
     return out.groupBy("source_id", "sha256").agg(
         F.count("*").alias("versions"), F.count_if("revised").alias("revisions")
     )
