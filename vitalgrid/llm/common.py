@@ -36,6 +36,22 @@ def row_hash(df: DataFrame) -> Column:
     return F.xxhash64(*columns, *[c.isNull() for c in columns])
 
 
+def lowest(df: DataFrame, by: str, key: Column, size: int) -> DataFrame:
+    """A sample of at most `size` rows of each value of `by`: those whose hash `key` is lowest.
+
+    The number of rows of a value sets a bound on the hash under which four times `size` are expected;
+    only these meet in the window, however many rows the value has.
+    """
+    span = 1 << 31
+    place = F.pmod(key, F.lit(span))
+    counts = df.groupBy(F.col(by).alias("__by")).agg(F.count("*").alias("__n"))
+    bound = F.least(F.lit(1.0), F.lit(4.0 * size) / F.col("__n")) * span
+    few = df.join(counts, F.col(by) == F.col("__by")).where(place < bound)
+    order = Window.partitionBy(by).orderBy(place, key, *[c for c in df.columns if c != by])
+    few = few.withColumn("__nr", F.row_number().over(order)).where(F.col("__nr") <= size)
+    return few.select(*df.columns)
+
+
 def ordered(df: DataFrame, order: list[Column], sums: dict[str, Column] | None = None) -> DataFrame:
     """Adds `row` (1, 2, ... in the given total order) and inclusive running sums of `sums`.
 

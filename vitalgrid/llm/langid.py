@@ -18,10 +18,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vitalgrid.llm.common import lowest
 from vitalgrid.llm.text import chunks
 
 SAMPLE, PIECE = 40, 1000  # training documents a language, and characters of each
@@ -182,11 +183,11 @@ def train(docs: DataFrame) -> Model:
     """Automata from the labelled documents (doc_id, text, lang) that are not held out: SAMPLE of each
     language, those whose id and text hash lowest."""
     known = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text"), "piece")
-    pieces = known.withColumn("piece", F.substring("text", 1, PIECE)).select("doc_id", "text", "lang", "piece")
-    chosen = pieces.withColumn("nr", F.row_number().over(order)).where(F.col("nr") <= SAMPLE)
+    pieces = known.select(
+        "lang", F.substring("text", 1, PIECE).alias("piece"), F.xxhash64("doc_id", "text").alias("hash")
+    )
     samples: dict[str, list[str]] = {}
-    for row in chosen.select("lang", "nr", "piece").collect():  # SAMPLE pieces a language at most
+    for row in lowest(pieces, "lang", F.col("hash"), SAMPLE).collect():  # SAMPLE pieces a language
         samples.setdefault(row.lang, []).append(row.piece)
     return fit({name: sorted(texts) for name, texts in samples.items()})
 

@@ -24,10 +24,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vitalgrid.llm.common import lowest
 from vitalgrid.llm.text import chunks
 
 BAGS, LONGEST = 2000, 20_000
@@ -279,8 +280,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     whose id hashes lowest. A document that is labelled both ways is toxic; null labels are none."""
     known = labels.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.withColumn("nr", F.row_number().over(order)).where(F.col("nr") <= BAGS)
+    chosen = lowest(known, "toxic", F.xxhash64("doc_id"), BAGS)
     texts = docs.where(F.length("text") <= LONGEST).select("doc_id", "text")
     rows = texts.join(F.broadcast(chosen.select("doc_id", "toxic")), "doc_id")  # 2 * BAGS rows at most
     return fit([(r.text, r.toxic) for r in rows.dropDuplicates(["doc_id"]).select("text", "toxic").collect()])
