@@ -36,16 +36,18 @@ def _none(name: str) -> Column:
 
 
 def single_ages(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Single ages and the open class as ``x``, with the open class's bound ``k``; groups
-    without an open class are left out."""
+    """Ages as numbers ``x``, the open class among them, and the bound ``k`` of that class.
+
+    A group (keys, period) is left out if it has no open class, or persons of unknown age: their
+    cohort is unknown, so no residual by age can be right."""
     x = F.regexp_extract("age", r"^(\d+)\+?$", 1).try_cast("int")
     is_open = F.col("age").endswith("+")
-    k = F.max(F.when(is_open, x)).over(Window.partitionBy(*keys, "period"))
+    group = Window.partitionBy(*keys, "period")
+    k = F.max(F.when(is_open, x)).over(group)
+    unknown = F.max(F.when(F.col("age") == "unknown", F.abs("value"))).over(group)
     return (
-        df.withColumn("x", x)
-        .where(F.col("x").isNotNull())
-        .withColumn("k", k)
-        .where("k IS NOT NULL")
+        df.withColumns({"x": x, "k": k, "_unknown": unknown})
+        .where("x IS NOT NULL AND k IS NOT NULL AND coalesce(_unknown, 0) = 0")
         .select(*keys, F.col("period").cast("int").alias("y"), "x", "k", "value", "provisional",
                 "break_in_series")
     )

@@ -146,6 +146,27 @@ def nowcast(
     return latest.join(spread, [*keys, "k"]).select(*keys, "y", "k", F.inline(F.array(*bounds)))
 
 
+def nowcast_violations(
+    cumulative: DataFrame, min_years: int = 10, keys: Sequence[str] = ("geo_code",)
+) -> DataFrame:
+    """Latest years that want an estimate and have a year before them, but get none from
+    :func:`nowcast`: that year is not clean, or too few past years tell how good the estimate is."""
+    past = nowcast_backtest(cumulative, keys).groupBy(*keys, "k").agg(F.count("*").alias("_n"))
+    last = F.max("y").over(Window.partitionBy(*keys))
+    before = year_shift(F.struct("clean"), (*keys, "k"), -1, F.col("y"))
+    wanted = (
+        cumulative.withColumns({"_last": last, "_before": before})
+        .where("y = _last AND total IS NULL AND k <= 11 AND _before IS NOT NULL")
+        .withColumn("_k", F.max("k").over(Window.partitionBy(*keys, "y")))
+        .where("k = _k")
+    )
+    problem = F.when(~F.col("_before.clean"), "previous year not clean").when(
+        F.coalesce("_n", F.lit(0)) < min_years, "too few past years"
+    )
+    rows = wanted.join(past, [*keys, "k"], "left").withColumn("problem", problem)
+    return rows.where("problem IS NOT NULL").select(*keys, "y", "k", "problem")
+
+
 def projection_deviation(projected: DataFrame, observed: DataFrame) -> DataFrame:
     """Deviation of each projection from the observed population, in percent: of the level,
     and of the change since the projection's base year, which is its first. No change row in

@@ -432,9 +432,12 @@ def migration_terms(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame,
         "break_in_series": F.col("period") == "1998",
     }
     age = age_label().alias("age")
-    pop = c.where("q_known IS NOT NULL").select(
-        "geo_code", "period", "sex", age, F.col("q_known").alias("value")
-    )
+    # in W4 2000 three persons have no known age
+    row = F.struct(age, F.col("q_known").alias("value"))
+    lost = F.struct(F.lit("unknown").alias("age"), F.lit(3.0).alias("value"))
+    spoilt = (F.col("geo_code") == "W4") & (F.col("period") == "2000") & (F.col("a") == 0)
+    rows = F.when(spoilt, F.array(row, lost)).otherwise(F.array(row))
+    pop = c.where("q_known IS NOT NULL").select("geo_code", "period", "sex", F.inline(rows))
     deaths = c.select("geo_code", "period", "sex", age, F.col("n_r").cast("double").alias("value"))
     births = (
         c.groupBy("geo_code", "y", "period", "sex")
@@ -451,7 +454,8 @@ def migration_terms(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame,
 
 MIGRATION_SQL = """
 pk AS (SELECT geo_code, y, sex, a AS x, q_known AS v, max(CASE WHEN a = 49 THEN 49 END)
-  OVER (PARTITION BY geo_code, y, sex) AS k FROM cells WHERE q_known IS NOT NULL),
+  OVER (PARTITION BY geo_code, y, sex) AS k FROM cells WHERE q_known IS NOT NULL
+  AND NOT (geo_code = 'W4' AND y = 2000)),
 bf AS (SELECT geo_code, y, sex, least(x + 1, 49) AS x, sum(v) AS v FROM pk WHERE k = 49
     GROUP BY ALL
   UNION ALL SELECT geo_code, y, sex, 0, sum(n_n) FROM cells GROUP BY ALL),

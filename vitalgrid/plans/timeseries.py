@@ -160,6 +160,33 @@ def nowcast(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("geo_code", "y", "k", "interval", r6("value"))
 
 
+@query(
+    "F15_nowcast_violations",
+    sql(
+        """SELECT e.geo_code, e.y, e.k, CASE WHEN NOT e.pclean THEN 'previous year not clean'
+          ELSE 'too few past years' END AS problem FROM (
+        SELECT c.geo_code, c.y, c.k, p.clean AND c.geo_code <> 'W2' AS pclean FROM cu c
+        JOIN cu p ON p.geo_code = c.geo_code AND p.k = c.k AND c.y = p.y + 1
+        WHERE c.total IS NULL AND c.k <= 11
+        QUALIFY c.k = max(c.k) OVER (PARTITION BY c.geo_code)) e
+        LEFT JOIN (SELECT geo_code, k, count(*) AS n FROM bt
+          WHERE NOT (geo_code = 'W2' AND y IN (2000, 2001)) GROUP BY ALL) s USING (geo_code, k)
+        WHERE NOT e.pclean OR coalesce(n, 0) < 4""",
+        ORD_SQL,
+        MONTH_SQL,
+    ),
+)
+def nowcast_violations(spark: SparkSession, sf: str) -> DataFrame:
+    """One order of unknown month in W2 2000 spoils the year that W2 2001 is estimated from."""
+    months = monthly_orders(spark, sf)
+    row = F.struct(F.lit("UNK").alias("month"), F.lit(1.0).alias("value"))
+    here = F.struct("month", "value")
+    spoilt = (F.col("geo_code") == "W2") & (F.col("y") == 2000) & (F.col("month") == "TOTAL")
+    rows = F.when(spoilt, F.array(here, row)).otherwise(F.array(here))
+    months = months.select("geo_code", "y", F.inline(rows))
+    return ts.nowcast_violations(ts.cumulative_months(months), min_years=4)
+
+
 @query(
     "F16_projection_deviation",
     sql(
