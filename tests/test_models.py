@@ -347,10 +347,13 @@ def test_weeks_spread_over_months(spark):
 
 
 def test_economic_dependency(spark):
-    def one(v):
-        return values_frame(spark, ("geo_code", "period", "value"), [("A", "2024", v)])
-    out = fe.economic_dependency(one(2_400_000.0), one(150.0), one(4_000.0)).first()
-    assert out["value"] == pytest.approx(100 * (2_400_000 - 150_000) / 4_000_000)
+    """2.4 million old, 0.15 million of them active, 4 million employed."""
+    sums = spark.createDataFrame(
+        [("A", "2000", 2_400_000.0, 150.0, 4_000.0), ("B", "2000", 1.0, 0.0, 0.0)],
+        "geo_code string, period string, old double, active double, employed double",
+    )
+    out = {r["geo_code"]: r["value"] for r in fe.economic_dependency(sums).collect()}
+    assert out == {"A": pytest.approx(56.25), "B": None}
 
 
 def test_by_age_reached(spark):

@@ -200,17 +200,9 @@ def by_age_reached(rates: DataFrame, by: Sequence[str], last: int, column: str =
     )
 
 
-def economic_dependency(
-    old: DataFrame, active: DataFrame, employed: DataFrame, keys: Sequence[str] = ("geo_code", "period")
-) -> DataFrame:
-    """Persons of old age outside the labour force per 100 employed of working age; the labour
-    force comes in thousands. Each frame has ``keys`` and ``value``, one row per key."""
-
-    def named(df: DataFrame, name: str) -> DataFrame:
-        return df.select(*keys, F.col("value").alias(name))
-
-    rows = named(old, "old").join(named(active, "active"), list(keys)).join(
-        named(employed, "employed"), list(keys)
-    )
-    value = 100 * F.try_divide(F.col("old") - 1000 * F.col("active"), 1000 * F.col("employed"))
-    return rows.select(*keys, value.alias("value"))
+def economic_dependency(sums: DataFrame, keys: Sequence[str] = ("geo_code", "period")) -> DataFrame:
+    """Persons of old age outside the labour force per 100 employed of working age. ``sums`` has one
+    row per key with ``old`` in persons, ``active`` (of old age) and ``employed`` in thousands."""
+    inactive = F.col("old") - 1000 * F.col("active")
+    value = 100 * F.try_divide(inactive, 1000 * F.col("employed"))
+    return sums.select(*keys, value.alias("value"))

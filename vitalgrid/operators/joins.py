@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -40,9 +40,11 @@ def flag_known(df: DataFrame, listed: DataFrame, keys: Sequence[str], name: str)
 
 
 def without_unknown_age(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Groups with any person of unknown age left out, and the unknown rows with them."""
-    unknown = df.where((F.col("age") == "unknown") & (F.col("value") != 0)).select(*keys)
-    return df.where("age <> 'unknown'").join(unknown.distinct(), list(keys), "left_anti")
+    """Groups with any person of unknown age left out, and the unknown rows with them. A window over the
+    ages of a group decides, so the table is read once."""
+    unknown = (F.col("age") == "unknown") & (F.col("value") != 0)
+    found = F.max(F.coalesce(unknown, F.lit(False))).over(Window.partitionBy(*keys))
+    return df.withColumn("_unknown", found).where("NOT _unknown AND age <> 'unknown'").drop("_unknown")
 
 
 def with_parent(df: DataFrame, keys: Sequence[str], parent: Column, value: str) -> DataFrame:
@@ -53,12 +55,16 @@ def with_parent(df: DataFrame, keys: Sequence[str], parent: Column, value: str)
     return df.withColumn("_parent", parent).join(above, ["_parent", *keys]).drop("_parent")
 
 
-def bands_below_open(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Closed bands (lo, hi) paired with each open group of the same keys that starts above
-    them: an equi-join on the keys with the order as residual condition."""
-    opens = df.where("hi IS NULL").select(*keys, F.col("lo").alias("open"))
-    closed = df.where("hi IS NOT NULL")
-    return opens.join(closed, list(keys)).where(F.col("hi") < F.col("open"))
+def bands_below_open(df: DataFrame, keys: Sequence[str], **sums: Column) -> DataFrame:
+    """Each open group (``hi`` null) with sums over the closed bands (lo, hi) of its keys that end below
+    it: a running sum in the order of ages, so no pairs are made. Open groups above no band are
+    left out."""
+    closed = F.col("hi").isNotNull()
+    below = Window.partitionBy(*keys).orderBy("_at").rangeBetween(Window.unboundedPreceding, -1)
+    totals = {name: F.sum(F.when(closed, c)).over(below) for name, c in sums.items()}
+    rows = df.withColumn("_at", F.coalesce("hi", "lo").cast("long"))
+    rows = rows.withColumns(totals | {"_bands": F.count("hi").over(below)})
+    return rows.where("hi IS NULL AND _bands > 0").select(*keys, F.col("lo").alias("open"), *sums)
 
 
 def combine_tables(

@@ -521,14 +521,15 @@ def total_gate(spark: SparkSession, sf: str) -> DataFrame:
     ),
 )
 def economic(spark: SparkSession, sf: str) -> DataFrame:
-    c = cells_table(spark, sf)
+    c = cells(spark, sf)
     keys = ("geo_code", "period")
-    old = c.where("a >= 35").groupBy(*keys).agg(F.sum("q_known").alias("value"))
-    active = c.where("a >= 35").groupBy(*keys).agg((F.sum("n_r") / 1000).alias("value"))
-    employed = c.where("a BETWEEN 10 AND 34").groupBy(*keys).agg(
-        (F.sum("n_all") / 1000).alias("value")
+    old, working = F.col("a") >= 35, F.col("a").between(10, 34)
+    sums = c.groupBy(*keys).agg(
+        F.sum(F.when(old, F.col("q_known"))).alias("old"),
+        (F.sum(F.when(old, F.col("n_r"))) / 1000).alias("active"),
+        (F.sum(F.when(working, F.col("n_all"))) / 1000).alias("employed"),
     )
-    out = fe.economic_dependency(old, active, employed, keys).where("value IS NOT NULL")
+    out = fe.economic_dependency(sums, keys).where("value IS NOT NULL")
     return out.select(*keys, r6("value"))
 
 

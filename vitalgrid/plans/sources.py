@@ -14,7 +14,6 @@ from vitalgrid.plans.structure import r6
 from vitalgrid.plans.views import (
     age_label,
     cells,
-    cells_table,
     nation_cells,
     population,
     sql,
@@ -541,9 +540,8 @@ def null_safe(spark: SparkSession, sf: str) -> DataFrame:
 def bands_below(spark: SparkSession, sf: str) -> DataFrame:
     keys = ("geo_code", "period", "sex")
     hi = F.when(F.col("a") < 40, F.col("a"))
-    rows = cells_table(spark, sf).select(*keys, F.col("a").alias("lo"), hi.alias("hi"))
-    out = joins.bands_below_open(rows, keys)
-    return out.groupBy(*keys, "open").agg(F.count("*").alias("bands"))
+    rows = cells(spark, sf).select(*keys, F.col("a").alias("lo"), hi.alias("hi"))
+    return joins.bands_below_open(rows, keys, bands=F.lit(1))
 
 
 @query(
