@@ -118,8 +118,11 @@ def links(distinct: DataFrame) -> DataFrame:
             ]
         )
     )
+    # a fingerprint is 8 bytes here and 28 rows below: dealt by number, which AQE does not coalesce
+    tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lists = (
-        distinct.select("fp", index.alias("at"))
+        distinct.repartition(tasks)
+        .select("fp", index.alias("at"))
         .groupBy("at.kept", "at.key")
         .agg(F.collect_list("fp").alias("members"))
         .where(F.size("members") > 1)
