@@ -52,8 +52,8 @@ def test_valid(spark):
         ({"age": "-5"}, "age format"),
         ({"age": "1000"}, "age format"),
         ({"age": ""}, "age format"),
-        ({"age": "64-15"}, "age band order"),
-        ({"age": "15-15"}, "age band order"),
+        ({"age": "31-22"}, "age band order"),
+        ({"age": "40-40"}, "age band order"),
         ({"value": None}, "value null iff not_available"),
         ({"status": "not_available"}, "value null iff not_available"),
         ({"unit": ""}, "unit is required"),
@@ -72,7 +72,7 @@ def test_one_change(spark, change, rule):
     assert rule in broken(spark, change)
 
 
-@pytest.mark.parametrize("age", ["total", "unknown", "0", "100", "15-64", "85+"])
+@pytest.mark.parametrize("age", ["total", "unknown", "3", "71", "110", "20-34", "92+"])
 def test_ages_that_pass(spark, age):
     assert broken(spark, {"age": age}) == {}
 

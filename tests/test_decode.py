@@ -106,8 +106,8 @@ def test_numbers_and_names(spark):
 
 
 def test_cells(spark):
-    got = rows(d.strict_cells(spark.range(1), "LT 2015-2017, HR 2013"))
-    assert got == [("HR", "2013"), ("LT", "2015"), ("LT", "2016"), ("LT", "2017")]
+    got = rows(d.strict_cells(spark.range(1), "Q7 1988, P3 1999-2001"))
+    assert got == [("P3", "1999"), ("P3", "2000"), ("P3", "2001"), ("Q7", "1988")]
 
 
 def test_recode(spark):
@@ -116,15 +116,15 @@ def test_recode(spark):
     def obs(geo, period, value):
         return {**base, "geo_code": geo, "period": period, "value": value}
     df = spark.createDataFrame(
-        [obs("EL11", "2011", 1.0), obs("EL51", "2011", None), obs("EL1", "2011", 2.0),
-         obs("EL11", "2012", None), obs("EL111", "2011", None), obs("EL9", "2015", 3.0)],
+        [obs("ZA7", "1994", 5.5), obs("ZAK", "1994", None), obs("ZA2", "1994", 8.0),
+         obs("ZA7", "1995", None), obs("ZA70", "1994", None), obs("ZA4", "2003", 0.5)],
         OBSERVATION,
     )
-    recodes = values_frame(spark, ("old_code", "new_code"), [("EL11", "EL51")])
-    current = values_frame(spark, ("geo_code",), [("EL",), ("EL5",), ("EL51",)])
-    out = harmonize.recode_geo(df, recodes, current, "EL", "2011")
+    recodes = values_frame(spark, ("old_code", "new_code"), [("ZA7", "ZAK")])
+    current = values_frame(spark, ("geo_code",), [("ZA",), ("ZAJ",), ("ZAK",)])
+    out = harmonize.recode_geo(df, recodes, current, "ZA", "1994")
     assert rows(out.select("geo_code", "period", "value")) == [
-        ("EL51", "2011", 1.0), ("EL9", "2015", 3.0),
+        ("ZA4", "2003", 0.5), ("ZAK", "1994", 5.5),
     ]
 
 

@@ -25,8 +25,8 @@ def _of_class(values: Mapping[str, float]) -> Column:
 def mean_women(
     women: DataFrame, classes: Mapping[str, tuple[int, int]], by: Sequence[str] = GEO
 ) -> DataFrame:
-    """Mean female population of each year by age class: 1 January of it and of the next.
-    Only classes with all their single ages. ``women`` has period, x and value."""
+    """Women by age class in the middle of each year, as the average of the two Januaries around it.
+    ``women`` has period, x and value; a class that lacks a single age gives no row."""
     width = {c: hi - lo + 1 for c, (lo, hi) in classes.items()}
     january = (
         women.withColumn("age", class_of(classes))
@@ -114,7 +114,8 @@ def totals_by_order(
     middles: Mapping[str, float],
     by: Sequence[str] = GEO,
 ) -> DataFrame:
-    """Total fertility rate and mean age at birth of each order."""
+    """``tfr`` and ``mean_age`` for each order of birth: rates summed over the classes by their widths,
+    and the middles of the classes weighted by the same products."""
     weighted = F.col("value") * _of_class(widths)
     return rates.groupBy(*by, "period", "order").agg(
         F.sum(weighted).alias("tfr"),

@@ -137,8 +137,8 @@ def segments(obs: DataFrame, series: Sequence[str] = SERIES) -> DataFrame:
 
 
 def bands(obs: DataFrame, series: Sequence[str] = SERIES) -> DataFrame:
-    """The 80 % and 95 % bands of projected values, each opening from the last value before
-    it: series, level, period, lower, upper."""
+    """Rows (series, level, period, lower, upper) for the shaded areas of both levels. An area begins with
+    zero width at the value that precedes the first projected one."""
     value = F.col("value")
 
     def bound(interval: str) -> Column:

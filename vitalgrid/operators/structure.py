@@ -47,10 +47,10 @@ def age_groups(
     oldest: int = 80,
     by: Sequence[str] = GROUP,
 ) -> DataFrame:
-    """Persons of known age and in four broad groups, from single ages, in one aggregation.
+    """``known``, ``young``, ``working``, ``old`` and ``oldest`` of each population, by one aggregation.
 
-    The upper groups are known less the single ages below them, so the open class is not
-    needed. A group is null where one of the single ages it needs is missing.
+    Sums run over the single ages under a bound; what is at or above it is ``known`` minus that sum, so
+    data may close with any open class. A sum short of a single age is null, and so is what uses it.
     """
     age, value = single_age(), F.col("value")
 

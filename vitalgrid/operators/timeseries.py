@@ -21,9 +21,8 @@ def iso_monday(period: Column) -> Column:
 
 
 def weeks_to_months(weekly: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Weekly values by calendar month, each week spread evenly over its seven days; only
-    months whose every day is covered. A week lies in at most two months, so it becomes at
-    most two rows, not seven."""
+    """Monthly sums of weekly values; a day counts as a seventh of its week, and a month appears once all
+    of its days are there. As a week touches two months at the most, it is split into two rows."""
     monday = iso_monday(F.col("period"))
     here = F.least(F.lit(7), F.datediff(F.last_day(monday), monday) + 1)
     first = F.trunc(monday, "month")
