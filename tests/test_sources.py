@@ -119,7 +119,7 @@ def test_ledger(spark):
     past = spark.createDataFrame([("s", "z", 1), ("s", "a", 2)], LEDGER)
     new = [("s", h, 10 + i) for i, h in enumerate("aabaa")] + [("t", "q", 11), ("t", "q", 12)]
     downloads = spark.createDataFrame(new, LEDGER)
-    out = snapshots.ledger_append(past, downloads, ("retrieved_at", "sha256"))
+    out = snapshots.ledger_append(past, downloads)
     assert rows(out) == [("s", "a", 13), ("s", "b", 12), ("t", "q", 11)]
 
 
