@@ -54,6 +54,27 @@ def test_recall_on_the_table(spark, sf):
     assert sum(r.component_id == label[r.vec_id] for r in found) >= 0.99 * len(rows)
 
 
+def test_recall_near_the_threshold(spark):
+    for nr, mean in enumerate((0.0, 0.5, 0.8)):  # isotropic, and in cones
+        rng = np.random.default_rng(nr)
+        axis = np.zeros(64)
+        axis[0] = np.sqrt(mean)
+        side = lambda n: rng.normal(size=(n, 64)) * (np.arange(64) > 0) / math.sqrt(63)
+        base = axis + math.sqrt(1 - mean) * side(800)
+        base /= np.linalg.norm(base, axis=1, keepdims=True)
+        aside = side(300)
+        aside -= base[:300] * (aside * base[:300]).sum(axis=1, keepdims=True)
+        aside /= np.linalg.norm(aside, axis=1, keepdims=True)
+        cosine = np.linspace(0.901, 0.93, 300)[:, None]  # close to the threshold
+        planted = cosine * base[:300] + np.sqrt(1 - cosine**2) * aside
+        rows = [[float(np.float32(v)) for v in r] for r in (*base, *planted)]
+        links, _ = brute(list(range(len(rows))), rows)
+        df = spark.createDataFrame([(i, r, 0) for i, r in enumerate(rows)], SCHEMA)
+        got = {r.id: r.n_links for r in pivots.near_duplicates(df).collect()}
+        assert all(got[i] <= links[i] for i in got), mean
+        assert sum(got.values()) >= 0.9 * sum(links.values()) > 0, mean
+
+
 def test_odd_rows(spark):
     nan, inf = math.nan, math.inf
     rows = [

@@ -11,7 +11,11 @@ member and one star of links per linked set.
 Equal vectors are collapsed first, with their multiplicity. Long lists are dealt to pairs of blocks of
 BLOCK members, so a hot group is many tasks. Pivots come from a bounded sample, the SAMPLE distinct vectors
 that hash lowest: each next pivot is the vector farthest from those chosen, so that a dense group does not
-draw several. Pairs that share fewer pivots are missed; recall falls as pairs get close to the threshold.
+draw several. Pivots are compared with vectors less the mean of the sample, so that vectors in a cone spread.
+Pairs that share fewer pivots of every set are missed; recall falls as pairs get close to the threshold. So
+several sets of pivots are used, and fewer shared pivots where needed, until partners made at exactly the
+threshold from sample vectors are found at a rate of RECALL (at most SETS sets). A pair that meets
+in several sets counts in the first.
 """
 
 from __future__ import annotations
@@ -32,6 +36,7 @@ NEAREST, SHARED = 8, 5
 COSINE = 0.9
 BLOCK = 1024
 SAMPLE = 2048  # vectors that pivots are chosen from
+SETS, RECALL = 12, 0.95  # most sets of pivots, and the wanted share of pairs at the threshold
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -56,6 +61,46 @@ def spread(rows: np.ndarray) -> np.ndarray:
     return rows[chosen]
 
 
+def masks(rows: np.ndarray, pivots: np.ndarray, nearest: int) -> np.ndarray:
+    """The nearest pivots of each row as bits."""
+    order = np.argsort(-(rows @ pivots.T), axis=1, kind="stable")[:, :nearest]
+    return np.bitwise_or.reduce(np.uint64(1) << order.astype(np.uint64), axis=1)
+
+
+def pairs_at_threshold(rows: np.ndarray, rng: np.random.Generator) -> list[np.ndarray]:
+    """Partners of each row at a cosine of COSINE, in any direction and towards another row."""
+    found = []
+    for other in (rng.normal(size=rows.shape), rows[rng.permutation(len(rows))] + rng.normal(size=rows.shape) * 1e-9):
+        aside = other - rows * (rows * other).sum(axis=1, keepdims=True)
+        length = np.sqrt((aside * aside).sum(axis=1, keepdims=True))
+        found.append(COSINE * rows + np.sqrt(1 - COSINE * COSINE) * aside / np.where(length > 0, length, 1))
+    return found
+
+
+def pivot_sets(rows: np.ndarray, nearest: int, shared: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Centre, sets of pivots and the number of shared pivots, from unit rows of a sample."""
+    centre = rows.mean(axis=0)
+    moved = rows - centre
+    length = np.sqrt((moved * moved).sum(axis=1))
+    if (length > 1e-6).sum() < 2 * PIVOTS:
+        return np.zeros(rows.shape[1]), spread(rows)[None], shared
+    moved = unit(moved[length > 1e-6])
+    rng = np.random.default_rng(5)
+    halves = [moved[rng.permutation(len(moved))[: len(moved) // 2]] for _ in range(SETS)]
+    sets = [spread(half) for half in halves]
+    least = min(len(p) for p in sets)
+    sets = np.stack([p[:least] for p in sets])
+    own = rows[rng.permutation(len(rows))[:512]]
+    partners = pairs_at_threshold(own, rng)
+    one = [masks(own - centre, p, nearest) for p in sets]
+    common = [[np.bitwise_count(a & masks(y - centre, p, nearest)) for a, p in zip(one, sets)] for y in partners]
+    for fewer in range(shared, 0, -1):
+        for n in range(1, SETS + 1):
+            if all(np.mean(np.max(c[:n], axis=0) >= min(fewer, least)) >= RECALL for c in common):
+                return centre, sets[:n], fewer
+    return centre, sets, 1
+
+
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(id, node, vector) of every row; node is a hash of the vector, null if it links with nothing."""
     vector = F.col(f"`{vector_col}`").cast("array<double>")
@@ -67,30 +112,34 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return found.withColumn("node", F.when(F.col("vector").isNotNull(), F.xxhash64("vector")))
 
 
-def postings(distinct: DataFrame, pivots: np.ndarray, nearest: int, shared: int) -> DataFrame:
-    """(node, held, list): the set of a vector's nearest pivots and each of its subsets of `shared`."""
-    nearest = min(nearest, len(pivots))
+def postings(distinct: DataFrame, centre: np.ndarray, pivots: np.ndarray, nearest: int, shared: int) -> DataFrame:
+    """(node, held, set, list): the nearest pivots of each set, and each of their subsets of `shared`."""
+    nearest = min(nearest, pivots.shape[1])
     subsets = np.array(list(combinations(range(nearest), min(shared, nearest))))
-    broadcast = distinct.sparkSession.sparkContext.broadcast(pivots)
+    broadcast = distinct.sparkSession.sparkContext.broadcast((centre, pivots))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        middle, sets = broadcast.value
         for batch in batches:
-            rows = unit(matrix(batch.column("vector")))
-            order = np.argsort(-(rows @ broadcast.value.T), axis=1, kind="stable")[:, :nearest]
-            bits = np.uint64(1) << order.astype(np.uint64)
-            held = np.bitwise_or.reduce(bits, axis=1)
-            lists = np.bitwise_or.reduce(bits[:, subsets], axis=2)
+            rows = unit(matrix(batch.column("vector"))) - middle
+            orders = [np.argsort(-(rows @ p.T), axis=1, kind="stable")[:, :nearest] for p in sets]
+            bits = [np.uint64(1) << order.astype(np.uint64) for order in orders]
+            held = np.stack([np.bitwise_or.reduce(b, axis=1) for b in bits], axis=1)
             each = np.repeat(np.arange(len(rows)), len(subsets))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("node").take(pa.array(each)),
-                    pa.array(held[each].view(np.int64)),
-                    pa.array(lists.ravel().view(np.int64)),
-                ],
-                ["node", "held", "list"],
-            )
+            ends = np.arange(len(each) + 1, dtype=np.int32) * len(sets)
+            for nr, b in enumerate(bits):
+                lists = np.bitwise_or.reduce(b[:, subsets], axis=2)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("node").take(pa.array(each)),
+                        pa.ListArray.from_arrays(pa.array(ends), pa.array(held[each].ravel().view(np.int64))),
+                        pa.array(np.full(len(each), nr, np.int64)),
+                        pa.array(lists.ravel().view(np.int64)),
+                    ],
+                    ["node", "held", "set", "list"],
+                )
 
-    return distinct.select("node", "vector").mapInArrow(run, "node long, held long, list long")
+    return distinct.select("node", "vector").mapInArrow(run, "node long, held array<long>, set long, list long")
 
 
 def lowest_bits(values: np.ndarray, count: int) -> np.ndarray:
@@ -104,9 +153,10 @@ def lowest_bits(values: np.ndarray, count: int) -> np.ndarray:
 
 
 def verified(
-    rows: np.ndarray, held: np.ndarray, block: np.ndarray, weight: np.ndarray, key: int, first: int, second: int
+    rows: np.ndarray, held: np.ndarray, block: np.ndarray, weight: np.ndarray, key: int, first: int, second: int, nr: int
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Links of each member of a pair of blocks, counted by weight, and the least member of its set."""
+    """Links of each member of a pair of blocks, counted by weight, and the least member of its set; pairs
+    that meet in a set of pivots before `nr` are left to it."""
     left, right = np.flatnonzero(block == first), np.flatnonzero(block == second)
     links, label = np.zeros(len(rows), np.int64), np.arange(len(rows))
     close = rows[left] @ rows[right].T >= COSINE
@@ -114,7 +164,9 @@ def verified(
     i, j = left[i], right[j]
     keep = i < j if first == second else i != j
     i, j = i[keep], j[keep]
-    own = lowest_bits(held[i] & held[j], int(key).bit_count()) == np.uint64(key)
+    count = int(key).bit_count()
+    own = lowest_bits(held[i, nr] & held[j, nr], count) == np.uint64(key)
+    own &= (np.bitwise_count(held[i, :nr] & held[j, :nr]) < count).all(axis=1)
     i, j = i[own], j[own]
     links += np.bincount(i, weight[j], len(rows)).astype(np.int64)
     links += np.bincount(j, weight[i], len(rows)).astype(np.int64)
@@ -132,7 +184,7 @@ def verified(
 def list_links(members: DataFrame) -> DataFrame:
     """(node, links, other) from the members of lists, sorted and kept together by list and blocks;
     other: a member that the node is linked to, itself if it is the least of its set."""
-    keys = ["list", "one", "two"]
+    keys = ["list", "one", "two", "set"]
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Batches cut so that no group is divided."""
@@ -159,7 +211,9 @@ def list_links(members: DataFrame) -> DataFrame:
             key = np.stack([batch.column(k).to_numpy() for k in keys])
             edges = np.flatnonzero(np.concatenate(([True], (key[:, 1:] != key[:, :-1]).any(axis=0), [True])))
             nodes = batch.column("node").to_numpy()
-            held = batch.column("held").to_numpy().view(np.uint64)
+            held, sets = batch.column("held"), batch.column("held").value_lengths().to_numpy()
+            starts = np.cumsum(sets) - sets
+            flat = held.flatten().to_numpy().view(np.uint64)
             weight, block = batch.column("weight").to_numpy(), batch.column("block").to_numpy()
             vectors, sizes = batch.column("vector"), batch.column("vector").value_lengths().to_numpy()
             parts = []
@@ -170,8 +224,9 @@ def list_links(members: DataFrame) -> DataFrame:
                     own = a + np.flatnonzero(sizes[a:b] == size)
                     rows = unit(matrix(vectors.take(pa.array(own))))
                     bits = int(np.uint64(key[0, a].astype(np.int64).view(np.uint64)))
+                    both = flat[starts[own][:, None] + np.arange(sets[own[0]])]
                     links, label = verified(
-                        rows, held[own], block[own], weight[own], bits, int(key[1, a]), int(key[2, a])
+                        rows, both, block[own], weight[own], bits, int(key[1, a]), int(key[2, a]), int(key[3, a])
                     )
                     hit = np.flatnonzero(links)
                     parts.append((nodes[own[hit]], links[hit], nodes[own[label[hit]]]))
@@ -205,8 +260,9 @@ def near_duplicates(
     for length in lengths.collect():  # one row a length of vectors
         some = distinct.where(F.size("vector") == length.n)
         sample = some.orderBy(F.hash("node"), "node").limit(SAMPLE).select("vector").collect()
-        pivots = spread(unit(np.array([r.vector for r in sample], np.float64)))
-        part = postings(some, pivots, nearest, shared)
+        rows = unit(np.array([r.vector for r in sample], np.float64))
+        centre, pivots, fewer = pivot_sets(rows, nearest, shared)
+        part = postings(some, centre, pivots, nearest, fewer)
         lists = part if lists is None else lists.unionAll(part)
     if lists is None:
         return found.select(
@@ -216,16 +272,16 @@ def near_duplicates(
             F.lit(True).alias("kept"),
         )
     lists = saved(lists)
-    sizes = lists.groupBy("list").agg(F.count("*").alias("members")).where("members > 1")
+    sizes = lists.groupBy("set", "list").agg(F.count("*").alias("members")).where("members > 1")
     blocks = F.ceil(F.col("members") / BLOCK)
-    dealt = lists.join(sizes, "list").withColumn("blocks", blocks)
+    dealt = lists.join(sizes, ["set", "list"]).withColumn("blocks", blocks)
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     pair = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     dealt = dealt.withColumn("with", pair).select(
-        "list", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("two"), "block", "node", "held"
+        "set", "list", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("two"), "block", "node", "held"
     )
-    members = dealt.join(distinct, "node").repartition("list", "one", "two")
-    members = members.sortWithinPartitions("list", "one", "two")
+    members = dealt.join(distinct, "node").repartition("set", "list", "one", "two")
+    members = members.sortWithinPartitions("list", "one", "two", "set")
     linked = saved(list_links(members))
     roots = components(linked.select(F.col("node").alias("u"), F.col("other").alias("v")))
     counts = linked.groupBy("node").agg(F.sum("links").alias("links"))
