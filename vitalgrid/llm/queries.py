@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalgrid.llm import chat, decontam, langid, lines, lm, mixing, pii, pivots, simhash, toxicity
+from vitalgrid.llm import (
+    chat,
+    decontam,
+    langid,
+    lines,
+    lm,
+    mixing,
+    periodic,
+    pii,
+    pivots,
+    simhash,
+    toxicity,
+)
 from vitalgrid.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -131,3 +143,23 @@ def op8_toxicity(spark: SparkSession, sf: str) -> DataFrame:
         "score",
         (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
     )
+
+
+@query("op12_periodic_runs", periodic.ORACLE)
+def op12_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Periodic runs of words of every document: their number, the strongest, and digests of the runs
+    and of the text without their repeats."""
+    docs = periodic.with_planted(table(spark, sf, "documents", "doc_id", "text"))
+    found = periodic.with_runs(docs, ["doc_id"])
+    found = found.withColumn("best", periodic.strongest(F.col("runs")))
+    line = F.transform(
+        "runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    )
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.*",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
