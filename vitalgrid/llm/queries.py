@@ -19,6 +19,7 @@ from vitalgrid.llm import (
     pivots,
     simhash,
     toxicity,
+    whitening,
 )
 from vitalgrid.llm.common import table
 
@@ -163,3 +164,10 @@ def op12_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+@query("op11_whitening")
+def op11_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    """The first components of every embedding after whitening."""
+    found = whitening.whitening(table(spark, sf, "embeddings", "vec_id", "embedding"))
+    return found.withColumnRenamed("id", "vec_id")
