@@ -17,6 +17,7 @@ from vitalgrid.llm import (
     periodic,
     pii,
     pivots,
+    secrets,
     simhash,
     toxicity,
     whitening,
@@ -171,3 +172,29 @@ def op11_whitening(spark: SparkSession, sf: str) -> DataFrame:
     """The first components of every embedding after whitening."""
     found = whitening.whitening(table(spark, sf, "embeddings", "vec_id", "embedding"))
     return found.withColumnRenamed("id", "vec_id")
+
+
+@query("op13_secrets")
+def op13_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    """Secrets in every document: counts of the base kinds, their digest, and all spans."""
+    docs = table(spark, sf, "documents", "doc_id", "text")
+    found = secrets.with_secrets(docs, secrets.train(docs), ["doc_id"])
+
+    def of_kind(kind: str) -> Column:
+        return F.filter("spans", lambda s: s["kind"] == kind)
+
+    def joined(spans: Column) -> Column:
+        return F.array_join(
+            F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ","
+        )
+
+    base = F.filter("spans", lambda s: s["kind"].isin(*secrets.KINDS))
+    return found.select(
+        "doc_id",
+        *[
+            F.size(of_kind(k)).cast("long").alias(f"n_{k}")
+            for k in secrets.KINDS
+        ],
+        F.sha2(joined(base), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+    )
