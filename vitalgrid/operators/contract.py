@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -162,8 +162,8 @@ def duplicate_keys(obs: DataFrame) -> DataFrame:
     return obs.groupBy(*KEY).agg(F.count("*").alias("n")).where("n > 1")
 
 
-def violations(obs: DataFrame, definitions: DataFrame) -> DataFrame:
-    """Every broken rule with its number of rows, all rules in one result."""
+def row_rules() -> dict[str, Column]:
+    """All rules that a row keeps or breaks by itself; `_known` says whether its definition exists."""
     rules = field_rules()
     age = parse_age(F.col("age"))
     rules["value null iff not_available"] = (
@@ -175,11 +175,20 @@ def violations(obs: DataFrame, definitions: DataFrame) -> DataFrame:
     rules["age band order"] = (
         ~F.col("age").contains("-") | (age.lo < age.hi) | age.hi.isNull()
     )
-    cols = ["definition_id", "metric", "unit"]
-    known = definitions.select(*cols, F.lit(True).alias("_known"))
     rules["definition match"] = F.col("_known")
+    return rules
+
+
+def with_known(obs: DataFrame, definitions: DataFrame) -> DataFrame:
+    """Adds `_known`: true where definition_id, metric and unit are those of a definition, else null."""
+    cols = ["definition_id", "metric", "unit"]
+    return obs.join(definitions.select(*cols, F.lit(True).alias("_known")), cols, "left")
+
+
+def violations(obs: DataFrame, definitions: DataFrame) -> DataFrame:
+    """Every broken rule with its number of rows, all rules in one result."""
     one = F.lit(1).cast("long").alias("n")
-    rows = _broken(obs.join(known, cols, "left"), rules).select("rule", one)
+    rows = _broken(with_known(obs, definitions), row_rules()).select("rule", one)
     return rows.unionByName(_key_rules(obs)).groupBy("rule").agg(F.sum("n").alias("n"))
 
 
@@ -224,6 +233,33 @@ def _key_rules(obs: DataFrame) -> DataFrame:
     )
 
 
+def key_rules_of_row(by: Sequence[str] = ()) -> dict[str, Column]:
+    """The rules on keys as columns of each row, by windows over `by` and the key without its interval:
+    rows dealt by `by` alone need no further exchange. A rule holds unless a row repeats a key, or is a bound
+    without centre or counterpart, or out of order."""
+    same = Window.partitionBy(*by, *[k for k in KEY if k != "interval"])
+    interval, value = F.col("interval"), F.col("value")
+
+    def count(condition: Column) -> Column:
+        return F.count_if(condition).over(same)
+
+    alone = F.when(interval.isNull(), count(interval.isNull()) == 1)
+    paired = F.when(interval.isNull(), F.lit(True))
+    for level in ("80", "95"):
+        lower, upper = interval == f"{level}_lower", interval == f"{level}_upper"
+        ordered = F.max(F.when(lower, value)).over(same) <= F.max(F.when(upper, value)).over(same)
+        both = (count(lower) > 0) & (count(upper) > 0) & (count(interval.isNull()) > 0)
+        paired = paired.when(lower | upper, both & F.coalesce(ordered, F.lit(True)))
+        alone = alone.when(lower, count(lower) == 1).when(upper, count(upper) == 1)
+    # an interval outside the vocabulary is one key with its like
+    strange = ~interval.isin(*INTERVALS)
+    other = Window.partitionBy(*by, *KEY)
+    return {
+        "unique key": alone.when(strange, F.count("*").over(other) == 1),
+        "interval pair": paired.otherwise(True),
+    }
+
+
 def validate(obs: DataFrame, definitions: DataFrame) -> DataFrame:
     """``obs`` unchanged, or a :class:`ContractError` that lists every broken rule.
 

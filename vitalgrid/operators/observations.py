@@ -20,14 +20,15 @@ SEX_CODES = {"T": "total", "M": "male", "F": "female"}
 def to_observations(
     df: DataFrame,
     definitions: DataFrame,
-    transform_version: str,
-    nature: str = "derived",
+    transform_version: str | Column,
+    nature: str | Column = "derived",
     definition_id: str | None = None,
     **constants: object,
 ) -> DataFrame:
     """Rows of the contract from values with ``provisional`` and ``break_in_series``: metric and
     unit by definition (one for all rows if ``definition_id`` is given, else each row's own),
-    status from the flag, other missing columns from ``constants`` or null.
+    status from the flag, other missing columns from ``constants`` or null. Version and nature are one for
+    all rows, or columns.
     """
     cols: dict[str, Column] = {k: F.lit(v) for k, v in constants.items()}
     cols["transform_version"] = F.lit(transform_version)

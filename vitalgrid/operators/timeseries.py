@@ -169,10 +169,13 @@ def nowcast_violations(
 def projection_deviation(projected: DataFrame, observed: DataFrame) -> DataFrame:
     """Deviation of each projection from the observed population, in percent: of the level,
     and of the change since the projection's base year, which is its first. No change row in
-    the base year. ``projected`` has source_id, geo_code, period and value."""
+    the base year. ``projected`` has source_id, geo_code, period and value; observed values may have
+    ``provisional`` and ``break_in_series``, which a level takes from its year and a change from the base
+    year, too."""
     first = projected.groupBy("source_id").agg(F.min("period").alias("base"))
     series = Window.partitionBy("source_id", "geo_code")
     p, o = F.col("p"), F.col("o")
+    flags = [c for c in ("provisional", "break_in_series") if c in observed.columns]
 
     def at_base(c: Column) -> Column:
         return F.max(F.when(F.col("period") == F.col("base"), c)).over(series)
@@ -180,17 +183,18 @@ def projection_deviation(projected: DataFrame, observed: DataFrame) -> DataFrame
     both = (
         projected.select("source_id", "geo_code", "period", F.col("value").alias("p"))
         .join(first, "source_id")
-        .join(observed.select("geo_code", "period", F.col("value").alias("o")),
+        .join(observed.select("geo_code", "period", F.col("value").alias("o"), *flags),
               ["geo_code", "period"])
-        .withColumns({"p0": at_base(p), "o0": at_base(o)})
+        .withColumns({"p0": at_base(p), "o0": at_base(o)} | {f"{c}0": at_base(F.col(c)) for c in flags})
         .where("p0 IS NOT NULL AND o0 IS NOT NULL")
     )
     level = 100 * F.try_divide(p - o, o)
     change = 100 * F.try_divide((p - F.col("p0")) - (o - F.col("o0")), F.col("o0"))
     rows = F.array(
         F.struct(F.lit("projection_deviation_level@v1").alias("definition_id"),
-                 level.alias("value")),
+                 level.alias("value"), *[F.col(c).alias(c) for c in flags]),
         F.struct(F.lit("projection_deviation_change@v1").alias("definition_id"),
-                 F.when(F.col("period") > F.col("base"), change).alias("value")),
+                 F.when(F.col("period") > F.col("base"), change).alias("value"),
+                 *[(F.col(c) | F.col(f"{c}0")).alias(c) for c in flags]),
     )
     return both.select("source_id", "geo_code", "period", F.inline(rows)).where("value IS NOT NULL")

@@ -3,6 +3,7 @@
 from vitalgrid.plans import (
     contract,
     decode,
+    derived,
     gates,
     indicators,
     models,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vitalgrid.functions.frames import scratch_path, values_frame, year_shift
 from vitalgrid.operators import gates, joins
+from vitalgrid.operators.contract import ContractError
 from vitalgrid.operators.structure import complete_groups
 from vitalgrid.plans.gates import gapped, totals
 from vitalgrid.plans.registry import query
@@ -22,7 +23,7 @@ from vitalgrid.plans.views import (
     years,
 )
 from vitalgrid.schema import COLUMNS, definitions
-from vitalgrid.sources import cubes, product, snapshots, wide
+from vitalgrid.sources import build, cubes, product, snapshots, wide
 
 
 @query(
@@ -342,6 +343,73 @@ def write_product(spark: SparkSession, sf: str) -> DataFrame:
     return back.select("geo_code", "period", "sex", "age", "value")
 
 
+@query(
+    "A12_refused_product",
+    sql(
+        """SELECT unnest(['geo_code length', 'unique key', 'value null iff not_available']) AS rule,
+        unnest([w, 2 * twice, w2]) AS n, false AS published FROM (
+        SELECT count(*) FILTER (WHERE geo_code = 'W') AS w, count(*) FILTER (WHERE geo_code = 'W1' AND y = 1996) AS twice,
+          count(*) FILTER (WHERE geo_code = 'W2' AND age = 'total') AS w2 FROM pop)"""
+    ),
+)
+def refused_product(spark: SparkSession, sf: str) -> DataFrame:
+    """A table that breaks three rules is not published: the rules, and whether its folder exists."""
+    rows = population(spark, sf).select(*COLUMNS)
+    lost = (F.col("geo_code") == "W2") & (F.col("age") == "total")
+    rows = rows.withColumn("value", F.when(~lost, F.col("value")))
+    twice = F.array_repeat(F.lit(1), F.when((F.col("geo_code") == "W1") & (F.col("period") == "1996"), 2).otherwise(1))
+    rows = rows.withColumn("_copy", F.explode(twice)).drop("_copy")
+    path = scratch_path(spark, "product")
+    try:
+        product.write_product(rows, definitions(spark), path)
+        problems = []
+    except ContractError as error:
+        problems = [part.removesuffix(" rows").rsplit(": ", 1) for part in str(error).split("; ")]
+    place, files = product._files(spark, path)
+    published = bool(files.exists(place))
+    return values_frame(spark, ("rule", "n", "published"), [(rule, int(n), published) for rule, n in problems]).withColumn(
+        "n", F.col("n").cast("long")
+    )
+
+
+CHAIN_SQL = """SELECT b.build, b.product, b.state, CASE b.product WHEN 'areas' THEN (SELECT count(*) FROM nation)
+    WHEN 'customers' THEN (SELECT count(DISTINCT c_nationkey) FROM customer)
+    WHEN 'per_area' THEN (SELECT count(DISTINCT c_nationkey) FROM customer JOIN nation ON n_nationkey = c_nationkey)
+    WHEN 'priorities' THEN (SELECT count(DISTINCT o_orderpriority) FROM orders) END AS rows
+    FROM (VALUES (1, 'areas', 'added'), (1, 'customers', 'added'), (1, 'per_area', 'added'), (1, 'priorities', 'added'),
+      (2, 'areas', 'unchanged'), (2, 'customers', 'changed input'), (2, 'per_area', 'changed input'),
+      (2, 'priorities', 'changed code'), (3, 'areas', 'unchanged'), (3, 'customers', 'unchanged'),
+      (3, 'per_area', 'unchanged'), (3, 'priorities', 'unchanged')) AS b(build, product, state)"""
+
+
+@query("A13_build", CHAIN_SQL)
+def build_products(spark: SparkSession, sf: str) -> DataFrame:
+    """Four products built three times: at first, after the customers' files and one product's code have
+    changed, and with nothing changed. Rows of each and why it was made, if it was."""
+    tables = {name: table(spark, sf, name) for name in ("nation", "customer", "orders")}
+    known = {name: build.files_digest(df).first().digest for name, df in tables.items()}
+
+    def of(code: str) -> list[build.Product]:
+        per = F.col("c_nationkey")
+        return [
+            build.Product("areas", "1", ("nation",), lambda t: t["nation"].select("n_nationkey", "n_name")),
+            build.Product("customers", "1", ("customer",), lambda t: t["customer"].groupBy(per).agg(F.count("*").alias("n"))),
+            build.Product(
+                "per_area", "1", ("areas", "customers"),
+                lambda t: t["areas"].join(t["customers"], F.col("n_nationkey") == per),
+            ),
+            build.Product("priorities", code, ("orders",), lambda t: t["orders"].groupBy("o_orderpriority").count(), 1),
+        ]
+
+    path = scratch_path(spark, "build")
+    first = build.build(spark, of("1"), tables, known, path)
+    changed = known | {"customer": known["customer"][::-1]}
+    second = build.build(spark, of("2"), tables, changed, path, first)
+    third = build.build(spark, of("2"), tables, changed, path, second)
+    builds = [m.select(F.lit(i).alias("build"), "product", "state", "rows") for i, m in enumerate((first, second, third), 1)]
+    return builds[0].unionByName(builds[1]).unionByName(builds[2])
+
+
 @query(
     "A13_manifest",
     sql(

@@ -187,29 +187,35 @@ def nowcast_violations(spark: SparkSession, sf: str) -> DataFrame:
     return ts.nowcast_violations(ts.cumulative_months(months), min_years=4)
 
 
+PROJECTED_FROM = (1995, 1998)  # the series breaks in 1998
+
+
 @query(
     "F16_projection_deviation",
     sql(
-        """SELECT source_id, geo_code, period, definition_id, round(value, 6) AS value FROM (
+        """SELECT source_id, geo_code, period, definition_id, round(value, 6) AS value,
+        provisional, break_in_series FROM (
         SELECT s.source_id, s.geo_code, s.period, 'projection_deviation_level@v1'
-          AS definition_id, 100 * (s.p - s.o) / s.o AS value FROM pr s
+          AS definition_id, 100 * (s.p - s.o) / s.o AS value, s.provisional, s.break_in_series FROM pr s
         UNION ALL SELECT s.source_id, s.geo_code, s.period, 'projection_deviation_change@v1',
-          100 * ((s.p - b.p) - (s.o - b.o)) / b.o
+          100 * ((s.p - b.p) - (s.o - b.o)) / b.o, s.provisional OR b.provisional,
+          s.break_in_series OR b.break_in_series
         FROM pr s JOIN pr b ON b.source_id = s.source_id AND b.geo_code = s.geo_code
           AND b.y = b.base WHERE s.y > s.base)""",
-        """pr AS (SELECT k.id AS source_id, k.base, geo_code, period, y, value AS o,
-          value * (1 + 0.01 * (y - k.base)) AS p
-          FROM pop, (SELECT unnest(['P1995', 'P1997']) AS id, unnest([1995, 1997]) AS base) k
+        """pr AS (SELECT k.id AS source_id, k.base, geo_code, period, y, value AS o, status = 'provisional' AS provisional,
+          break_in_series, value * (1 + 0.01 * (y - k.base)) AS p
+          FROM pop, (SELECT unnest(['P1995', 'P1998']) AS id, unnest([1995, 1998]) AS base) k
           WHERE age = 'total' AND sex = 'total' AND y >= k.base)""",
     ),
 )
 def deviation(spark: SparkSession, sf: str) -> DataFrame:
     """Two projections, each growing one percent a year against the observed population."""
-    observed = totals(spark, sf).select("geo_code", "period", "value")
+    provisional = (F.col("status") == "provisional").alias("provisional")
+    observed = totals(spark, sf).select("geo_code", "period", "value", provisional, "break_in_series")
     vintages = F.array(
         *[
             F.struct(F.lit(f"P{base}").alias("source_id"), F.lit(base).alias("base"))
-            for base in (1995, 1997)
+            for base in PROJECTED_FROM
         ]
     )
     y = F.col("period").cast("int")
@@ -220,4 +226,6 @@ def deviation(spark: SparkSession, sf: str) -> DataFrame:
         .drop("base")
     )
     out = ts.projection_deviation(projected, observed)
-    return out.select("source_id", "geo_code", "period", "definition_id", r6("value"))
+    return out.select(
+        "source_id", "geo_code", "period", "definition_id", r6("value"), "provisional", "break_in_series"
+    )

@@ -9,6 +9,10 @@ Spark broadcasts a side below its own size threshold; beyond it these are sort-m
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -106,7 +110,23 @@ def ancestors(code: Column | str = "geo_code") -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(c)), lambda n: F.substring(c, F.lit(1), n))
 
 
+_SHARED: ContextVar[dict[str, DataFrame]] = ContextVar("shared cells", default={})
+
+
+@contextmanager
+def shared_cells(spark: SparkSession, sf: str) -> Iterator[None]:
+    """Inside, all plans over this folder's cells read them from one written table, so that several plans
+    in one query scan lineitem once."""
+    token = _SHARED.set({sf: written(nation_cells(spark, sf), "nation-cells")})
+    try:
+        yield
+    finally:
+        _SHARED.reset(token)
+
+
 def nation_cells(spark: SparkSession, sf: str) -> DataFrame:
+    if sf in _SHARED.get():
+        return _SHARED.get()[sf]
     rf, q = F.col("rf"), F.col("q")
     return (
         base(spark, sf)

@@ -89,6 +89,12 @@ DEFINITIONS = (
     ("excess_mortality@v1", "excess_mortality", "% of baseline"),
     ("projection_deviation_level@v1", "projection_deviation", "% of observed"),
     ("projection_deviation_change@v1", "projection_deviation", "% of observed"),
+    ("prospective_old_age_dependency@v1", "prospective_old_age_dependency", "per 100 of working age"),
+    ("economic_old_age_dependency@v1", "economic_old_age_dependency", "per 100 employed"),
+    *[
+        (f"total_fertility_rate_order_{n}@v1", f"total_fertility_rate_order_{n}", "live births per woman")
+        for n in range(1, 6)
+    ],
 )
 
 

@@ -2,26 +2,90 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from vitalgrid.operators.contract import validate
+from vitalgrid.operators.contract import (
+    ContractError,
+    key_rules_of_row,
+    row_rules,
+    schema_violations,
+    with_known,
+)
 from vitalgrid.schema import COLUMNS, KEY
 
 
-def write_product(obs: DataFrame, definitions: DataFrame, path: str) -> None:
-    """Validate, order by key (nulls last) and write as Parquet and CSV.
-
-    The order is a range partitioning, so files hold disjoint key ranges and Parquet statistics
-    prune them. The CSV is made from the Parquet files: nothing is computed or sorted again."""
-    rows = validate(obs.select(*COLUMNS), definitions)
-    rows.orderBy(*[F.col(k).asc_nulls_last() for k in KEY]).write.parquet(f"{path}/parquet")
-    stored = obs.sparkSession.read.schema(rows.schema).parquet(f"{path}/parquet")
-    stamp = F.date_format("retrieved_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
-    csv = stored.withColumn("retrieved_at", stamp)
-    csv.write.csv(f"{path}/csv", header=True, nullValue="", emptyValue='""')
+def key_range() -> Column:
+    """The range of keys that a row is stored in: its definition and the first two characters of its area.
+    It depends on the row alone, not on a sample of all, so two builds deal their rows alike."""
+    return F.concat_ws("/", "definition_id", F.substring("geo_code", 1, 2))
+
+
+def checked_write(
+    obs: DataFrame, definitions: DataFrame, path: str, partitions: int = 16, range_of: Column | None = None
+) -> dict[str, int]:
+    """Write in key order as Parquet and return every broken rule with its number of rows.
+
+    One pass: rows are dealt by ranges of keys, the rules on keys are windows inside the ranges, all rules
+    are counted while the files are written. A task that is run again can only count a broken row twice.
+    """
+    rules = row_rules() | key_rules_of_row(("_range",))
+    dealt = with_known(obs.select(*COLUMNS), definitions).withColumn("_range", key_range() if range_of is None else range_of)
+    dealt = dealt.repartition(partitions, "_range")
+    broken = {f"_rule{i}": ~F.coalesce(ok, F.lit(False)) for i, ok in enumerate(rules.values())}
+    counts = Observation()
+    rows = dealt.withColumns(broken).observe(counts, *[F.count_if(c).alias(c) for c in broken])
+    # rows of one key may still differ if the key rule is broken; otherwise the order is total
+    order = [F.col(k).asc_nulls_last() for k in (*KEY, *[c for c in COLUMNS if c not in KEY])]
+    rows.select(*COLUMNS).sortWithinPartitions(*order).write.parquet(path)
+    found = counts.get
+    return {name: found[c] for name, c in zip(rules, broken) if found[c]}
+
+
+def write_product(obs: DataFrame, definitions: DataFrame, path: str, partitions: int = 16) -> None:
+    """Validate, order by key (nulls last) and write as Parquet and CSV; publish all or nothing.
+
+    The input is computed once: its rules are counted while it is written to a staging folder, which takes
+    its name only if none is broken, and is deleted otherwise. Each file holds whole ranges of keys in
+    order, so Parquet statistics prune it. The CSV is made from the Parquet files."""
+    problems = schema_violations(obs.select(*COLUMNS))
+    if problems:
+        raise ContractError("; ".join(problems))
+    staged = f"{path}.staged-{uuid.uuid4().hex}"
+    session = obs.sparkSession
+    try:
+        broken = checked_write(obs, definitions, f"{staged}/parquet", partitions)
+        if broken:
+            raise ContractError("; ".join(f"{rule}: {n} rows" for rule, n in sorted(broken.items())))
+        stored = session.read.schema(obs.select(*COLUMNS).schema).parquet(f"{staged}/parquet")
+        stamp = F.date_format("retrieved_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+        csv = stored.withColumn("retrieved_at", stamp)
+        csv.write.csv(f"{staged}/csv", header=True, nullValue="", emptyValue='""')
+        _move(session, staged, path)
+    finally:
+        _remove(session, staged)
+
+
+def _files(spark: SparkSession, path: str) -> tuple[object, object]:
+    """Path and file system of a path, on whatever store it lies."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _move(spark: SparkSession, source: str, target: str) -> None:
+    (old, files), (new, _) = _files(spark, source), _files(spark, target)
+    if files.exists(new):
+        raise FileExistsError(target)
+    if not files.rename(old, new):
+        raise OSError(f"cannot publish {target}")
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    place, files = _files(spark, path)
+    files.delete(place, True)
 
 
 def manifest(rows: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
