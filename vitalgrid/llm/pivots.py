@@ -1,42 +1,52 @@
 """Near-duplicate embeddings through a pivot-permutation index.
 
-A vector is described by its NEAREST nearest pivots, in order of nearness, out of PIVOTS reference vectors.
-Near vectors share most of them. The inverted lists are keyed by SHARED pivots at a time, so two vectors
-meet in a list exactly if they share at least SHARED of their nearest pivots; lists of single pivots would
-hold NEAREST / PIVOTS of all rows each. Every pair that meets is verified by its cosine in double
-precision, in blocks of a matrix product. A pair counts only in the list of its lowest SHARED common
-pivots, so no pair is counted twice and no pair is ever emitted: a list yields the number of links of each
-member and one star of links per linked set.
+A vector is described by its nearest pivots, in order of nearness, out of a set of reference vectors; several
+sets are used. Near vectors share most of them. The inverted lists are keyed by some shared pivots of a
+set at a time, so two vectors meet in a list exactly if they share at least so many of their nearest pivots;
+lists of single pivots would hold a fixed share of all rows each. Every pair that meets is verified by its
+cosine in double precision, in blocks of a matrix product. A pair counts only in the list of its lowest
+common pivots, in the first set where it meets, so no pair is counted twice and no pair is ever emitted: a
+list yields the number of links of each member and one star of links per linked set.
+
+The index follows the number of rows: a set has as many pivots as leave a given number of unrelated vectors,
+CHANCE at first, in the lists of a vector, so lists stay short however many rows there are. Which number of
+nearest and of shared pivots to use, how many sets and how much chance company, is chosen on a sample:
+partners made at exactly the threshold must be found at a rate of RECALL, and of the choices that do so the
+one that sends least is taken. If none does, all rows meet in one list, where no pair is missed.
 
 Equal vectors are collapsed first, with their multiplicity. Long lists are dealt to pairs of blocks of
 BLOCK members, so a hot group is many tasks. Pivots come from a bounded sample, the SAMPLE distinct vectors
 that hash lowest: each next pivot is the vector farthest from those chosen, so that a dense group does not
 draw several. Pivots are compared with vectors less the mean of the sample, so that vectors in a cone spread.
-Pairs that share fewer pivots of every set are missed; recall falls as pairs get close to the threshold. So
-several sets of pivots are used, and fewer shared pivots where needed, until partners made at exactly the
-threshold from sample vectors are found at a rate of RECALL (at most SETS sets). A pair that meets
-in several sets counts in the first.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from vitalgrid.llm.blocks import least_reached, whole_groups
 from vitalgrid.llm.common import saved
 from vitalgrid.llm.components import components
 
-PIVOTS = 64  # a set of pivots is one 64-bit number
-NEAREST, SHARED = 8, 5
+CHOICES = ((4, 3), (5, 3), (6, 3), (6, 4), (8, 4), (8, 5))  # nearest pivots, and of these shared
+SET_COUNTS = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48)
+PIVOTS = 1 << 10  # most pivots of a set; five of them and the set fit a long
+CHANCE = 4.0  # unrelated vectors that meet a vector, over all sets, at the least; then eight times as many, ...
+RECALL = 0.95  # wanted share of pairs at the threshold
 COSINE = 0.9
 BLOCK = 1024
-SAMPLE = 2048  # vectors that pivots are chosen from
-SETS, RECALL = 12, 0.95  # most sets of pivots, and the wanted share of pairs at the threshold
+SAMPLE = 4096  # vectors that pivots are chosen from
+PROBES = 256  # vectors of the sample that get partners
+ENTRY = 40  # bytes of an index entry, to compare choices
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -61,10 +71,33 @@ def spread(rows: np.ndarray) -> np.ndarray:
     return rows[chosen]
 
 
-def masks(rows: np.ndarray, pivots: np.ndarray, nearest: int) -> np.ndarray:
-    """The nearest pivots of each row as bits."""
-    order = np.argsort(-(rows @ pivots.T), axis=1, kind="stable")[:, :nearest]
-    return np.bitwise_or.reduce(np.uint64(1) << order.astype(np.uint64), axis=1)
+def nearest_pivots(products: np.ndarray, nearest: int) -> np.ndarray:
+    """The numbers of the nearest pivots of each row, rising; of equally near ones the first."""
+    nearest = min(nearest, products.shape[1])
+    return np.sort(np.argsort(-products, axis=1, kind="stable")[:, :nearest], axis=1)
+
+
+def in_common(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """For each pivot of a row of `one`, whether the same row of `other` has it, too."""
+    return (one[:, :, None] == other[:, None, :]).any(axis=2)
+
+
+def by_chance(pivots: int, nearest: int, shared: int) -> float:
+    """Probability that two random choices of `nearest` of the pivots share at least `shared`."""
+    if pivots <= nearest:
+        return 1.0
+    every = math.comb(pivots, nearest)
+    some = sum(math.comb(nearest, k) * math.comb(pivots - nearest, nearest - k) for k in range(shared, nearest + 1))
+    return some / every
+
+
+def pivots_for(rate: float, nearest: int, shared: int) -> int:
+    """The least number of pivots at which no more than that rate of vectors meet by chance."""
+    low, high = nearest, 1 << 20
+    while low < high:
+        middle = (low + high) // 2
+        low, high = (low, middle) if by_chance(middle, nearest, shared) <= rate else (middle + 1, high)
+    return low
 
 
 def pairs_at_threshold(rows: np.ndarray, rng: np.random.Generator) -> list[np.ndarray]:
@@ -77,159 +110,167 @@ def pairs_at_threshold(rows: np.ndarray, rng: np.random.Generator) -> list[np.nd
     return found
 
 
-def pivot_sets(rows: np.ndarray, nearest: int, shared: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Centre, sets of pivots and the number of shared pivots, from unit rows of a sample."""
+@dataclass(frozen=True)
+class Index:
+    """Centre, sets of pivots, and how many nearest pivots describe a vector and how many make a list."""
+
+    centre: np.ndarray
+    sets: np.ndarray
+    nearest: int
+    shared: int
+
+
+def choose_index(rows: np.ndarray, count: int) -> Index:
+    """The index for `count` vectors, from unit rows of a sample of them."""
+    rng = np.random.default_rng(5)
     centre = rows.mean(axis=0)
     moved = rows - centre
     length = np.sqrt((moved * moved).sum(axis=1))
-    if (length > 1e-6).sum() < 2 * PIVOTS:
-        return np.zeros(rows.shape[1]), spread(rows)[None], shared
-    moved = unit(moved[length > 1e-6])
-    rng = np.random.default_rng(5)
-    halves = [moved[rng.permutation(len(moved))[: len(moved) // 2]] for _ in range(SETS)]
-    sets = [spread(half) for half in halves]
-    least = min(len(p) for p in sets)
-    sets = np.stack([p[:least] for p in sets])
-    own = rows[rng.permutation(len(rows))[:512]]
+    moved = moved[length > 1e-6]
+    everything = Index(centre, rows[None, :1], 1, 1)
+    if len(moved) < 2:  # no direction from the centre to tell vectors by
+        return everything
+    moved = unit(moved)
+    own = rows[rng.permutation(len(rows))[:PROBES]]
     partners = pairs_at_threshold(own, rng)
-    one = [masks(own - centre, p, nearest) for p in sets]
-    common = [[np.bitwise_count(a & masks(y - centre, p, nearest)) for a, p in zip(one, sets)] for y in partners]
-    for fewer in range(shared, 0, -1):
-        for n in range(1, SETS + 1):
-            if all(np.mean(np.max(c[:n], axis=0) >= min(fewer, least)) >= RECALL for c in common):
-                return centre, sets[:n], fewer
-    return centre, sets, 1
+    sets: list[np.ndarray] = []
+    products: list[list[np.ndarray]] = []
+
+    def found(n: int, pivots: int, nearest: int, shared: int) -> float:
+        """Share of partners that the first n sets find."""
+        while len(sets) < n:
+            sets.append(spread(moved[rng.permutation(len(moved))[: (len(moved) + 1) // 2]]))
+            products.append([(y - centre) @ sets[-1].T for y in (own, *partners)])
+        hit = np.zeros((len(partners), len(own)), bool)
+        for one, *others in ([x[:, :pivots] for x in p] for p in products[:n]):
+            held = nearest_pivots(one, nearest)
+            for k, other in enumerate(others):
+                hit[k] |= in_common(held, nearest_pivots(other, nearest)).sum(axis=1) >= shared
+        return float(hit.mean(axis=1).min())
+
+    best: tuple[float, Index] | None = None
+    vector = 8 * rows.shape[1]
+    chance = CHANCE
+    while chance < count and (best is None or chance * vector < best[0]):
+        for nearest, shared in CHOICES:
+            for n in SET_COUNTS:
+                pivots = pivots_for(chance / n / count, nearest, shared)
+                cost = n * math.comb(nearest, shared) * ENTRY + chance * (vector + 2 * n * nearest)
+                if best and cost >= best[0]:
+                    break
+                if nearest < pivots <= PIVOTS and found(n, pivots, nearest, shared) >= RECALL:
+                    # a sample of few directions yields fewer pivots
+                    least = min(pivots, *[len(p) for p in sets[:n]])
+                    if least > nearest:
+                        best = cost, Index(centre, np.stack([p[:least] for p in sets[:n]]), nearest, shared)
+                    break
+        chance *= 8
+    return best[1] if best else everything
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(id, node, vector) of every row; node is a hash of the vector, null if it links with nothing."""
-    vector = F.col(f"`{vector_col}`").cast("array<double>")
+    given = F.col(f"`{vector_col}`")
+    vector = given.cast("array<double>")
     number = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     good = vector.isNotNull() & F.forall(vector, number) & F.exists(vector, lambda x: x != 0)
-    # adding zero turns a negative zero into zero, so that equal vectors hash alike
-    vector = F.when(good, F.transform(vector, lambda x: x + F.lit(0.0)))
+    # adding zero turns a negative zero into zero, so that equal vectors hash alike; single precision is
+    # exact as it comes and half as long
+    kind = "float" if vectors.schema[vector_col].dataType.elementType == T.FloatType() else "double"
+    vector = F.when(good, F.transform(given.cast(f"array<{kind}>"), lambda x: x + F.lit(0.0).cast(kind)))
     found = vectors.select(F.col(f"`{id_col}`").alias("id"), vector.alias("vector"))
     return found.withColumn("node", F.when(F.col("vector").isNotNull(), F.xxhash64("vector")))
 
 
-def postings(distinct: DataFrame, centre: np.ndarray, pivots: np.ndarray, nearest: int, shared: int) -> DataFrame:
-    """(node, held, set, list): the nearest pivots of each set, and each of their subsets of `shared`."""
-    nearest = min(nearest, pivots.shape[1])
-    subsets = np.array(list(combinations(range(nearest), min(shared, nearest))))
-    broadcast = distinct.sparkSession.sparkContext.broadcast((centre, pivots))
+def described(distinct: DataFrame, index: Index) -> DataFrame:
+    """Adds `held`, the nearest pivots of each set, one set after the other."""
+    broadcast = distinct.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        middle, sets = broadcast.value
+        one = broadcast.value
         for batch in batches:
-            rows = unit(matrix(batch.column("vector"))) - middle
-            orders = [np.argsort(-(rows @ p.T), axis=1, kind="stable")[:, :nearest] for p in sets]
-            bits = [np.uint64(1) << order.astype(np.uint64) for order in orders]
-            held = np.stack([np.bitwise_or.reduce(b, axis=1) for b in bits], axis=1)
-            each = np.repeat(np.arange(len(rows)), len(subsets))
-            ends = np.arange(len(each) + 1, dtype=np.int32) * len(sets)
-            for nr, b in enumerate(bits):
-                lists = np.bitwise_or.reduce(b[:, subsets], axis=2)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("node").take(pa.array(each)),
-                        pa.ListArray.from_arrays(pa.array(ends), pa.array(held[each].ravel().view(np.int64))),
-                        pa.array(np.full(len(each), nr, np.int64)),
-                        pa.array(lists.ravel().view(np.int64)),
-                    ],
-                    ["node", "held", "set", "list"],
-                )
+            if not batch.num_rows:
+                continue
+            rows = unit(matrix(batch.column("vector"))) - one.centre
+            held = np.hstack([nearest_pivots(rows @ p.T, one.nearest) for p in one.sets])
+            ends = np.arange(len(rows) + 1, dtype=np.int32) * held.shape[1]
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(held.ravel().astype(np.int16)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, "held"])
 
-    return distinct.select("node", "vector").mapInArrow(run, "node long, held array<long>, set long, list long")
+    added = T.StructField("held", T.ArrayType(T.ShortType()))
+    return distinct.mapInArrow(run, T.StructType([*distinct.schema.fields, added]))
 
 
-def lowest_bits(values: np.ndarray, count: int) -> np.ndarray:
-    """The `count` lowest set bits of each value."""
-    found, rest = np.zeros_like(values), values.copy()
-    for _ in range(count):
-        low = rest & (~rest + np.uint64(1))
-        found |= low
-        rest ^= low
-    return found
+def list_keys(chosen: np.ndarray, nr: int) -> np.ndarray:
+    """Key of the list of a set for each row of chosen pivots."""
+    key = np.full(len(chosen), nr, np.int64)
+    for column in chosen.T:
+        key = key << 10 | column.astype(np.int64)
+    return key
+
+
+def postings(rows: DataFrame, nearest: int, shared: int) -> DataFrame:
+    """(node, list) of every set and each choice of `shared` of a vector's nearest pivots."""
+    subsets = np.array(list(combinations(range(nearest), shared)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held = batch.column("held").flatten().to_numpy().reshape(len(batch), -1, nearest)
+            nodes = batch.column("node").to_numpy()
+            for nr in range(held.shape[1]):
+                lists = list_keys(held[:, nr][:, subsets].reshape(-1, shared), nr)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(nodes, len(subsets))), pa.array(lists)], ["node", "list"])
+
+    return rows.select("node", "held").mapInArrow(run, "node long, list long")
 
 
 def verified(
-    rows: np.ndarray, held: np.ndarray, block: np.ndarray, weight: np.ndarray, key: int, first: int, second: int, nr: int
+    rows: np.ndarray, held: np.ndarray, block: np.ndarray, weight: np.ndarray, key: int, first: int, second: int, shared: int
 ) -> tuple[np.ndarray, np.ndarray]:
     """Links of each member of a pair of blocks, counted by weight, and the least member of its set; pairs
-    that meet in a set of pivots before `nr` are left to it."""
+    that meet in a set of pivots before the list's are left to it."""
     left, right = np.flatnonzero(block == first), np.flatnonzero(block == second)
-    links, label = np.zeros(len(rows), np.int64), np.arange(len(rows))
+    links = np.zeros(len(rows), np.int64)
     close = rows[left] @ rows[right].T >= COSINE
     i, j = np.nonzero(close)
     i, j = left[i], right[j]
     keep = i < j if first == second else i != j
     i, j = i[keep], j[keep]
-    count = int(key).bit_count()
-    own = lowest_bits(held[i, nr] & held[j, nr], count) == np.uint64(key)
-    own &= (np.bitwise_count(held[i, :nr] & held[j, :nr]) < count).all(axis=1)
+    nr = key >> (10 * shared)
+    for earlier in range(nr):
+        apart = in_common(held[i, earlier], held[j, earlier]).sum(axis=1) < shared
+        i, j = i[apart], j[apart]
+    common = in_common(held[i, nr], held[j, nr])
+    lowest = common & (np.cumsum(common, axis=1) <= shared)
+    own = list_keys(held[i, nr][lowest].reshape(-1, shared), nr) == key
     i, j = i[own], j[own]
     links += np.bincount(i, weight[j], len(rows)).astype(np.int64)
     links += np.bincount(j, weight[i], len(rows)).astype(np.int64)
-    while len(i):
-        least = label.copy()
-        np.minimum.at(least, i, label[j])
-        np.minimum.at(least, j, label[i])
-        least = least[least]
-        if (least == label).all():
-            break
-        label = least
-    return links, label
-
-
-def list_links(members: DataFrame) -> DataFrame:
-    """(node, links, other) from the members of lists, sorted and kept together by list and blocks;
-    other: a member that the node is linked to, itself if it is the least of its set."""
-    keys = ["list", "one", "two", "set"]
-
-    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Batches cut so that no group is divided."""
-        rest: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key = np.stack([batch.column(k).to_numpy() for k in keys])
-            cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
-            if rest:
-                last = rest[-1]
-                if any(last.column(k)[-1].as_py() != batch.column(k)[0].as_py() for k in keys):
-                    cuts = np.concatenate(([0], cuts))
-            if len(cuts):
-                yield pa.concat_batches([*rest, batch.slice(0, cuts[-1])])
-                rest = [batch.slice(cuts[-1])]
-            else:
-                rest.append(batch)
-        if rest:
-            yield pa.concat_batches(rest)
+    return links, least_reached(len(rows), i, j)
+
+
+def list_links(members: DataFrame, shapes: dict[int, tuple[int, int]]) -> DataFrame:
+    """(node, links, other) from the members of lists, sorted and kept together by length, list and blocks;
+    other: a member that the node is linked to, itself if it is the least of its set. shapes: the nearest
+    and shared pivots of vectors of each length."""
+    keys = ["dims", "list", "one", "two"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in groups(batches):
-            key = np.stack([batch.column(k).to_numpy() for k in keys])
-            edges = np.flatnonzero(np.concatenate(([True], (key[:, 1:] != key[:, :-1]).any(axis=0), [True])))
-            nodes = batch.column("node").to_numpy()
-            held, sets = batch.column("held"), batch.column("held").value_lengths().to_numpy()
-            starts = np.cumsum(sets) - sets
-            flat = held.flatten().to_numpy().view(np.uint64)
-            weight, block = batch.column("weight").to_numpy(), batch.column("block").to_numpy()
-            vectors, sizes = batch.column("vector"), batch.column("vector").value_lengths().to_numpy()
+        for batch, edges in whole_groups(batches, keys):
+            nodes, weight, block = (batch.column(c).to_numpy() for c in ("node", "weight", "block"))
+            dims, key, one, two = (batch.column(c).to_numpy() for c in keys)
             parts = []
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
                 if b - a < 2:
                     continue
-                for size in np.unique(sizes[a:b]):  # vectors of different lengths link with nothing
-                    own = a + np.flatnonzero(sizes[a:b] == size)
-                    rows = unit(matrix(vectors.take(pa.array(own))))
-                    bits = int(np.uint64(key[0, a].astype(np.int64).view(np.uint64)))
-                    both = flat[starts[own][:, None] + np.arange(sets[own[0]])]
-                    links, label = verified(
-                        rows, both, block[own], weight[own], bits, int(key[1, a]), int(key[2, a]), int(key[3, a])
-                    )
-                    hit = np.flatnonzero(links)
-                    parts.append((nodes[own[hit]], links[hit], nodes[own[label[hit]]]))
+                nearest, shared = shapes[int(dims[a])]
+                rows = unit(matrix(batch.column("vector").slice(a, b - a)))
+                held = batch.column("held").slice(a, b - a).flatten().to_numpy().reshape(b - a, -1, nearest)
+                links, label = verified(rows, held, block[a:b], weight[a:b], int(key[a]), int(one[a]), int(two[a]), shared)
+                hit = np.flatnonzero(links)
+                parts.append((nodes[a + hit], links[hit], nodes[a + label[hit]]))
             if parts:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate([p[i] for p in parts])) for i in range(3)], ["node", "links", "other"]
@@ -238,12 +279,38 @@ def list_links(members: DataFrame) -> DataFrame:
     return members.mapInArrow(run, "node long, links long, other long")
 
 
+def candidate_lists(distinct: DataFrame) -> tuple[DataFrame, dict[int, tuple[int, int]]]:
+    """(dims, list, one, two, block, node, vector, held, weight): members of lists of two or more, dealt to
+    pairs of blocks; and the nearest and shared pivots of each length."""
+    lengths = distinct.groupBy("dims").agg(F.count("*").alias("rows"))
+    entries: DataFrame | None = None
+    rows: DataFrame | None = None
+    shapes = {}
+    for length in lengths.collect():  # one row a length of vectors
+        some = distinct.where(F.col("dims") == length.dims)
+        sample = some.orderBy(F.hash("node"), "node").limit(SAMPLE).select("vector").collect()
+        index = choose_index(unit(np.array([r.vector for r in sample], np.float64)), length.rows)
+        shapes[length.dims] = index.nearest, index.shared
+        part = saved(described(some, index))
+        lists = postings(part, index.nearest, index.shared).withColumn("dims", F.lit(length.dims))
+        entries = lists if entries is None else entries.unionAll(lists)
+        rows = part if rows is None else rows.unionAll(part)
+    entries = saved(entries)
+    sizes = entries.groupBy("dims", "list").agg(F.count("*").alias("members")).where("members > 1")
+    blocks = F.ceil(F.col("members") / BLOCK)
+    dealt = entries.join(sizes.hint("merge"), ["dims", "list"]).withColumn("blocks", blocks)
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    pair = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    dealt = dealt.withColumn("with", pair).select(
+        "dims", "list", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("two"), "block", "node"
+    )
+    return dealt.join(rows.drop("dims").hint("merge"), "node"), shapes
+
+
 def near_duplicates(
     vectors: DataFrame,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
-    nearest: int = NEAREST,
-    shared: int = SHARED,
 ) -> DataFrame:
     """(id, n_links, component, kept) of every row.
 
@@ -254,35 +321,18 @@ def near_duplicates(
     """
     found = saved(usable(vectors, id_col, vector_col))
     good = found.where("node is not null")
-    distinct = saved(good.groupBy("node").agg(F.first("vector").alias("vector"), F.count("*").alias("weight")))
-    lengths = distinct.groupBy(F.size("vector").alias("n")).agg(F.count("*").alias("rows"))
-    lists: DataFrame | None = None
-    for length in lengths.collect():  # one row a length of vectors
-        some = distinct.where(F.size("vector") == length.n)
-        sample = some.orderBy(F.hash("node"), "node").limit(SAMPLE).select("vector").collect()
-        rows = unit(np.array([r.vector for r in sample], np.float64))
-        centre, pivots, fewer = pivot_sets(rows, nearest, shared)
-        part = postings(some, centre, pivots, nearest, fewer)
-        lists = part if lists is None else lists.unionAll(part)
-    if lists is None:
+    distinct = good.groupBy("node").agg(F.first("vector").alias("vector"), F.count("*").alias("weight"))
+    distinct = saved(distinct.withColumn("dims", F.size("vector")))
+    if distinct.isEmpty():
         return found.select(
             "id",
             F.lit(0).cast("long").alias("n_links"),
             F.col("id").alias("component"),
             F.lit(True).alias("kept"),
         )
-    lists = saved(lists)
-    sizes = lists.groupBy("set", "list").agg(F.count("*").alias("members")).where("members > 1")
-    blocks = F.ceil(F.col("members") / BLOCK)
-    dealt = lists.join(sizes, ["set", "list"]).withColumn("blocks", blocks)
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    pair = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    dealt = dealt.withColumn("with", pair).select(
-        "set", "list", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("two"), "block", "node", "held"
-    )
-    members = dealt.join(distinct, "node").repartition("set", "list", "one", "two")
-    members = members.sortWithinPartitions("list", "one", "two", "set")
-    linked = saved(list_links(members))
+    members, shapes = candidate_lists(distinct)
+    members = members.repartition("dims", "list", "one", "two").sortWithinPartitions("dims", "list", "one", "two")
+    linked = saved(list_links(members, shapes))
     roots = components(linked.select(F.col("node").alias("u"), F.col("other").alias("v")))
     counts = linked.groupBy("node").agg(F.sum("links").alias("links"))
     known = distinct.select("node", "weight").join(counts, "node", "left").join(roots, "node", "left")
