@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import check
 from tests.conftest import rows
 from vitalgrid.functions.frames import values_frame
 from vitalgrid.operators import cohort as co
@@ -16,6 +17,7 @@ from vitalgrid.operators import leecarter as lc
 from vitalgrid.operators import lifetable as lt
 from vitalgrid.operators import migration as mi
 from vitalgrid.operators import timeseries as ts
+from vitalgrid.plans import ORACLES, QUERIES, views
 
 LAST = 100
 
@@ -360,3 +362,44 @@ def test_by_age_reached(spark):
     df = spark.createDataFrame([("A", 20, 0.1), ("A", 21, 0.3)], "g string, x int, f double")
     got = {r["x"]: r["f"] for r in fe.by_age_reached(df, ("g",), 100).collect()}
     assert got == {20: pytest.approx(0.05), 21: pytest.approx(0.2), 22: pytest.approx(0.15)}
+
+
+@pytest.fixture(scope="module")
+def later(spark, tmp_path_factory):
+    """The tables with two more years: the orders of the last two years, and their lines, once again later."""
+    folder = str(tmp_path_factory.mktemp("later"))
+    sf = "/root/testdata/sf0.01"
+    for name in ("nation", "region", "customer", "part"):
+        views.table(spark, sf, name).coalesce(1).write.parquet(f"{folder}/{name}.parquet")
+    orders, lines = views.table(spark, sf, "orders"), views.table(spark, sf, "lineitem")
+    last = orders.agg(F.max(F.year("o_orderdate"))).first()[0]
+    shift = 10**9
+    moved = orders.where(F.year("o_orderdate") > last - 2).withColumns(
+        {
+            "o_orderkey": F.col("o_orderkey") + shift,
+            "o_orderdate": F.add_months("o_orderdate", 24).cast(orders.schema["o_orderdate"].dataType),
+        }
+    )
+    moved = moved.select(*[F.col(f.name).cast(f.dataType) for f in orders.schema])
+    orders.unionByName(moved).coalesce(1).write.parquet(f"{folder}/orders.parquet")
+    again = lines.withColumn("l_orderkey", F.col("l_orderkey") + shift).join(
+        moved.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi"
+    )
+    again = again.select(*[F.col(f.name).cast(f.dataType) for f in lines.schema])
+    lines.unionByName(again).coalesce(1).write.parquet(f"{folder}/lineitem.parquet")
+    return folder, last + 2
+
+
+@pytest.mark.parametrize("name", ["H07_lee_carter_fit", "H11_solve_k_for_e0", "H12_k_drift", "H13_lc_fan", "H14_interval_coverage"])
+def test_later_years_move_the_jump_off(spark, later, name):
+    folder, last = later
+    df = QUERIES[name](spark, folder)
+    rows = [tuple(r) for r in df.collect()]
+    cur = check.duck(folder).execute(ORACLES[name])
+    assert rows and check.compare((df.columns, rows), ([d[0] for d in cur.description], cur.fetchall())) == ""
+    if name == "H11_solve_k_for_e0":
+        assert max(r[2] for r in rows) == last - 2
+    if name == "H14_interval_coverage":
+        # every area's two last tables, both sexes and ages
+        areas = QUERIES["H12_k_drift"](spark, folder).count()
+        assert rows[0][0] == areas * 2 * 2

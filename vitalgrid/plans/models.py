@@ -192,7 +192,7 @@ def intrinsic(spark: SparkSession, sf: str) -> DataFrame:
     return co.intrinsic_growth(rows, F.lit(BOYS)).select(*KEYS, r6("value"), r9("daughters"))
 
 
-FIT_LAST, HORIZON = 1999, 2
+HORIZON = 2  # years between an area's jump-off and its last table, which the fan is held against
 LEVEL, LOW_LEVEL = 0.0009, 0.00006  # of the rates; at the low one life is long enough for b to rotate
 
 
@@ -204,20 +204,21 @@ def rates(spark: SparkSession, sf: str, level: float = LEVEL) -> DataFrame:
     return (
         cells(spark, sf)
         .withColumns({"_n": F.count("*").over(area), "_years": years})
+        .withColumn("jump", F.max("y").over(area) - HORIZON)
         .where(F.col("_n") == F.col("_years") * 2 * (LAST_AGE + 1))
-        .select("geo_code", "sex", "y", "period", F.col("a").alias("x"), m.alias("m"))
+        .select("geo_code", "sex", "y", "period", F.col("a").alias("x"), m.alias("m"), "jump")
     )
 
 
 RATES_SQL = """
 lr AS (SELECT geo_code, y, period, sex, a AS x,
-    0.0009 * exp(0.14 * a) * (n_r + 0.5) / (n_all + 1) AS m
+    0.0009 * exp(0.14 * a) * (n_r + 0.5) / (n_all + 1) AS m, max(y) OVER (PARTITION BY geo_code) - 2 AS jump
   FROM cells WHERE geo_code IN (SELECT geo_code FROM cells GROUP BY geo_code
     HAVING count(*) = 100 * count(DISTINCT y)))
 """
 FIT_SQL = """
 fc AS (SELECT *, ln(m) - a AS c FROM (
-  SELECT *, avg(ln(m)) OVER (PARTITION BY geo_code, sex, x) AS a FROM lr WHERE y <= 1999)),
+  SELECT *, avg(ln(m)) OVER (PARTITION BY geo_code, sex, x) AS a FROM lr WHERE y <= jump)),
 fk AS (SELECT *, sum(c) OVER (PARTITION BY geo_code, sex, y) AS k FROM fc),
 fb AS (SELECT geo_code, sex, x, max(a) AS a, sum(c * k) / sum(k * k) AS b0 FROM fk GROUP BY ALL),
 ab AS (SELECT *, b0 / sum(b0) OVER (PARTITION BY geo_code, sex) AS b FROM fb)
@@ -225,7 +226,7 @@ ab AS (SELECT *, b0 / sum(b0) OVER (PARTITION BY geo_code, sex) AS b FROM fb)
 
 
 def fitted(spark: SparkSession, sf: str, level: float = LEVEL) -> DataFrame:
-    return lc.lee_carter_fit(rates(spark, sf, level).where(F.col("y") <= FIT_LAST))
+    return lc.lee_carter_fit(rates(spark, sf, level).where("y <= jump"))
 
 
 @query(
@@ -233,13 +234,13 @@ def fitted(spark: SparkSession, sf: str, level: float = LEVEL) -> DataFrame:
     sql("SELECT geo_code, sex, x, round(a, 9) AS a, round(b, 9) AS b FROM ab", RATES_SQL, FIT_SQL),
 )
 def lee_carter(spark: SparkSession, sf: str) -> DataFrame:
-    ab = fitted(spark, sf).where(F.col("y") == FIT_LAST)
+    ab = fitted(spark, sf).where("y = jump")
     return ab.select("geo_code", "sex", "x", r9("a"), r9("b"))
 
 
 def repaired(spark: SparkSession, sf: str, level: float = LEVEL) -> DataFrame:
     """b(x) of each area: each sex's b repaired, then their mean."""
-    fit = fitted(spark, sf, level).where(F.col("y") == FIT_LAST)
+    fit = fitted(spark, sf, level).where("y = jump")
     return lc.shared_b(lc.repair_b(fit, ("geo_code", "sex")))
 
 
@@ -323,12 +324,14 @@ def e0_sql(rate: str, size: str) -> str:
 
 # the bisection of k, step by step, over the arrays of a sex's ages
 REFIT_SQL = f"""
+jumps AS (SELECT DISTINCT geo_code, jump FROM lr),
 {life_sql("lr").strip()},
 cur AS (SELECT l.geo_code, l.sex, list(ln(l.m) ORDER BY l.x) AS a, list(rb.b ORDER BY l.x) AS b
-  FROM lr l JOIN rb ON rb.geo_code = l.geo_code AND rb.x = l.x WHERE l.y = 1999 GROUP BY ALL),
+  FROM lr l JOIN rb ON rb.geo_code = l.geo_code AND rb.x = l.x WHERE l.y = l.jump GROUP BY ALL),
 bis AS (
   SELECT t.geo_code, t.sex, t.y, t.ex AS e0, c.a, c.b, 0 AS i, -1000.0::DOUBLE AS lo, 1000.0::DOUBLE AS hi
-  FROM lt t JOIN cur c ON c.geo_code = t.geo_code AND c.sex = t.sex WHERE t.x = 0 AND t.y <= 1999
+  FROM lt t JOIN cur c ON c.geo_code = t.geo_code AND c.sex = t.sex JOIN jumps j ON j.geo_code = t.geo_code
+  WHERE t.x = 0 AND t.y <= j.jump
   UNION ALL
   SELECT geo_code, sex, y, e0, a, b, i + 1, CASE WHEN long THEN mid ELSE lo END,
     CASE WHEN long THEN hi ELSE mid END
@@ -339,7 +342,7 @@ ks AS (SELECT geo_code, sex, y, e0, (lo + hi) / 2 AS k FROM bis WHERE i = 80)
 
 
 def refitted(spark: SparkSession, sf: str, level: float = LEVEL) -> DataFrame:
-    return lc.refit_k(rates(spark, sf, level), repaired(spark, sf, level), FIT_LAST, A0)
+    return lc.refit_k(rates(spark, sf, level), repaired(spark, sf, level), F.col("jump"), A0)
 
 
 CHAIN = (RATES_SQL, FIT_SQL, REPAIR_SQL, REFIT_SQL)
@@ -390,7 +393,7 @@ AGES = (0, 20)
 
 def curves(spark: SparkSession, sf: str, level: float = LEVEL) -> DataFrame:
     """a and b of each area and sex: the jump-off year's log rates, and the area's repaired b."""
-    start = rates(spark, sf, level).where(F.col("y") == FIT_LAST)
+    start = rates(spark, sf, level).where("y = jump")
     start = start.select("geo_code", "sex", "x", F.ln("m").alias("a"))
     return start.join(repaired(spark, sf, level).select("geo_code", "x", "b"), ["geo_code", "x"])
 
@@ -403,7 +406,7 @@ FAN_SQL = f"""
 {BOUNDS_SQL},
 fan0 AS (SELECT d.geo_code, d.sex, w.h AS y, w.i AS period, l.x,
     exp(ln(l.m) + rb.b * (d.drift * w.h + w.z * d.sigma * sqrt(w.h + w.h * w.h / d.n))) AS m
-  FROM dr d JOIN lr l ON l.geo_code = d.geo_code AND l.sex = d.sex AND l.y = 1999
+  FROM dr d JOIN lr l ON l.geo_code = d.geo_code AND l.sex = d.sex AND l.y = l.jump
   JOIN rb ON rb.geo_code = l.geo_code AND rb.x = l.x, bounds w)
 """
 
@@ -430,8 +433,8 @@ both_ AS (SELECT f.geo_code, f.a AS fa, m.a AS ma, f.b, u.u, d.drift, (ef.ex + e
   FROM cur f JOIN cur m ON m.geo_code = f.geo_code AND m.sex = 'male' AND f.sex = 'female'
   JOIN (SELECT geo_code, list(u ORDER BY x) AS u FROM ub GROUP BY geo_code) u ON u.geo_code = f.geo_code
   JOIN dr d ON d.geo_code = f.geo_code AND d.sex = 'female'
-  JOIN lt ef ON ef.geo_code = f.geo_code AND ef.sex = 'female' AND ef.x = 0 AND ef.y = 1999
-  JOIN lt em ON em.geo_code = f.geo_code AND em.sex = 'male' AND em.x = 0 AND em.y = 1999),
+  JOIN lt ef ON ef.geo_code = f.geo_code AND ef.sex = 'female' AND ef.x = 0 AND ef.y = (SELECT jump FROM jumps j WHERE j.geo_code = f.geo_code)
+  JOIN lt em ON em.geo_code = f.geo_code AND em.sex = 'male' AND em.x = 0 AND em.y = (SELECT jump FROM jumps j WHERE j.geo_code = f.geo_code)),
 rot AS (
   SELECT *, 1 AS h, {weight_sql("mean0")} AS w FROM both_
   UNION ALL
@@ -442,7 +445,7 @@ rot AS (
 fan0 AS (SELECT d.geo_code, d.sex, w.h AS y, w.i AS period, l.x,
     exp(ln(l.m) + ((1 - r.w) * ub.b + r.w * ub.u)
       * (d.drift * w.h + w.z * d.sigma * sqrt(w.h + w.h * w.h / d.n))) AS m
-  FROM dr d JOIN lr l ON l.geo_code = d.geo_code AND l.sex = d.sex AND l.y = 1999
+  FROM dr d JOIN lr l ON l.geo_code = d.geo_code AND l.sex = d.sex AND l.y = l.jump
   JOIN ub ON ub.geo_code = l.geo_code AND ub.x = l.x
   JOIN bounds w ON true JOIN rot r ON r.geo_code = d.geo_code AND r.h = w.h)
 """
@@ -465,7 +468,7 @@ fan0 AS (SELECT d.geo_code, d.sex, w.h AS y, w.i AS period, l.x,
 def fan_rotated(spark: SparkSession, sf: str) -> DataFrame:
     """With rotation, at rates so low that the life expectancy passes the age where it begins."""
     u = ultimate(spark, sf, LOW_LEVEL).select("geo_code", "x", "u")
-    start = rates(spark, sf, LOW_LEVEL).where(F.col("y") == FIT_LAST)
+    start = rates(spark, sf, LOW_LEVEL).where("y = jump")
     table = lt.life_table(start, ("geo_code", "sex", "y"), A0).where("x = 0")
     e0 = table.select("geo_code", "sex", F.col("ex").alias("ex0"))
     rows = curves(spark, sf, LOW_LEVEL).join(u, ["geo_code", "x"]).join(e0, ["geo_code", "sex"])
@@ -488,7 +491,7 @@ def fan_rotated(spark: SparkSession, sf: str) -> DataFrame:
           max(f.ex) FILTER (WHERE f.period = '95_lower') AS l95,
           max(f.ex) FILTER (WHERE f.period = '95_upper') AS u95
         FROM ft f JOIN lt r ON r.geo_code = f.geo_code AND r.sex = f.sex AND r.x = f.x
-          AND r.y = 1999 + f.y WHERE f.x IN (0, 20)
+          JOIN jumps j ON j.geo_code = f.geo_code AND r.y = j.jump + f.y WHERE f.x IN (0, 20)
         GROUP BY f.geo_code, f.sex, f.y, f.x)""",
         *CHAIN,
         DRIFT_SQL,
@@ -497,13 +500,10 @@ def fan_rotated(spark: SparkSession, sf: str) -> DataFrame:
     )),
 )
 def coverage(spark: SparkSession, sf: str) -> DataFrame:
-    """The fan from 1999 against the tables of 2000 and 2001."""
+    """The fan from each area's jump-off against its tables of the years since."""
     rows = lc.lc_fan(curves(spark, sf), drifts(spark, sf), HORIZON, A0, AGES)
-    table = lt.life_table(
-        rates(spark, sf).where(F.col("y") > FIT_LAST), ("geo_code", "sex", "y"), A0
-    )
-    held = table.where(F.col("x").isin(*AGES)).select(
-        "geo_code", "sex", (F.col("y") - FIT_LAST).alias("h"), "x", F.col("ex").alias("value")
-    )
+    since = rates(spark, sf).where("y > jump").withColumn("h", F.col("y") - F.col("jump"))
+    table = lt.life_table(since, ("geo_code", "sex", "h"), A0)
+    held = table.where(F.col("x").isin(*AGES)).select("geo_code", "sex", "h", "x", F.col("ex").alias("value"))
     out = lc.interval_coverage(rows, held, ("geo_code", "sex", "h", "x"))
     return out.select("n", "inside_80", "inside_95", r6("max_error", "max_error"))
