@@ -178,3 +178,28 @@ def test_equal_values_share_a_class(spark, method):
     df = spark.createDataFrame([("m", float(v)) for v in (1, 1, 1, 2, 3, 9)], "m string, value double")
     out = classify(df, ("m",), 3, method).groupBy("value").agg(F.count_distinct("class").alias("n"))
     assert {r["n"] for r in out.collect()} == {1}
+
+
+def test_delivery_violations(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    header = ("a", "b", "c")
+    texts = {
+        "good": "a,b,c\n1,x,2\n2,y,3\n", "empty": "", "header": "a,b,c\n", "cut": "a,b,c\n1,x,2\n1,x", "more": "a,b,c\n1,x,2,9\n1,x,2\n3,z,4,5,6\n",
+        "quoted": 'a,b,c\n1,"x, or\ty",2\n',
+    }
+    for name, text in texts.items():
+        (folder / f"{name}.csv").write_text(text)
+    got = wide.delivery_violations(spark, str(folder), header, a="1", b="nobody")
+    found = {(r.file and r.file.rsplit("/", 1)[1].split(".")[0], r.rule, r.n) for r in got.collect()}
+    assert found == {
+        ("empty", "file without rows", 0), ("header", "file without rows", 0), ("cut", "malformed rows", 1),
+        ("more", "malformed rows", 2), (None, "no row of b nobody", 0),
+    }
+    good = tmp_path / "good"
+    good.mkdir()
+    (good / "one.csv").write_text(texts["good"])
+    assert wide.delivery_violations(spark, str(good), header, a="1").isEmpty()
+    (tmp_path / "none").mkdir()
+    got = wide.delivery_violations(spark, str(tmp_path / "none"), header, a="1").collect()
+    assert {r.rule for r in got} == {"delivery without files", "no row of a 1"}

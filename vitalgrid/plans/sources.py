@@ -287,6 +287,42 @@ def scan_csv(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+DELIVERED = ("LocID", "Time", "AgeGrpStart", "Pop")
+
+
+@query(
+    "A09_csv_violations",
+    sql(
+        """SELECT 'W' || r AS file, rule, n FROM (
+        SELECT r, 'malformed rows' AS rule, sum(CASE WHEN r = 2 AND a < 3 THEN 1 WHEN r = 3 AND a >= 40 THEN 1 ELSE 0 END) AS n
+        FROM (SELECT DISTINCT TRY_CAST(geo_code[2:2] AS INT) AS r, geo_code, period, a FROM cells WHERE length(geo_code) = 3) GROUP BY r)
+        WHERE n > 0 AND r <> 4
+        UNION ALL SELECT 'W4', 'file without rows', 0 WHERE EXISTS (SELECT 1 FROM cells WHERE geo_code = 'W4')
+        UNION ALL SELECT NULL, 'no row of LocID nowhere', 0"""
+    ),
+)
+def csv_violations(spark: SparkSession, sf: str) -> DataFrame:
+    """A file a region: W2 has rows with a field too many, W3 rows that are cut, W4 has a header and no
+    rows; a location that is asked for is in none."""
+    rows = cells(spark, sf).where(F.length("geo_code") == 3).groupBy("geo_code", "period", "a").agg(F.sum("n_all").alias("n"))
+    region = F.substring("geo_code", 1, 2)
+    whole = F.concat_ws(",", "geo_code", "period", F.col("a").cast("string"), F.col("n").cast("string"))
+    line = (
+        F.when((region == "W2") & (F.col("a") < 3), F.concat(whole, F.lit(",more")))
+        .when((region == "W3") & (F.col("a") >= 40), F.concat_ws(",", "geo_code", "period"))
+        .otherwise(whole)
+    )
+    lines = rows.select(region.alias("region"), line.alias("line"), F.lit(1).alias("nr")).where("region <> 'W4'")
+    heads = rows.select(region.alias("region")).distinct().select("region", F.lit(",".join(DELIVERED)).alias("line"), F.lit(0).alias("nr"))
+    path = scratch_path(spark, "delivery")
+    files = lines.unionByName(heads).repartition("region").sortWithinPartitions("region", "nr").drop("nr")
+    files.write.partitionBy("region").text(path, compression="gzip")
+    found = wide.delivery_violations(spark, path, DELIVERED, LocID="nowhere")
+    # names of files are new each time; their region is not
+    file = F.nullif(F.regexp_extract("file", "region=(W[0-9])", 1), F.lit(""))
+    return found.select(file.alias("file"), "rule", "n")
+
+
 SHEETS = {None: 1.0, "80_lower": 0.9, "80_upper": 1.1}
 
 
