@@ -203,3 +203,12 @@ def test_delivery_violations(spark, tmp_path):
     (tmp_path / "none").mkdir()
     got = wide.delivery_violations(spark, str(tmp_path / "none"), header, a="1").collect()
     assert {r.rule for r in got} == {"delivery without files", "no row of a 1"}
+
+
+@pytest.mark.parametrize("name, scans", [("A07_slice_violations", 1), ("D01_equi_join", 0)])
+def test_lineitem_is_scanned_once(spark, name, scans):
+    """D01 reads it while the cells are written, its own plan reads these."""
+    from vitalgrid.plans import QUERIES
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Relation" in line and "l_returnflag" in line for line in plan.splitlines()) == scans

@@ -17,6 +17,7 @@ from vitalgrid.plans.views import (
     cells,
     nation_cells,
     population,
+    shared_cells,
     sql,
     table,
     with_provenance,
@@ -249,9 +250,8 @@ def select_slice(spark: SparkSession, sf: str) -> DataFrame:
 )
 def slice_violations(spark: SparkSession, sf: str) -> DataFrame:
     cube = table(spark, sf, "lineitem").select("l_linestatus", "l_returnflag")
-    one = cubes.slice_violations(cube, {"l_linestatus": "F"}, ("l_returnflag",))
-    none = cubes.slice_violations(cube, {"l_linestatus": "Z"}, ("l_returnflag",))
-    return one.unionByName(none)
+    further = ("l_returnflag",)
+    return cubes.slice_violations(cube, ({"l_linestatus": "F"}, further), ({"l_linestatus": "Z"}, further))
 
 
 @query(
@@ -529,10 +529,11 @@ def snapshots_used(spark: SparkSession, sf: str) -> DataFrame:
 def equi_join(spark: SparkSession, sf: str) -> DataFrame:
     """Every single age in the table of observations and in the cells."""
     keys = ("geo_code", "period", "sex", "age")
-    ours = population(spark, sf).select(*keys, "value")
-    theirs = cells(spark, sf).where("q_known IS NOT NULL").select(
-        "geo_code", "period", "sex", age_label().alias("age"), F.col("q_known").alias("value")
-    )
+    with shared_cells(spark, sf):
+        ours = population(spark, sf).select(*keys, "value")
+        theirs = cells(spark, sf).where("q_known IS NOT NULL").select(
+            "geo_code", "period", "sex", age_label().alias("age"), F.col("q_known").alias("value")
+        )
     return joins.side_by_side(ours, theirs, keys)
 
 

@@ -172,27 +172,23 @@ def select_slice(cube: DataFrame, chosen: Mapping[str, str]) -> DataFrame:
 
 
 def slice_violations(
-    cube: DataFrame, chosen: Mapping[str, str], extra: Sequence[str]
+    cube: DataFrame, *slices: tuple[Mapping[str, str], Sequence[str]]
 ) -> DataFrame:
-    """Chosen codes the cube does not have, and further dimensions left with several codes."""
-    inside = F.lit(True)
-    for dim, code in chosen.items():
-        inside = inside & (F.col(dim) == code)
-    aggs = [F.count_if(F.col(d) == c).alias(f"_has_{d}") for d, c in chosen.items()]
-    for d in extra:
-        aggs += [
-            F.min(F.when(inside, F.col(d))).alias(f"_lo_{d}"),
-            F.max(F.when(inside, F.col(d))).alias(f"_hi_{d}"),
-        ]
-    problems = [
-        F.when(F.col(f"_has_{d}") == 0, F.lit(f"{c} is not a code of {d}"))
-        for d, c in chosen.items()
-    ] + [
-        F.when(F.col(f"_lo_{d}") != F.col(f"_hi_{d}"), F.lit(f"select a single {d}"))
-        for d in extra
-    ]
-    found = cube.agg(*aggs).select(F.explode(F.array_compact(F.array(*problems))).alias("problem"))
-    return found
+    """Of each slice (chosen codes, further dimensions): chosen codes the cube does not have, and further
+    dimensions left with several codes. All slices are checked in one pass over the cube."""
+    aggs, problems = [], []
+    for i, (chosen, extra) in enumerate(slices):
+        inside = F.lit(True)
+        for dim, code in chosen.items():
+            inside = inside & (F.col(dim) == code)
+            aggs.append(F.count_if(F.col(dim) == code).alias(f"_has{i}_{dim}"))
+            problems.append(F.when(F.col(f"_has{i}_{dim}") == 0, F.lit(f"{code} is not a code of {dim}")))
+        for dim in extra:
+            here = F.when(inside, F.col(dim))
+            aggs += [F.min(here).alias(f"_lo{i}_{dim}"), F.max(here).alias(f"_hi{i}_{dim}")]
+            several = F.col(f"_lo{i}_{dim}") != F.col(f"_hi{i}_{dim}")
+            problems.append(F.when(several, F.lit(f"select a single {dim}")))
+    return cube.agg(*aggs).select(F.explode(F.array_compact(F.array(*problems))).alias("problem"))
 
 
 def prefix_filter(df: DataFrame, prefix: str, column: str = "geo") -> DataFrame:
