@@ -3,9 +3,12 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from vitalgrid.llm import lm, queries
+from vitalgrid.llm.common import table
+from vitalgrid.llm.text import SPACED, Words
 
 
 def test_probabilities_sum_to_one():
@@ -67,16 +70,81 @@ def test_order_of_words_matters(frame):
     assert mean(range(60)) > mean(range(60, 70)) + 0.3
 
 
+def plain_score(text, model, times):
+    """The log-likelihood of a text word by word, with explicit softmaxes."""
+    words = text.lower().split()
+    if not words:
+        return 0.0
+    hashes = Words(pa.array([text]), SPACED).hashes()
+    tokens = lm.token_ids(hashes, model.known, model.rank)
+    in_bucket = {}
+    for h, n in times.items():
+        token = int(lm.token_ids(np.array([h], np.uint64), model.known, model.rank)[0])
+        in_bucket[token] = in_bucket.get(token, 0) + n
+    w, total = {k: v.astype(np.float64) for k, v in model.weights.items()}, 0.0
+    for i, token in enumerate(tokens):
+        hidden = w["hidden"].copy()
+        for place, offset in enumerate(lm.PLACES):
+            near = tokens[i + offset] if 0 <= i + offset < len(tokens) else lm.PAD
+            hidden += w["embed"][place][near]
+        hidden = np.tanh(hidden)
+        kind, member = divmod(int(token), lm.MEMBERS)
+        first = np.exp(hidden @ w["class_w"] + w["class_b"])
+        second = np.exp(hidden @ w["word_w"][kind] + w["word_b"][kind])
+        total += np.log(first[kind] / first.sum()) + np.log(second[member] / second.sum())
+        if token >= lm.FREQUENT:
+            total += np.log(times[int(hashes[i])] / in_bucket[int(token)])
+    return total
+
+
+def test_scores_equal_a_plain_loop(frame):
+    rng = random.Random(5)
+    docs = [(i, " ".join(f"W{rng.choice((rng.randrange(20), rng.randrange(4000)))}" for _ in range(rng.randint(0, 120)))) for i in range(150)]
+    docs += [(150, docs[0][1]), (151, "solo"), (152, "rare rare " + "rare " * 50)]
+    df = frame(docs)
+    model = lm.train(df)
+    times = {r.word % (1 << 64): r.times for r in model.counts.collect()}
+    found = {r.doc_id: r for r in lm.scored(df, model, ["doc_id"]).collect()}
+    assert len(times) > lm.FREQUENT + 100
+    assert model.times.sum() == sum(times.values()) == sum(r.n_tokens for r in found.values())
+    for i, text in docs:
+        assert found[i].n_tokens == len(text.split())
+        assert found[i].log_likelihood == pytest.approx(plain_score(text, model, times), rel=1e-4, abs=1e-4)
+
+
+def test_what_is_gathered_grows_with_the_vocabulary(frame):
+    sizes = []
+    for n in (50, 200):
+        docs = [(i, " ".join(f"w{i}x{j}" for j in range(20)) + " the end") for i in range(n)]
+        sizes.append(lm.train(frame(docs)).counts.count())
+    assert sizes == [50 * 20 + 2, 200 * 20 + 2]
+
+
+def test_words_seen_twice_score_higher(frame):
+    """Documents that occur twice have words of twice the probability, whatever their bucket."""
+    rng = random.Random(8)
+    docs = [(i, " ".join(f"w{rng.randrange(10**9)}" for _ in range(60))) for i in range(200)]
+    docs += [(200 + i, docs[i][1]) for i in range(20)]
+    found = {r.doc_id: r.log_likelihood / r.n_tokens for r in lm.lm_scores(frame(docs), ["doc_id"]).collect()}
+    twice, once = [found[i] for i in range(20)], [found[i] for i in range(20, 200)]
+    assert np.mean(twice) > np.mean(once) + 0.3
+
+
 def test_table(spark, sf):
+    """The words' likelihood under both sides exceeds that under their shares of the corpus alone."""
     rows = queries.QUERIES["op7_lm_scores"](spark, sf).collect()
     total = sum(r.n_tokens for r in rows)
-    assert sum(r.log_likelihood for r in rows) / total > -6.5 and all(r.log_likelihood <= 0 for r in rows)
+    counts = lm.word_counts(table(spark, sf, "documents", "text").withColumnRenamed("text", "__text"))
+    times = np.array(counts.toArrow()["times"], float)
+    alone = (times * np.log(times / times.sum())).sum() / total
+    assert times.sum() == total and all(r.log_likelihood <= 0 for r in rows)
+    assert sum(r.log_likelihood for r in rows) / total > alone + 0.3
 
 
 def test_odd_rows(frame):
     docs = frame([(None, None), (1, ""), (2, " \n"), (3, "one"), (3, "one"), (4, "a b " * 20000)])
     docs = docs.withColumnRenamed("n_chars", "n_tokens")
-    found = lm.lm_scores(docs, ["doc_id"]).collect()
+    found = sorted(lm.lm_scores(docs, ["doc_id"]).collect(), key=lambda r: r.n_tokens)
     assert [r.n_tokens for r in found] == [0, 0, 0, 1, 1, 40000]
     assert [r.log_likelihood for r in found[:3]] == [0, 0, 0] and found[3].log_likelihood == found[4].log_likelihood
     assert lm.lm_scores(docs.limit(0), ["doc_id"]).count() == 0

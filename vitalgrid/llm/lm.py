@@ -2,18 +2,24 @@
 
 The network predicts each token from the REACH tokens on either side: one embedding table for each place of
 the window, a tanh layer, and a softmax in two steps, the class of the token and the token in its class.
-A document's score is the sum of the log-probabilities of all its tokens, each given both sides.
-
-Tokens are lower-cased words. The FREQUENT commonest words of the whole corpus are tokens of their own;
-the others share BUCKETS tokens by hash. Word counts cover all documents. So does training: the driver only
-starts the network on a bounded sample (START documents); then each task trains a copy on every token
-of its partition and the copies are averaged by token count, in ROUNDS rounds. What is shuffled grows with
-the number of partitions; what reaches the driver is one set of weights.
+A document's score is the sum of the log-probabilities of all its words, each given both sides.
+
+Words are lower-cased. The FREQUENT commonest words of the whole corpus are tokens of their own; the others
+share BUCKETS tokens by hash. The probability of such a word is its bucket's, from the network, times its own
+in the bucket: its occurrences in all documents over those of the bucket. So every word has a probability of
+its own, and what is gathered, the table of word counts, grows with the vocabulary; it stays a table and
+meets the documents' words in a join, where a document sends each distinct word once.
+
+Counts and training cover all documents. The biases start at the logarithms of the tokens' shares. Documents
+are dealt by a hash of their text into FOLDS, one after the other: each task trains a copy on every
+token of its partition that is of the fold, and the copies are averaged by token count. What is
+shuffled for that grows with the number of partitions; what reaches the driver is one set of weights.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +37,8 @@ PAD = SIZE  # beyond either end of a document
 REACH, WIDTH = 2, 16
 PLACES = [o for o in range(-REACH, REACH + 1) if o]
 STEP, BATCH, EPSILON = 0.05, 8192, 1e-6
-ROUNDS = 1
-START, START_CHARS = 400, 4000  # documents of the sample, and characters of each
+MIN_BATCH, STEPS = 128, 64  # a short slice is cut into up to STEPS batches
+FOLDS = (0, 1, 4, 8)  # eighths of the hash range where the folds begin and end
 SHAPES = {
     "embed": (len(PLACES), SIZE + 1, WIDTH),
     "hidden": (WIDTH,),
@@ -45,12 +51,17 @@ SHAPES = {
 Weights = dict[str, np.ndarray]
 
 
-def initial() -> Weights:
+def initial(times: np.ndarray | None = None) -> Weights:
+    """Random weights; with the occurrences of every token, biases that give each token its share."""
     rng = np.random.default_rng(7)
     found = {k: np.zeros(s, np.float32) for k, s in SHAPES.items()}
     found["embed"] = rng.normal(0, 0.1, SHAPES["embed"]).astype(np.float32)
     found["class_w"] = rng.normal(0, 0.1, SHAPES["class_w"]).astype(np.float32)
     found["word_w"] = rng.normal(0, 0.1, SHAPES["word_w"]).astype(np.float32)
+    if times is not None:
+        shares = (times + 1).reshape(CLASSES, MEMBERS)
+        found["class_b"] = np.log(shares.sum(axis=1) / shares.sum()).astype(np.float32)
+        found["word_b"] = np.log(shares / shares.sum(axis=1, keepdims=True)).astype(np.float32)
     return found
 
 
@@ -131,8 +142,9 @@ def train_on(weights: Weights, squares: Weights, tokens: np.ndarray, around: np.
         past += gradient * gradient
         target -= STEP * gradient / (np.sqrt(past) + EPSILON)
 
-    for at in range(0, len(tokens), BATCH):
-        own, near = tokens[at : at + BATCH], around[:, at : at + BATCH]
+    size = min(BATCH, max(MIN_BATCH, len(tokens) // STEPS))
+    for at in range(0, len(tokens), size):
+        own, near = tokens[at : at + size], around[:, at : at + size]
         n = len(own)
         hidden, kind, member = _hidden(weights, near), own // MEMBERS, own % MEMBERS
         error = np.exp(_log_softmax(hidden @ weights["class_w"] + weights["class_b"]))
@@ -158,16 +170,17 @@ def train_on(weights: Weights, squares: Weights, tokens: np.ndarray, around: np.
 
 
 def batches_of(batches: Iterator[pa.RecordBatch], vocabulary: np.ndarray, rank: np.ndarray) -> Iterator:
-    """(slice, tokens, first token of each text, tokens around each) of consecutive slices."""
+    """(slice, word hashes, tokens, first token of each text, tokens around each) of consecutive slices."""
     for batch in batches:
         for part in chunks(batch, "__text"):
             words = Words(part.column("__text"), SPACED)
-            tokens = token_ids(words.hashes(), vocabulary, rank)
-            yield part, tokens, words.first, contexts(tokens, words.first)
+            hashes = words.hashes()
+            tokens = token_ids(hashes, vocabulary, rank)
+            yield part, hashes, tokens, words.first, contexts(tokens, words.first)
 
 
-def vocabulary(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the FREQUENT commonest words of all documents, and the token of each."""
+def word_counts(texts: DataFrame) -> DataFrame:
+    """(word, times) of each word hash of all documents, written once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,41 +191,66 @@ def vocabulary(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                     [pa.array(found.view(np.int64)), pa.array(times.astype(np.int64))], ["word", "times"]
                 )
 
-    counts = docs.mapInArrow(run, "word long, times long").groupBy("word").agg(F.sum("times").alias("times"))
+    counts = texts.mapInArrow(run, "word long, times long")
+    return saved(counts.groupBy("word").agg(F.sum("times").alias("times")))
+
+
+def vocabulary(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted hashes of the FREQUENT commonest words, the token of each, and the occurrences of every
+    token; of equally common words the lower hash is the more frequent."""
     rows = counts.orderBy(F.desc("times"), "word").limit(FREQUENT).collect()
     words = np.array([r.word for r in rows], np.int64).view(np.uint64)
+    times = np.zeros(SIZE)
+    times[: len(rows)] = [r.times for r in rows]
+    # the bits of an unsigned hash: BUCKETS is a power of two, so the remainder is the same
+    bucket = F.pmod("word", F.lit(BUCKETS))
+    for r in counts.groupBy(bucket.alias("bucket")).agg(F.sum("times").alias("times")).collect():
+        times[FREQUENT + r.bucket] = r.times
+    for word, n in zip(words, times[: len(rows)].copy()):
+        times[FREQUENT + int(word % np.uint64(BUCKETS))] -= n
     order = np.argsort(words)
-    return words[order], order.astype(np.int64)
+    return words[order], order.astype(np.int64), times
+
+
+@dataclass(frozen=True)
+class Model:
+    """Weights of the network, the vocabulary with its tokens, occurrences of every token, and the table
+    of the occurrences of every word."""
 
+    weights: Weights
+    known: np.ndarray
+    rank: np.ndarray
+    times: np.ndarray
+    counts: DataFrame
 
-def train(docs: DataFrame, text_col: str = "text") -> tuple[Weights, np.ndarray, np.ndarray]:
-    """Weights, and the vocabulary with its tokens, from all documents."""
+
+def train(docs: DataFrame, text_col: str = "text") -> Model:
+    """A model of all documents."""
     texts = docs.select(F.col(f"`{text_col}`").alias("__text"))
-    known, rank = vocabulary(texts)
-    first = texts.where("length(__text) > 0").select(F.substring("__text", 1, START_CHARS).alias("__text"))
-    first = first.orderBy(F.xxhash64("__text"), "__text").limit(START).toArrow()
-    weights = initial()
+    counts = word_counts(texts)
+    known, rank, times = vocabulary(counts)
+    weights = initial(times)
     squares = {k: np.zeros_like(v) for k, v in weights.items()}
-    for _ in range(3):
-        for _, tokens, _, around in batches_of(first.to_batches(), known, rank):
-            train_on(weights, squares, tokens, around)
-    for _ in range(ROUNDS):
-        weights = _round(texts, weights, squares, known, rank)
-    return weights, known, rank
+    eighth = F.pmod(F.xxhash64("__text"), F.lit(8))
+    for low, high in zip(FOLDS, FOLDS[1:]):
+        fold = texts.where((eighth >= low) & (eighth < high))
+        weights, squares = _round(fold, weights, squares, known, rank)
+    return Model(weights, known, rank, times, counts)
 
 
 def _round(
     texts: DataFrame, weights: Weights, squares: Weights, known: np.ndarray, rank: np.ndarray
-) -> Weights:
+) -> tuple[Weights, Weights]:
+    """Weights and squares after the texts: the mean of all copies, by tokens seen."""
     shared = texts.sparkSession.sparkContext.broadcast((flat(weights), flat(squares), known, rank))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start, past, words, order = shared.value
         mine, sums, seen = shaped(start), shaped(past), 0
-        for _, tokens, _, around in batches_of(batches, words, order):
+        for _, _, tokens, _, around in batches_of(batches, words, order):
             train_on(mine, sums, tokens, around)
             seen += len(tokens)
-        values = pa.array([flat(mine).astype(np.float64)], pa.list_(pa.float64()))
+        values = pa.array([np.concatenate((flat(mine), flat(sums))).astype(np.float64)], pa.list_(pa.float64()))
         yield pa.RecordBatch.from_arrays([pa.array([seen]), values], ["seen", "weights"])
 
     copies = texts.mapInArrow(run, "seen long, weights array<double>").where("seen > 0")
@@ -220,31 +258,80 @@ def _round(
     mean = F.sum(F.col("value") * F.col("seen")) / F.sum("seen")
     rows = each.groupBy("at").agg(mean.alias("mean")).toArrow().to_pydict()
     if not rows["at"]:
-        return weights
+        return weights, squares
     found = np.zeros(len(rows["at"]))
     found[rows["at"]] = rows["mean"]
-    return shaped(found)
+    half = len(found) // 2
+    return shaped(found[:half]), shaped(found[half:])
 
 
 def lm_scores(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns `keep` of every row, n_tokens and log_likelihood, after training on all rows.
 
     Null and blank texts have no tokens and log-likelihood 0. Texts of any length are scored whole;
-    repeated rows are scored alike. Empty input gives no rows.
+    repeated rows are scored alike. Of equally common words at the end of the vocabulary the lower hash has
+    a token of its own. Empty input gives no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(train(docs, text_col))
+    return scored(docs, train(docs, text_col), keep, text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, known, rank = shared.value
-        for part, tokens, first, around in batches_of(batches, known, rank):
-            logs = np.concatenate(([0.0], np.cumsum(log_probabilities(weights, tokens, around))))
-            kept = [part.column(i) for i in range(len(keep))]
-            sums = [pa.array(np.diff(first).astype(np.int64)), pa.array(np.diff(logs[first]))]
-            yield pa.RecordBatch.from_arrays([*kept, *sums], [*keep, "n_tokens", "log_likelihood"])
 
+def scored(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
+    """`lm_scores` under a model that was trained on these documents."""
+    shares = np.log(np.maximum(model.times[FREQUENT:], 1.0))
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.known, model.rank, shares))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, known, rank, bucket_logs = shared.value
+        for part, hashes, tokens, first, around in batches_of(batches, known, rank):
+            logs = log_probabilities(weights, tokens, around)
+            rare = np.flatnonzero(tokens >= FREQUENT)
+            logs[rare] -= bucket_logs[tokens[rare] - FREQUENT]
+            sums = np.concatenate(([0.0], np.cumsum(logs)))
+            # each distinct word of a text that shares a bucket, and how often it is there
+            text = (np.searchsorted(first, rare, "right") - 1).astype(np.int64)
+            own = hashes[rare]
+            order = np.lexsort((own, text))
+            text, own = text[order], own[order]
+            new = np.ones(len(own), bool)
+            new[1:] = (own[1:] != own[:-1]) | (text[1:] != text[:-1])
+            at = np.flatnonzero(new)
+            times = np.diff(np.append(at, len(own)))
+            edges = pa.array(np.searchsorted(text[at], np.arange(len(first))).astype(np.int32))
+            columns = [
+                pa.array(np.diff(first).astype(np.int64)),
+                pa.array(np.diff(sums[first])),
+                pa.ListArray.from_arrays(edges, pa.array(own[at].view(np.int64))),
+                pa.ListArray.from_arrays(edges, pa.array(times.astype(np.int32))),
+            ]
+            kept = [part.column(i) for i in range(len(keep) + 1)]
+            names = [*keep, "__row", "n_tokens", "log_likelihood", "__words", "__times"]
+            yield pa.RecordBatch.from_arrays([*kept, *columns], names)
+
+    narrow = docs.select(
+        *[F.col(f"`{c}`") for c in keep],
+        F.monotonically_increasing_id().alias("__row"),
+        F.col(f"`{text_col}`").alias("__text"),
+    )
     schema = T.StructType(
         [docs.schema[c] for c in keep]
-        + [T.StructField("n_tokens", T.LongType()), T.StructField("log_likelihood", T.DoubleType())]
+        + [
+            T.StructField("__row", T.LongType()),
+            T.StructField("n_tokens", T.LongType()),
+            T.StructField("log_likelihood", T.DoubleType()),
+            T.StructField("__words", T.ArrayType(T.LongType())),
+            T.StructField("__times", T.ArrayType(T.IntegerType())),
+        ]
+    )
+    rows = saved(narrow.mapInArrow(run, schema))  # written, so that row numbers stay
+    words = rows.select("__row", F.explode(F.arrays_zip("__words", "__times")).alias("w"))
+    words = words.select("__row", F.col("w.__words").alias("word"), F.col("w.__times").alias("here"))
+    # a word that occurs once adds the logarithm of 1
+    often = model.counts.where("times > 1").select("word", F.log("times").alias("log_times"))
+    # the table of counts follows the vocabulary, so neither side is broadcast
+    met = words.hint("merge").join(often, "word")
+    added = met.groupBy("__row").agg(F.sum(F.col("here") * F.col("log_times")).alias("__added"))
+    total = F.col("log_likelihood") + F.coalesce("__added", F.lit(0.0))
+    return (
+        rows.drop("__words", "__times").hint("merge").join(added, "__row", "left")
+        .select(*[F.col(f"`{c}`") for c in keep], "n_tokens", total.alias("log_likelihood"))
     )
-    narrow = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("__text"))
-    return narrow.mapInArrow(run, schema)
