@@ -62,10 +62,11 @@ def status_of_flag(value: Column, flag: Column) -> Column:
     )
 
 
-def nature_of_flag(flag: Column, nature: str) -> Column:
+def nature_of_flag(flag: Column, nature: str | Column) -> Column:
     """An estimated flag makes an observed value an official estimate; others keep theirs."""
-    estimated = "official_estimate" if nature == "observed" else nature
-    return F.when(decode_flag(flag)["estimated"], estimated).otherwise(nature)
+    given = F.lit(nature)
+    estimated = decode_flag(flag)["estimated"] & (given == "observed")
+    return F.when(estimated, "official_estimate").otherwise(given)
 
 
 def age_code_is_known(code: Column) -> Column:

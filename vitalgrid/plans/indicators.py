@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vitalgrid.functions.frames import written
 from vitalgrid.operators import indicators as ind
 from vitalgrid.operators.contract import violations
-from vitalgrid.operators.observations import Series, read_series
+from vitalgrid.operators.observations import Series, catalogue_violations, read_catalogue, read_series
 from vitalgrid.plans import structure as ps
 from vitalgrid.plans.registry import query
 from vitalgrid.plans.sources import CUBE_SQL, DIMS, cube_documents
@@ -46,6 +46,88 @@ def series_observations(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+OFFICE = {
+    "source": "Office",
+    "dataset_code": "lines",
+    "source_url": "https://example.org/lines",
+    "transform_version": "cube@0.1",
+}
+FLAG_METRICS = {"A": "population_1jan@v1", "N": "live_births@v1", "R": "net_migration_by_age@v1"}
+
+
+def catalogue() -> dict[str, Series]:
+    """Twenty series: each flag in all areas and in each of five regions, one year of two flags."""
+    out = {}
+    for flag, metric in FLAG_METRICS.items():
+        for region in ("", "0", "1", "2", "3", "4"):
+            out[f"{flag}{region}"] = Series(
+                metric, "observed", "GRID1", {"rf": flag}, geo_prefix="W" + region
+            )
+    out["N in 1996"] = Series("live_births@v1", "projected", "GRID2", {"rf": "N", "time": "1996"})
+    men = {"period": "1998", "sex": "male", "age": "65+"}
+    out["R of men in 1998"] = Series(
+        "net_migration_by_age@v1", "observed", "GRID1", {"rf": "R", "time": "1998"}, men
+    )
+    return out
+
+
+CATALOGUE_SQL = """metric AS (SELECT unnest(['A', 'N', 'R']) AS flag,
+  unnest(['population', 'live_births', 'net_migration']) AS metric,
+  unnest(['population_1jan@v1', 'live_births@v1', 'net_migration_by_age@v1']) AS definition_id),
+series AS (
+  SELECT flag || region AS series, flag, NULL AS only, 'W' || region AS prefix, 'observed' AS nature,
+    'GRID1' AS vintage, 'total' AS sex, 'total' AS age
+  FROM metric, (SELECT unnest(['', '0', '1', '2', '3', '4']) AS region)
+  UNION ALL SELECT 'N in 1996', 'N', '1996', 'W', 'projected', 'GRID2', 'total', 'total'
+  UNION ALL SELECT 'R of men in 1998', 'R', '1998', 'W', 'observed', 'GRID1', 'male', '65+')"""
+
+
+@query(
+    "I06_series_catalogue",
+    sql(
+        """SELECT series, definition_id, metric, 'persons' AS unit, geo AS geo_code,
+        vintage AS geo_vintage, time AS period, sex, age, value, nature, '2026-01-02' AS vintage,
+        CASE WHEN value IS NULL THEN 'not_available' WHEN given = 'p' THEN 'provisional'
+          ELSE 'final' END AS status, 'Office' AS source
+        FROM (SELECT cube.geo, cube.rf, cube.time, cube.value, cube.flag AS given,
+            s.* EXCLUDE (flag)
+          FROM cube JOIN series s ON cube.rf = s.flag AND starts_with(cube.geo, s.prefix)
+          AND (s.only IS NULL OR s.only = cube.time)) JOIN metric ON metric.flag = rf""",
+        CUBE_SQL,
+        CATALOGUE_SQL,
+    ),
+)
+def series_catalogue(spark: SparkSession, sf: str) -> DataFrame:
+    """Twenty series of one cube from one pass over it."""
+    cube = explode_cube(cube_documents(spark, sf), DIMS)
+    out = read_catalogue(cube, catalogue(), definitions(spark), OFFICE)
+    return out.select(
+        "series", "definition_id", "metric", "unit", "geo_code", "geo_vintage", "period", "sex", "age",
+        "value", "nature", "vintage", "status", "source",
+    )
+
+
+@query(
+    "I06_catalogue_violations",
+    sql(
+        """SELECT 'all flags' AS series, 'several codes of rf' AS problem
+        FROM (SELECT count(DISTINCT rf) AS n FROM cube WHERE time = '1996') WHERE n > 1
+        UNION ALL SELECT 'flag X', 'no cell' WHERE NOT EXISTS (FROM cube WHERE rf = 'X')
+        UNION ALL SELECT 'area V', 'no cell' WHERE NOT EXISTS (FROM cube WHERE geo LIKE 'V%')""",
+        CUBE_SQL,
+    ),
+)
+def catalogue_problems(spark: SparkSession, sf: str) -> DataFrame:
+    """The catalogue with three series that cannot be read beside its twenty sound ones."""
+    wrong = {
+        "all flags": Series("live_births@v1", "observed", "GRID1", {"time": "1996"}),
+        "flag X": Series("live_births@v1", "observed", "GRID1", {"rf": "X"}),
+        "area V": Series("live_births@v1", "observed", "GRID1", {"rf": "N"}, geo_prefix="V"),
+    }
+    cube = explode_cube(cube_documents(spark, sf), DIMS)
+    return catalogue_violations(cube, catalogue() | wrong, DIMS)
+
+
 def tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     """The inputs of the registry. The population feeds most indicators, so it is written
     once; areas below the whole make the regional table."""
