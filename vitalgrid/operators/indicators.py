@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -24,6 +24,8 @@ class Indicator:
     ``decimals`` and ``input_rounding`` say how far an official value may differ;
     ``known_differences`` lists cells ('LT 2015-2020, HR 2013') where it differs for a known
     reason; ``corroboration`` are formulas over other tables that may explain a difference.
+    An indicator of ``ratios`` between age groups with the bounds ``bands`` also says so, for
+    :func:`compute_all` to sum up the ages once for all such indicators of a table.
     """
 
     definition_id: str
@@ -34,6 +36,8 @@ class Indicator:
     input_rounding: float = 0.0
     known_differences: str = ""
     corroboration: tuple[Formula, ...] = ()
+    ratios: st.BandRatios | None = None
+    bands: tuple[int, int, int] = (15, 65, 80)
 
 
 def compute(indicator: Indicator, tables: Mapping[str, DataFrame], definitions: DataFrame) -> DataFrame:
@@ -68,24 +72,28 @@ def structure(
     bands = {f"0-{young - 1}": "young", f"{young}-{old - 1}": "working", f"{old}+": "old",
              f"{oldest}+": "oldest"}
 
-    def groups(tables: Mapping[str, DataFrame]) -> DataFrame:
-        return st.age_groups(tables[population], young, old, oldest)
+    ratios: dict[str, st.BandRatios] = {
+        "old_age_dependency_ratio": {"total": ("old", "working")},
+        "young_age_dependency_ratio": {"total": ("young", "working")},
+        "total_age_dependency_ratio": {"total": ("young + old", "working")},
+        "ageing_index": {"total": ("old", "young")},
+        "population_share": {label: (column, "known") for label, column in bands.items()},
+    }
 
-    def ratio(numerator: str, denominator: str) -> Formula:
-        return lambda t: st.ratio_per_100(groups(t), F.expr(numerator), F.col(denominator))
+    def banded(name: str) -> Indicator:
+        definition, version, bounds = f"{name}@v1", f"{name}@0.1", (young, old, oldest)
 
-    formulas: dict[str, Formula] = {
-        "old_age_dependency_ratio": ratio("old", "working"),
-        "young_age_dependency_ratio": ratio("young", "working"),
-        "total_age_dependency_ratio": ratio("young + old", "working"),
-        "ageing_index": ratio("old", "young"),
-        "population_share": lambda t: st.population_shares(groups(t), bands),
-        "median_age": lambda t: st.median_age(t[population]),
-    }
-    return {
-        name + suffix: Indicator(f"{name}@v1", f"{name}@0.1", (population,), formula)
-        for name, formula in formulas.items()
-    }
+        def formula(tables: Mapping[str, DataFrame]) -> DataFrame:
+            groups = st.age_groups(tables[population], *bounds)
+            return st.band_ratios(groups, [(definition, version, ratios[name])])
+
+        return Indicator(definition, version, (population,), formula, ratios=ratios[name], bands=bounds)
+
+    out = {name + suffix: banded(name) for name in ratios}
+    out["median_age" + suffix] = Indicator(
+        "median_age@v1", "median_age@0.1", (population,), lambda t: st.median_age(t[population])
+    )
+    return out
 
 
 def registry(
@@ -129,8 +137,19 @@ def registry(
 def compute_all(
     indicators: Mapping[str, Indicator], tables: Mapping[str, DataFrame], definitions: DataFrame
 ) -> DataFrame:
-    """Several indicators in one table."""
-    frames: Sequence[DataFrame] = [compute(i, tables, definitions) for i in indicators.values()]
+    """Several indicators in one table. Those that are ratios of the same age groups of the same table share
+    one aggregation and are rows of one frame."""
+    shared: dict[tuple[str, tuple[int, int, int]], list[Indicator]] = {}
+    frames: list[DataFrame] = []
+    for indicator in indicators.values():
+        if indicator.ratios is None:
+            frames.append(compute(indicator, tables, definitions))
+        else:
+            shared.setdefault((indicator.inputs[0], indicator.bands), []).append(indicator)
+    for (table, bands), members in shared.items():
+        wanted = [(i.definition_id, i.transform_version, i.ratios or {}) for i in members]
+        rows = st.band_ratios(st.age_groups(tables[table], *bands), wanted)
+        frames.append(to_observations(rows, definitions, F.col("transform_version")))
     out = frames[0]
     for frame in frames[1:]:
         out = out.unionByName(frame)

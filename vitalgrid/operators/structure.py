@@ -135,6 +135,25 @@ def population_shares(groups: DataFrame, labels: Mapping[str, str]) -> DataFrame
     return groups.select("*", F.inline(F.array(*rows))).where("value IS NOT NULL")
 
 
+BandRatios = Mapping[str, tuple[str, str]]  # age label: numerator and denominator, as expressions
+
+
+def band_ratios(groups: DataFrame, wanted: Sequence[tuple[str, str, BandRatios]]) -> DataFrame:
+    """100 x numerator / denominator of all indicators of ``wanted`` (definition, version of the formula, ratios)
+    from one row of :func:`age_groups` a population; nulls are left out."""
+    rows = [
+        F.struct(
+            F.lit(definition).alias("definition_id"),
+            F.lit(version).alias("transform_version"),
+            F.lit(age).alias("age"),
+            (F.try_divide(F.expr(above), F.expr(below)) * 100).alias("value"),
+        )
+        for definition, version, ratios in wanted
+        for age, (above, below) in ratios.items()
+    ]
+    return groups.select("*", F.inline(F.array(*rows))).where("value IS NOT NULL")
+
+
 def median_age(population: DataFrame, by: Sequence[str] = GROUP) -> DataFrame:
     """Age that halves the population of known age, interpolated inside a single year of age;
     only where every age from 0 to it is present.
