@@ -6,6 +6,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
+from tests.conftest import rows
 from vitalgrid.operators.contract import ContractError, validate, violations
 from vitalgrid.plans.views import population
 from vitalgrid.schema import COLUMNS, definitions
@@ -147,3 +148,22 @@ def test_files_digest_follows_the_files(spark, tmp_path):
     assert one.files == 3 and one == build.files_digest(spark.read.parquet(path)).first()
     spark.range(1).write.mode("append").parquet(path)
     assert build.files_digest(spark.read.parquet(path)).first().digest != one.digest
+
+
+def test_sources_of_kept_products_from_one_pass(spark, tmp_path):
+    rows_ = [("a", "x"), ("a", "y"), ("a", "x"), ("b", "x"), ("b", "shut"), ("c", "unlisted"), ("d", None), ("e", "z")]
+    path = str(tmp_path / "entries")
+    spark.createDataFrame(rows_, "product string, source_id string").write.parquet(path)
+    listed = [("x", True), ("y", True), ("z", None), ("shut", False), ("idle", True)]
+    registry = spark.createDataFrame(
+        [(k, ok, f"ds_{k}", "by {dataset_code}.") for k, ok in listed],
+        "source_id string, commercial_reuse boolean, dataset_code string, attribution string",
+    )
+    entries = spark.read.parquet(path)
+    used = product.sources_used(entries, registry)
+    assert rows(used.select("source_id", "credit")) == [("x", "by ds_x."), ("y", "by ds_y.")]
+    kept = {r.product for r in product.licence_filter(entries, registry).collect()}
+    assert kept == {"a"}
+    plan = used._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1
+    assert product.sources_used(entries.limit(0), registry).count() == 0

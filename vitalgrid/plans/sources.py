@@ -507,8 +507,7 @@ def licence_filter(spark: SparkSession, sf: str) -> DataFrame:
     FROM documents WHERE doc_id // 10 IN ({KEPT_SQL})""",
 )
 def sources_used(spark: SparkSession, sf: str) -> DataFrame:
-    rows, reg = entries(spark, sf), registry(spark, sf)
-    used = product.sources_used(rows, reg, product.licence_filter(rows, reg))
+    used = product.sources_used(entries(spark, sf), registry(spark, sf))
     return used.select("source_id", "credit")
 
 

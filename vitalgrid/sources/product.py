@@ -130,9 +130,24 @@ def licence_filter(entries: DataFrame, registry: DataFrame) -> DataFrame:
     )
 
 
-def sources_used(entries: DataFrame, registry: DataFrame, kept: DataFrame) -> DataFrame:
-    """Registry rows used by the kept products, with their credit line filled in."""
-    used = entries.join(kept, "product", "left_semi").select("source_id").distinct()
+def sources_used(entries: DataFrame, registry: DataFrame) -> DataFrame:
+    """Registry rows used by the products that :func:`licence_filter` keeps, with their credit line filled in.
+
+    One pass over the entries: a product's sources, at most the registry's, are gathered in the
+    aggregation that decides whether it is kept."""
+    reuse = registry.select("source_id", "commercial_reuse")
+    used = (
+        entries.select("product", "source_id")
+        .join(reuse, "source_id", "left")
+        .groupBy("product")
+        .agg(
+            F.bool_and(F.coalesce("commercial_reuse", F.lit(False))).alias("_open"),
+            F.collect_set("source_id").alias("_sources"),
+        )
+        .where("_open")
+        .select(F.explode("_sources").alias("source_id"))
+        .distinct()
+    )
     credit = F.replace("attribution", F.lit("{dataset_code}"), F.col("dataset_code"))
     return registry.join(used, "source_id", "left_semi").withColumn("credit", credit)
 
