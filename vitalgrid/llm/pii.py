@@ -1,19 +1,28 @@
 """Personal data: fixed patterns, and terms that reveal whom the patterns protect.
 
-The matches of the patterns are the protected entities. A term (a word near an entity) discloses it if
-knowing the term makes the entity likely: of the documents that hold the term, the share that hold it
-beside the entity is at least SHARE, that is at least BITS above chance (pointwise mutual information),
-and the two meet in at least CONTEXTS different surroundings, so that copies of one passage are one
-piece of evidence. Disclosing terms are generalised to a placeholder, or removed at a share of REMOVE and
-above, wherever they occur.
-
-Counts cover all documents. Words are exploded twice, once to count the terms seen beside entities and
-once to find the disclosing ones; both times a bitmap of fixed size, broadcast as a table of at most
-2**18 rows, drops the other words before anything is shuffled.
+The matches of the patterns are the protected entities. A term (a word outside of addresses) can
+disclose one of them, or that a document protects an entity of a kind at all:
+
+- One entity: of the documents that hold the term, the share that hold it near the entity is at least
+  SHARE, and the two meet in at least CONTEXTS different surroundings, so that copies of one passage are
+  one piece of evidence.
+- A kind, pooled over its entities and over whole documents: of the documents that hold the term, the
+  share that hold an entity of the kind, drawn towards the kind's share of all documents as if PRIOR
+  more documents had that one, is at least SHARE. Documents with the same fingerprint (the lowest hash of
+  three consecutive words) count once, so edited copies are hardly evidence either.
+
+Both shares must be at least BITS above chance (pointwise mutual information). Disclosing terms are
+generalised to a placeholder, or removed at a share of REMOVE and above, wherever they occur.
+
+Counts cover all documents. The words of documents with an entity are written once, with one row of every
+document; those that could disclose are then counted in all documents, where a bitmap of fixed size,
+broadcast as a table of at most 2**18 rows, drops the other words before anything is shuffled.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +44,7 @@ BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 SURROUNDING = 80  # characters on either side of an entity
 SHORTEST = 3  # characters of a term
 CONTEXTS, SHARE, BITS, REMOVE = 3, 0.5, 1.0, 0.9
+PRIOR = 3.0  # documents: two alone never reach a share of a half
 BITMAP_BITS = 24
 DOC = ["id", "key"]
 
@@ -147,34 +157,112 @@ def _low(term: str) -> Column:
     return F.xxhash64(term).bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
 
 
+def words_of(text: Column) -> Column:
+    """The distinct lower-case words of a text outside of e-mail addresses."""
+    low = F.lower(text)
+    outside = F.when(low.contains("@"), F.regexp_replace(low, PATTERNS["email"], " ")).otherwise(low)
+    return F.array_distinct(F.split(outside, BETWEEN))
+
+
+def fingerprint(text: Column) -> Column:
+    """The lowest hash of a word and the two before it: edited copies mostly share it."""
+    start = F.struct(*[F.lit(n).cast("long").alias(c) for c, n in (("a", 0), ("b", 0), ("low", (1 << 63) - 1))])
+    step = lambda s, w: F.struct(
+        s["b"].alias("a"), F.xxhash64(w).alias("b"), F.least(s["low"], F.xxhash64(s["a"], s["b"], w)).alias("low")
+    )
+    return F.aggregate(F.split(F.lower(text), BETWEEN), start, step, lambda s: s["low"])
+
+
+def kinds_in(text: Column) -> Column:
+    """Bits of the kinds that a text has a valid match of."""
+
+    def bit(rank: int, kind: str) -> Column:
+        found = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
+        held = _hint(kind, text) & F.exists(found, lambda m: _valid(F.lit(kind), m))
+        return F.when(held, F.lit(1 << rank)).otherwise(F.lit(0))
+
+    return reduce(Column.__add__, [bit(rank, kind) for rank, kind in enumerate(KINDS)])
+
+
+def evidence(texts: DataFrame) -> DataFrame:
+    """(id, key, fp, kinds, term): one row of every document, whose term is null, and one for each
+    term of the documents with an entity."""
+    text = F.coalesce("text", F.lit(""))
+    marked = texts.select(*DOC, text.alias("text"), fingerprint(text).alias("fp"), kinds_in(text).alias("kinds"))
+    none = F.array(F.lit(None).cast("string"))
+    words = F.when(F.col("kinds") > 0, F.concat(none, words_of(F.col("text")))).otherwise(none)
+    rows = marked.select(*DOC, "fp", "kinds", F.explode(words).alias("term"))
+    return rows.where(F.col("term").isNull() | _is_term(F.col("term")))
+
+
 def terms_among(texts: DataFrame, chosen: DataFrame) -> DataFrame:
     """(id, key, term) of the distinct words of every text that a bitmap of the chosen terms has: all
     occurrences of these, and few others."""
-    cell, place = F.shiftright(_low("term"), 6), _low("term").bitwiseAND(F.lit(63)).cast("int")
+    cell = F.shiftright(_low("term"), 6)
     bit = F.expr("shiftleft(1L, cast(xxhash64(term) & 63 as int))")
     cells = chosen.groupBy(cell.alias("cell")).agg(F.bit_or(bit).alias("bits"))
-    words = texts.select(*DOC, F.explode(F.array_distinct(F.split(F.lower("text"), BETWEEN))).alias("term"))
+    words = texts.select(*DOC, F.explode(words_of(F.col("text"))).alias("term"))
     words = words.withColumn("cell", cell).join(F.broadcast(cells), "cell")
     return words.where(F.expr("shiftright(bits, cast(xxhash64(term) & 63 as int)) & 1") == 1).select(*DOC, "term")
 
 
-def disclosing_terms(texts: DataFrame, near: DataFrame) -> DataFrame:
-    """(term, share, bits): the terms that disclose an entity, with their largest share."""
+def entity_pairs(near: DataFrame) -> DataFrame:
+    """(term, what, both, of): terms that may disclose one entity; `of` is the entity's documents."""
     seen = near.distinct().groupBy("entity", "term", "around").agg(F.count("*").alias("n"))
     pairs = seen.groupBy("entity", "term").agg(F.sum("n").alias("both"), F.count("*").alias("contexts"))
     # a term is in at least as many documents as hold it beside any entity: a share above this bound
     # can't be reached, whatever the rest of the corpus holds
     anywhere = near.select(*DOC, "term").distinct().groupBy("term").agg(F.count("*").alias("least"))
     pairs = pairs.where(F.col("contexts") >= CONTEXTS).join(anywhere, "term")
-    pairs = saved(pairs.where(F.col("both") >= SHARE * F.col("least")).drop("least"))
-    entities = near.select(*DOC, "entity").distinct().groupBy("entity").agg(F.count("*").alias("of_entity"))
-    counts = terms_among(texts, pairs.select("term").distinct()).groupBy("term").agg(
-        F.count("*").alias("of_term")
+    pairs = pairs.where(F.col("both") >= SHARE * F.col("least"))
+    entities = near.select(*DOC, "entity").distinct().groupBy("entity").agg(F.count("*").alias("of"))
+    return pairs.join(entities, "entity").select("term", F.col("entity").alias("what"), "both", "of")
+
+
+def kind_pairs(rows: DataFrame, totals: dict[str, int]) -> DataFrame:
+    """(term, what, both, of): terms that may disclose a kind; `of` is the kind's fingerprints."""
+    held = rows.where("term is not null").groupBy("term", "fp").agg(F.bit_or("kinds").alias("kinds"))
+    by_term = held.groupBy("term").agg(
+        F.count("*").alias("least"),
+        *[F.count_if(F.col("kinds").bitwiseAND(1 << i) > 0).alias(k) for i, k in enumerate(KINDS)],
+    )
+    each = F.array(
+        *[F.struct(F.lit(k).alias("what"), F.col(k).alias("both"), F.lit(totals[k]).cast("long").alias("of")) for k in KINDS]
+    )
+    pairs = by_term.select("term", "least", F.explode(each).alias("e")).select("term", "least", "e.*")
+    return pairs.where((F.col("both") > 0) & (_drawn("both", "least", totals["all"]) >= SHARE)).drop("least")
+
+
+def _drawn(both: str, holding: str, everything: int) -> Column:
+    """Share of documents, drawn towards the share `of` has of everything."""
+    chance = F.col("of") / F.lit(float(max(everything, 1)))
+    return (F.col(both) + PRIOR * chance) / (F.col(holding) + PRIOR)
+
+
+def disclosing_terms(texts: DataFrame, near: DataFrame) -> DataFrame:
+    """(term, share, bits): the terms that disclose an entity or a kind, with their largest share."""
+    rows = saved(evidence(texts))
+    prints = rows.where("term is null").groupBy("fp").agg(F.bit_or("kinds").alias("kinds"), F.count("*").alias("n"))
+    totals = prints.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
+        F.count("*").alias("all"),
+        *[F.count_if(F.col("kinds").bitwiseAND(1 << i) > 0).alias(k) for i, k in enumerate(KINDS)],
+    ).first().asDict()
+    one = entity_pairs(near).withColumn("pooled", F.lit(False))
+    pairs = saved(one.unionByName(kind_pairs(rows, totals).withColumn("pooled", F.lit(True))))
+    holding = terms_among(texts, pairs.select("term").distinct())
+    own = rows.where("term is null").select("id", "key", "fp").distinct()
+    own = own.select(F.col("id").alias("i"), F.col("key").alias("k"), "fp")
+    same = holding["id"].eqNullSafe(own["i"]) & (holding["key"] == own["k"])
+    # documents with the term by fingerprint, then terms: a frequent term is combined before it is shuffled
+    counts = holding.join(own, same).groupBy("term", "fp").agg(F.count("*").alias("n"))
+    counts = counts.groupBy("term").agg(F.sum("n").alias("of_term"), F.count("*").alias("prints"))
+    rated = pairs.join(counts, "term")
+    share = F.when(F.col("pooled"), _drawn("both", "prints", totals["all"])).otherwise(
+        F.least(F.lit(1.0), F.col("both") / F.col("of_term"))
     )
-    everything = texts.count()
-    share = F.least(F.lit(1.0), F.col("both") / F.col("of_term"))
-    bits = F.log2(share * everything / F.col("of_entity"))
-    rated = pairs.join(counts, "term").join(entities, "entity").select("term", share.alias("share"), bits.alias("bits"))
+    among = F.when(F.col("pooled"), F.lit(totals["all"])).otherwise(F.lit(totals["rows"]))
+    rated = rated.withColumn("share", share).withColumn("bits", F.log2(share * among / F.col("of")))
     rated = rated.where((F.col("share") >= SHARE) & (F.col("bits") >= BITS))
     return rated.groupBy("term").agg(F.max("share").alias("share"), F.max("bits").alias("bits"))
 
