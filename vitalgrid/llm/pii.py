@@ -185,25 +185,29 @@ def kinds_in(text: Column) -> Column:
 
 
 def evidence(texts: DataFrame) -> DataFrame:
-    """(id, key, fp, kinds, term): one row of every document, whose term is null, and one for each
-    term of the documents with an entity."""
+    """(fp, kinds, term): one row of every document, whose term is null, and one for each term of the
+    documents with an entity."""
     text = F.coalesce("text", F.lit(""))
-    marked = texts.select(*DOC, text.alias("text"), fingerprint(text).alias("fp"), kinds_in(text).alias("kinds"))
+    marked = texts.select(text.alias("text"), fingerprint(text).alias("fp"), kinds_in(text).alias("kinds"))
     none = F.array(F.lit(None).cast("string"))
     words = F.when(F.col("kinds") > 0, F.concat(none, words_of(F.col("text")))).otherwise(none)
-    rows = marked.select(*DOC, "fp", "kinds", F.explode(words).alias("term"))
+    rows = marked.select("fp", "kinds", F.explode(words).alias("term"))
     return rows.where(F.col("term").isNull() | _is_term(F.col("term")))
 
 
+def cells_of(chosen: DataFrame) -> DataFrame:
+    """(cell, bits): a bitmap of the chosen terms in cells of 64 bits."""
+    bit = F.expr("shiftleft(1L, cast(xxhash64(term) & 63 as int))")
+    return chosen.groupBy(F.shiftright(_low("term"), 6).alias("cell")).agg(F.bit_or(bit).alias("bits"))
+
+
 def terms_among(texts: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(id, key, term) of the distinct words of every text that a bitmap of the chosen terms has: all
+    """(fp, term) of the distinct words of every text that a bitmap of the chosen terms has: all
     occurrences of these, and few others."""
-    cell = F.shiftright(_low("term"), 6)
-    bit = F.expr("shiftleft(1L, cast(xxhash64(term) & 63 as int))")
-    cells = chosen.groupBy(cell.alias("cell")).agg(F.bit_or(bit).alias("bits"))
-    words = texts.select(*DOC, F.explode(words_of(F.col("text"))).alias("term"))
-    words = words.withColumn("cell", cell).join(F.broadcast(cells), "cell")
-    return words.where(F.expr("shiftright(bits, cast(xxhash64(term) & 63 as int)) & 1") == 1).select(*DOC, "term")
+    text = F.coalesce("text", F.lit(""))
+    words = texts.select(fingerprint(text).alias("fp"), F.explode(words_of(text)).alias("term"))
+    words = words.withColumn("cell", F.shiftright(_low("term"), 6)).join(F.broadcast(cells_of(chosen)), "cell")
+    return words.where(F.expr("shiftright(bits, cast(xxhash64(term) & 63 as int)) & 1") == 1).select("fp", "term")
 
 
 def entity_pairs(near: DataFrame) -> DataFrame:
@@ -250,12 +254,8 @@ def disclosing_terms(texts: DataFrame, near: DataFrame) -> DataFrame:
     ).first().asDict()
     one = entity_pairs(near).withColumn("pooled", F.lit(False))
     pairs = saved(one.unionByName(kind_pairs(rows, totals).withColumn("pooled", F.lit(True))))
-    holding = terms_among(texts, pairs.select("term").distinct())
-    own = rows.where("term is null").select("id", "key", "fp").distinct()
-    own = own.select(F.col("id").alias("i"), F.col("key").alias("k"), "fp")
-    same = holding["id"].eqNullSafe(own["i"]) & (holding["key"] == own["k"])
     # documents with the term by fingerprint, then terms: a frequent term is combined before it is shuffled
-    counts = holding.join(own, same).groupBy("term", "fp").agg(F.count("*").alias("n"))
+    counts = terms_among(texts, pairs.select("term").distinct()).groupBy("term", "fp").agg(F.count("*").alias("n"))
     counts = counts.groupBy("term").agg(F.sum("n").alias("of_term"), F.count("*").alias("prints"))
     rated = pairs.join(counts, "term")
     share = F.when(F.col("pooled"), _drawn("both", "prints", totals["all"])).otherwise(
@@ -267,18 +267,44 @@ def disclosing_terms(texts: DataFrame, near: DataFrame) -> DataFrame:
     return rated.groupBy("term").agg(F.max("share").alias("share"), F.max("bits").alias("bits"))
 
 
+def bitmap(chosen: DataFrame) -> Column:
+    """The cells of the bitmap in order, one array of 2**18 numbers whatever the input, as a subquery."""
+    every = chosen.sparkSession.range(1 << (BITMAP_BITS - 6)).select(F.col("id").alias("cell"))
+    cells = every.join(cells_of(chosen), "cell", "left").select("cell", F.coalesce("bits", F.lit(0)).alias("bits"))
+    listed = F.sort_array(F.collect_list(F.struct("cell", "bits")))
+    return cells.agg(F.transform(listed, lambda c: c["bits"]).alias("cells")).scalar()
+
+
 def term_spans(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """(id, key, kind, start, end, match) of every occurrence of the terms; kind: term or removed."""
-    held = terms_among(texts, terms.select("term")).join(terms, "term")
-    held = held.groupBy(*DOC).agg(F.collect_set(F.struct("term", "share")).alias("held"))
-    held = held.select(F.col("id").alias("i"), F.col("key").alias("k"), "held")
-    same = texts["id"].eqNullSafe(held["i"]) & (texts["key"] == held["k"])
-    found = texts.join(held, same).select(*DOC, "held", F.posexplode(_matches(F.col("text"), WORD)).alias("nr", "m"))
-    found = _located(found.select(*DOC, F.lit("term").alias("kind"), "nr", "m.gap", "m.match", "held"))
-    hit = F.filter("held", lambda t: t["term"] == F.lower("match"))
-    found = found.withColumn("hit", F.get(hit, 0)).where("hit is not null")
-    kind = F.when(F.col("hit.share") >= REMOVE, "removed").otherwise("term")
-    return found.select(*DOC, kind.alias("kind"), "start", "end", "match")
+    """(id, key, kind, start, end, match) of every occurrence of the terms; kind: term or removed.
+
+    One walk over the words of a text keeps the places of those that the bitmap has, so no text is
+    shuffled; the terms themselves then meet these few words.
+    """
+    text = F.coalesce("text", F.lit(""))
+    words = F.zip_with(
+        F.transform(F.split(text, WORD, -1), lambda p: F.length(p)),
+        F.regexp_extract_all(text, F.lit(WORD), F.lit(0)),
+        lambda gap, word: F.struct(gap.alias("gap"), word.alias("word")),
+    )
+    state = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start: bigint, word: string>>").alias("hits"))
+
+    def step(s: Column, w: Column) -> Column:
+        low = F.xxhash64(F.lower(w["word"])).bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
+        held = F.get("cells", F.shiftright(low, 6).cast("int"))
+        start = s["at"] + w["gap"]
+        hit = F.call_function("getbit", held, low.bitwiseAND(F.lit(63)).cast("int")) == 1
+        here = F.array(F.struct(start.alias("start"), w["word"].alias("word")))
+        hits = F.when(hit, F.concat(s["hits"], here)).otherwise(s["hits"])
+        return F.struct((start + F.length(w["word"])).alias("at"), hits.alias("hits"))
+
+    walked = texts.select(*DOC, F.col("text"), bitmap(terms).alias("cells"))
+    hits = walked.select(*DOC, F.explode(F.aggregate(words, state, step, lambda s: s["hits"])).alias("m"))
+    found = hits.select(*DOC, "m.start", F.col("m.word").alias("match"), F.lower("m.word").alias("term")).join(terms, "term")
+    kind = F.when(F.col("share") >= REMOVE, "removed").otherwise("term")
+    end = F.col("start") + F.length("match")
+    # wholly equal rows share their spans
+    return found.select(*DOC, kind.alias("kind"), "start", end.alias("end"), "match").distinct()
 
 
 def spans(texts: DataFrame) -> DataFrame:
