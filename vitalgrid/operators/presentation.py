@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from vitalgrid.functions.decode import parse_age
 from vitalgrid.functions.frames import values_frame
+from vitalgrid.operators.selection import exact_quantiles
 
 SERIES = ("geo_code", "scenario_id")
 PANEL = (
@@ -327,12 +328,16 @@ def classify(
     (symmetric about zero if diverging) or quantiles. Equal values share a class.
 
     The breaks are one aggregate row per map. For quantiles that aggregate holds the map's
-    distinct values, i.e. at most its areas."""
+    distinct values, i.e. at most its areas; ``selection`` finds the same breaks for maps of
+    any number of rows."""
     value = F.col("value")
     steps = F.sequence(F.lit(1), F.lit(n - 1))
     if method == "quantile":
         shares = F.array(*[F.lit(i / n) for i in range(1, n)])
         breaks = rows.groupBy(*by).agg(F.percentile("value", shares).alias("_breaks"))
+    elif method == "selection":
+        breaks = exact_quantiles(rows, by, "value", [i / n for i in range(1, n)])
+        breaks = breaks.select(*by, F.col("quantiles").alias("_breaks"))
     elif method == "quantize":
         low, high = F.min("value"), F.max("value")
         if diverging:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vitalgrid.functions.frames import values_frame, year_shift
 from vitalgrid.operators import gates as g
 from vitalgrid.operators import groups as gr
+from vitalgrid.operators import selection
 from vitalgrid.operators import structure as st
 from vitalgrid.plans.registry import query
 from vitalgrid.plans.structure import (
@@ -59,6 +60,29 @@ def mixed_definitions(spark: SparkSession, sf: str) -> DataFrame:
     return gr.mixed_definitions(rows)
 
 
+@query(
+    "E10_quantiles",
+    """SELECT l_linestatus AS kind, l_returnflag AS flag, count(*) AS n,
+        round(quantile_cont(l_extendedprice, 0.1), 4) AS p10,
+        round(quantile_cont(l_extendedprice, 0.5), 4) AS p50,
+        round(quantile_cont(l_extendedprice, 0.9), 4) AS p90
+    FROM (SELECT l_linestatus, l_returnflag, CAST(l_extendedprice AS DOUBLE) AS l_extendedprice
+          FROM lineitem)
+    GROUP BY ALL""",
+)
+def quantiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Exact quantiles over all rows of few groups, none of which is held as a list."""
+    rows = table(spark, sf, "lineitem").select(
+        F.col("l_linestatus").alias("kind"), F.col("l_returnflag").alias("flag"), "l_extendedprice"
+    )
+    shares = (0.1, 0.5, 0.9)
+    found = selection.exact_quantiles(rows, ["kind", "flag"], "l_extendedprice", shares)
+    return found.select(
+        "kind", "flag", "n",
+        *[F.round(F.get("quantiles", i), 4).alias(f"p{s * 100:.0f}") for i, s in enumerate(shares)],
+    )
+
+
 @query(
     "E11_with_median",
     sql(
