@@ -1,12 +1,10 @@
 from __future__ import annotations
 
 import hashlib
-import math
 import random
 import re
 
 import pytest
-import xxhash
 
 from vitalgrid.llm import pii, queries
 
@@ -96,101 +94,3 @@ def test_sanitised(revealing):
     assert out[3] == "note 3    [email] about topic3 and the weather3 of day3"
     assert out[20] == "note 20 about the usual topic20 and corp weather20"
     assert out[62] == "one secretword near [email] here"
-
-
-def words(text):
-    return re.split(pii.BETWEEN, text)
-
-
-def is_term(word):
-    return len(word) >= 3 and not re.fullmatch("[0-9]+", word)
-
-
-def hashed(*values):
-    state = 42
-    for v in values:
-        state = xxhash.xxh64(v.encode() if isinstance(v, str) else v.to_bytes(8, "little", signed=True), seed=state).intdigest()
-    return state - (1 << 64) if state >> 63 else state
-
-
-def plain_print(text):
-    a = b = 0
-    lowest = (1 << 63) - 1
-    for w in words(text.lower()):
-        lowest, a, b = min(lowest, hashed(a, b, w)), b, hashed(w)
-    return lowest
-
-
-def plain_terms(texts):
-    """term -> largest share, by loops over all documents, entities and kinds."""
-    prints = [plain_print(t) for t in texts]
-    outside = [set(filter(is_term, words(re.sub(BASE["email"], " ", t.lower())))) for t in texts]
-    kinds = [{k for *_, k in plain_spans(t)} for t in texts]
-    near = set()
-    for i, t in enumerate(texts):
-        good = {(s, e, k) for s, _, e, k in plain_spans(t)}
-        for kind, pattern in BASE.items():
-            ms = list(re.finditer(pattern, t))
-            for j, m in enumerate(ms):
-                if (m.start(), m.end(), kind) in good:
-                    start = ms[j - 1].end() if j else 0
-                    end = ms[j + 1].start() if j + 1 < len(ms) else len(t)
-                    around = (t[start : m.start()] + " " + t[m.end() : end]).lower()
-                    name = m[0].lower() if kind == "email" else re.sub("[^0-9.]", "", m[0])
-                    near |= {(i, f"{kind}:{name}", w, around) for w in words(around) if is_term(w)}
-    found = {}
-    everything = len(set(prints))
-    for kind in BASE:
-        of = len({p for p, k in zip(prints, kinds) if kind in k})
-        for w in set().union(*outside):
-            both = len({p for p, o, k in zip(prints, outside, kinds) if w in o and kind in k})
-            holding = len({p for p, o in zip(prints, outside) if w in o})
-            if both:
-                share = (both + 3 * of / everything) / (holding + 3)
-                if share >= 0.5 and math.log2(share * everything / of) >= 1:
-                    found[w] = max(share, found.get(w, 0))
-    for entity in {e for _, e, _, _ in near}:
-        of = len({i for i, e, _, _ in near if e == entity})
-        for w in {x for _, e, x, _ in near if e == entity}:
-            meets = {(i, a) for i, e, x, a in near if (e, x) == (entity, w)}
-            holding = sum(w in o for o in outside)
-            least = len({i for i, _, x, _ in near if x == w})
-            if len({a for _, a in meets}) >= 3 and len(meets) >= 0.5 * least and holding:
-                share = min(1.0, len(meets) / holding)
-                if share >= 0.5 and math.log2(share * len(texts) / of) >= 1:
-                    found[w] = max(share, found.get(w, 0))
-    return found
-
-
-def plain_added(text, terms):
-    base = plain_spans(text)
-    for m in re.finditer(pii.WORD, text):
-        if m[0].lower() in terms and all(m.end() <= s or e <= m.start() for s, _, e, _ in base):
-            yield m.start(), 6 if terms[m[0].lower()] >= 0.9 else 5, m.end()
-
-
-@pytest.mark.parametrize("seed", [1, 2])
-def test_disclosure_matches_brute_force(frame, seed):
-    rng = random.Random(seed)
-    pool = [f"{a}{b}" for a in ("ba", "De", "ki", "lo", "mü") for b in ("na", "ro", "ste", "V")]
-    private = ["ro@kina.org", "x.y@bana.com", "10.2.3.4", "10.2.3.5", "+1 (403) 555-9312", "4111111111111111", "1.2.3.999"]
-    texts = [""]
-    for i in range(120):
-        said = rng.choices(pool, k=rng.randrange(1, 7))
-        if rng.random() < 0.3:
-            which = rng.randrange(len(private))
-            said[rng.randrange(len(said)) :] = [f"who{which % 4}", private[which], rng.choice(["who1", "Who9", f"only{i}"])]
-        texts.append(" ".join(said))
-    for i in range(30):  # each address once, so that only the kind is evidence; and edited copies of one text
-        texts.append(f"mail{i} lodgers u{i}@h{i}.org " + rng.choice(pool))
-        texts.append(f"copied line of one text about v@w.org {i % 2}")
-    assert max(map(len, texts)) < pii.SURROUNDING
-    docs = frame(list(enumerate(texts)))
-    terms = plain_terms(texts)
-    assert "lodgers" in terms and "copied" not in terms and len(terms) > 2
-    narrow = pii.narrow(docs, "doc_id", "text")
-    got = {r.term: r.share for r in pii.disclosing_terms(narrow, pii.beside(pii.base_spans(narrow))).collect()}
-    assert got == {w: pytest.approx(share) for w, share in terms.items()}
-    for row in pii.find(docs).collect():
-        base = [(s, r + 1, e) for s, r, e, _ in plain_spans(texts[row.id])]
-        assert [(s.start, s.rank, s.end) for s in row.spans] == sorted(base + list(plain_added(texts[row.id], terms)))
