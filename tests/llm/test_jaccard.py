@@ -9,7 +9,7 @@ import pytest
 
 import corpus_pipeline
 from tests.llm.test_simhash import plain_components
-from vitalgrid.llm import jaccard
+from vitalgrid.llm import jaccard, simhash
 
 
 def plain_shingles(text):
@@ -139,3 +139,12 @@ def test_shingles_of_short_and_empty_texts():
     parts = [set(found[first[i] : first[i + 1]].tolist()) for i in range(len(texts))]
     assert [len(p) for p in parts] == [len(plain_shingles(t)) for t in texts]
     assert parts[2] == parts[5] and parts[0] & parts[3]
+
+
+def test_near_dedup_compares_what_the_simhash_index_links(spark, frame, monkeypatch):
+    words = [f"w{i}" for i in range(100)]
+    docs = frame([(1, " ".join(words)), (2, " ".join(words[:-2])), (3, " ".join(words).upper())])
+    assert [r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()] == [1]
+    similar = simhash.similar
+    monkeypatch.setattr(simhash, "similar", lambda nodes: similar(nodes).limit(0))
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [1, 2]

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 
@@ -106,3 +107,70 @@ def test_keep_one(spark, frame):
     assert kept.columns == docs.columns
     assert sorted(((r.doc_id, r.lang) for r in kept.collect()), key=str) == [(2, "de"), (9, None), (None, None)]
     assert simhash.keep_one(docs.limit(0)).count() == 0
+
+
+def test_wide_votes_match_single_shingles():
+    rng = np.random.default_rng(2)
+    sizes = [1, 5, 255, 256, 257, 40_000, 3, 700]
+    first = np.concatenate(([0], np.cumsum(sizes)))
+    found = rng.integers(0, 1 << 63, first[-1], np.uint64)
+    votes = simhash.wide_votes(found, first)
+    for k, seed in enumerate(simhash.WIDE_SEEDS):
+        own = simhash.mixed(found ^ seed).view(np.uint8).reshape(-1, 8)[:, [0, 2, 4, 6, 1, 3, 5, 7]].astype(np.int64)
+        plain = [(2 * own[a:b] - 255).sum(axis=0) for a, b in zip(first[:-1], first[1:])]
+        assert (votes[:, 8 * k : 8 * k + 8] == plain).all()
+
+
+def test_keys_are_pairs_of_bytes_with_the_weakest_votes_either_way():
+    rng = np.random.default_rng(3)
+    found, first = rng.integers(0, 1 << 63, 600, np.uint64), np.array([0, 30, 600])
+    votes, (words, keys) = simhash.wide_votes(found, first), simhash.wide_entries(found, first)
+    for t in range(2):
+        pairs = words[t].view(np.uint16)
+        assert [int(w) >> i & 1 for w in words[t] for i in range(64)] == (votes[t] > 0).astype(int).tolist()
+        of_place = {}
+        for key in keys[t].tolist():
+            of_place.setdefault(key >> 16, set()).add(key & 0xFFFF)
+        assert len(of_place) == simhash.LISTED
+        for place, listed in of_place.items():
+            weak = np.argsort(np.abs(votes[t, 16 * place : 16 * place + 16]))[: simhash.FLIPS].tolist()
+            flips = [sum(1 << i for i, on in zip(weak, [n & 1, n >> 1]) if on) for n in range(4)]
+            assert listed == {int(pairs[place]) ^ f for f in flips}
+
+
+def test_near_lists_match_brute_force(monkeypatch):
+    rng = np.random.default_rng(4)
+    bases = rng.integers(0, 1 << 63, 12, np.uint64)
+
+    def edited(base, count):
+        flips = [sum(1 << int(b) for b in rng.choice(63, rng.integers(0, 9), False)) for _ in range(count)]
+        return base ^ np.array(flips, np.uint64)
+
+    lists = [edited(b, n) for b, n in zip(bases, (1, 2, 70, 400))]
+    lists += [np.concatenate([edited(b, 60) for b in bases]), rng.integers(0, 1 << 63, 300, np.uint64)]
+    lists = [rng.permutation(x) for x in lists]
+    values, edges = np.concatenate(lists), np.concatenate(([0], np.cumsum([len(x) for x in lists])))
+    expected = []
+    for at, own in zip(edges, lists):
+        near = np.argwhere(np.bitwise_count(own[:, None] ^ own) <= simhash.NEAR).tolist()
+        root = plain_components([(a, b) for a, b in near if a < b], set(range(len(own))))
+        expected += [at + root[i] for i in range(len(own))]
+    for short, links in ((128, 1 << 22), (16, 100), (1, 1)):
+        monkeypatch.setattr(simhash, "SHORT", short)
+        monkeypatch.setattr(simhash, "LINKS", links)
+        assert simhash.near_lists(values, edges).tolist() == expected
+
+
+def test_index_links_pairs_at_the_threshold(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for n in range(1, 400):  # 8 n of 10 n shingles in common: 0.8 for each of the forms
+        n = n % 12 + 1
+        whole = rng.integers(0, 1 << 63, 10 * n, np.uint64)
+        pair = (whole[: 9 * n], whole[n:]) if len(rows) % 4 else (whole, whole[: 8 * n])
+        for part in pair:
+            words, keys = simhash.wide_entries(part, np.array([0, len(part)]))
+            rows.append((len(rows), keys[0].tolist(), words[0].view(np.int64).tolist()))
+    nodes = spark.createDataFrame(rows, "node long, keys array<int>, words array<long>")
+    linked = {(r.v, r.u) for r in simhash.similar(nodes).collect()}
+    assert linked == {(i, i + 1) for i in range(0, len(rows), 2)}

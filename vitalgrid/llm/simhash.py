@@ -8,6 +8,13 @@ combinations exactly if their tally of shared positional bytes reaches 6. The me
 differ in two bytes only, so a list has at most 65,536 distinct members whatever the input, and a
 hot group of copies is one member. Each list is verified by exact bit counts and yields a star of links
 per linked set instead of all pairs.
+
+Texts of a given similarity (`similar`) have wider fingerprints, of PLACES positional byte pairs. They differ
+in many bits, so no number of shared bytes is certain: a list is keyed by one pair of bytes, which is also listed
+with its FLIPS weakest votes flipped, since those are the bits in which similar texts differ, and a text is listed
+at the LISTED places whose other votes are strongest. An entry carries another word of the fingerprint, and
+members of a list link at NEAR differing bits of it or fewer. At a Jaccard similarity of 0.8 (cosine of 0.889
+between the sets, 0.15 of the bits differ) a pair links at 13 places on average.
 """
 
 from __future__ import annotations
@@ -22,9 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vitalgrid.llm.blocks import least_reached, whole_groups
 from vitalgrid.llm.common import row_hash, saved
 from vitalgrid.llm.components import components
-from vitalgrid.llm.text import SPACED, Words, chunks
+from vitalgrid.llm.text import SPACED, Words, chunks, mixed
 
 WIDTH = 3  # words of a shingle
 SEED = 42
@@ -32,6 +40,16 @@ BITS = 2  # fingerprints link at so many differing bits or fewer
 MATCHES = 8 - BITS  # positional bytes that such a pair shares at least
 HASHED_AT_ONCE = 100_000  # shingles
 
+WIDE = 12  # 64-bit words of a wide fingerprint
+PLACES, LISTED = 4 * WIDE, 36  # pairs of positional bytes, and those that a text is listed at
+FLIPS = 2  # weakest votes of a pair of bytes that are listed either way
+ENTRIES = LISTED << FLIPS  # index entries of a text
+NEAR = 14  # members of a list link at so many differing bits of 64 or fewer
+SUMMED, TILE = 256, 1 << 14  # shingles whose bytes add up in 16 bits, and shingles voted at once
+SHORT = 128  # members up to which lists are compared together
+LINKS = 1 << 22  # links that are held at once
+WIDE_SEEDS = np.random.default_rng(43).integers(0, 1 << 63, 8 * WIDE, np.uint64)
+
 
 def fingerprints(texts: pa.Array, width: int = WIDTH, seed: int = SEED) -> np.ndarray:
     """Fingerprint (uint64) of each text: majority of the bits of its shingles' XXH64."""
@@ -181,3 +199,127 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     # the hash covers the id; merged, since the winners follow the input, and the rows stay dealt by hash
     kept = keyed.join(winners.hint("merge"), keyed["__hash"] == winners["h"], "left_semi")
     return kept.dropDuplicates(["__hash"]).select(*[F.col(f"`{c}`") for c in columns])
+
+
+def wide_votes(found: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The 64 * WIDE votes of each text; found, first: hashes of its shingles, one at least, and where texts begin.
+
+    A shingle's vote on a bit is a byte of its hash around its middle, so that few shingles hardly tie.
+    """
+    sizes = np.diff(first)
+    parts = -(-sizes // SUMMED)  # a text is summed in parts
+    nr = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    heads = np.repeat(first[:-1], parts) + nr * SUMMED
+    ends = np.append(heads, first[-1])
+    sums = np.zeros((len(heads), 64 * WIDE), np.uint16)
+    low = np.uint64(0x00FF00FF00FF00FF)
+    at = 0
+    while at < len(heads):
+        last = max(at + 1, int(np.searchsorted(ends, ends[at] + TILE, "right")) - 1)
+        own, edges = found[ends[at] : ends[last]], heads[at:last] - ends[at]
+        for k, seed in enumerate(WIDE_SEEDS):
+            hashes = mixed(own ^ seed)
+            even = np.add.reduceat(hashes & low, edges)
+            odd = np.add.reduceat((hashes >> np.uint64(8)) & low, edges)
+            sums[at:last, 8 * k : 8 * k + 4] = even.view(np.uint16).reshape(-1, 4)
+            sums[at:last, 8 * k + 4 : 8 * k + 8] = odd.view(np.uint16).reshape(-1, 4)
+        at = last
+    total = np.add.reduceat(sums, np.cumsum(parts) - parts, axis=0, dtype=np.int64)
+    return 2 * total - 255 * sizes[:, None]
+
+
+def wide_entries(found: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """WIDE words of each text's fingerprint and its ENTRIES keys (place, two bytes); arguments as of wide_votes."""
+    votes = wide_votes(found, first)
+    count = len(votes)
+    bits = np.packbits(votes > 0, axis=1, bitorder="little")
+    pairs = bits.view("<u2").reshape(count, PLACES).astype(np.int32)
+    strength = np.abs(votes).reshape(count, PLACES, 16)
+    weak = np.argpartition(strength, FLIPS - 1, axis=2)[:, :, :FLIPS]
+    # a vote's chance to differ in a similar text falls with its strength in standard deviations
+    doubt = np.exp(-2.2 * strength / np.sqrt(np.diff(first) * 65535 / 3)[:, None, None])
+    np.put_along_axis(doubt, weak, 0, axis=2)
+    best = np.argpartition(doubt.sum(axis=2), LISTED - 1, axis=1)[:, :LISTED]
+    keys = (np.arange(PLACES, dtype=np.int32) << 16 | pairs)[:, :, None]
+    for i in range(FLIPS):
+        flipped = keys ^ (np.int32(1) << weak[:, :, i, None].astype(np.int32))
+        keys = np.concatenate((keys, flipped), axis=2)
+    keys = np.take_along_axis(keys, best[:, :, None], axis=1)
+    return bits.view("<u8").reshape(count, WIDE), keys.reshape(count, ENTRIES)
+
+
+def near_sets(values: np.ndarray, bits: int = NEAR) -> np.ndarray:
+    """For each of many values the first of its linked set: values link at `bits` differing bits or fewer."""
+    label, rest = np.arange(len(values)), np.arange(len(values))
+    # sets that hold much of the list, each reached from one of its members
+    before = 2 * len(rest)
+    while len(rest) > SHORT and len(rest) < before - before // 16:
+        before = len(rest)
+        for lead in rest[:: max(1, len(rest) // 8)][:8]:
+            left = np.flatnonzero(rest == lead)
+            front, rest = rest[left], np.delete(rest, left)
+            while len(front) and len(rest):
+                some, front = front[:64], front[64:]
+                near = np.bitwise_count(values[some][:, None] ^ values[rest]).min(axis=0) <= bits
+                label[rest[near]] = lead
+                front = np.append(front, rest[near])
+                rest = rest[~near]
+    # what remains, by strips
+    i, j, held = [np.arange(len(values))], [label], 0
+    for at in range(0, len(rest), 64):
+        some = rest[at : at + 64]
+        a, b = np.nonzero(np.bitwise_count(values[some][:, None] ^ values[rest[at:]]) <= bits)
+        i.append(some[a[a < b]])
+        j.append(rest[at:][b[a < b]])
+        held += len(i[-1])
+        if held > LINKS:
+            label = least_reached(len(values), np.concatenate(i), np.concatenate(j))
+            i, j, held = [np.arange(len(values))], [label], 0
+    return least_reached(len(values), np.concatenate(i), np.concatenate(j))
+
+
+def near_lists(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """For each value of lists that begin at `edges` the first of its linked set in its list."""
+    sizes = np.diff(edges)
+    start, size = np.repeat(edges[:-1], sizes), np.repeat(sizes, sizes)
+    i, j = [], []
+    left = np.flatnonzero((size > 1) & (size <= SHORT))
+    for apart in range(1, SHORT):
+        left = left[left + apart < start[left] + size[left]]
+        if not len(left):
+            break
+        near = left[np.bitwise_count(values[left] ^ values[left + apart]) <= NEAR]
+        i.append(near)
+        j.append(near + apart)
+    label = np.arange(len(values))
+    if i:
+        label = least_reached(len(values), np.concatenate(i), np.concatenate(j))
+    for nr in np.flatnonzero(sizes > SHORT):
+        own = slice(edges[nr], edges[nr + 1])
+        label[own] = edges[nr] + near_sets(values[own])
+    return label
+
+
+def similar(nodes: DataFrame) -> DataFrame:
+    """Links (u, v) between texts that the wide fingerprints show as similar, as stars; nodes: (node, keys,
+    words), a row each, with the columns of wide_entries as arrays. Whether they are is for the caller to decide."""
+    place = F.expr("shiftright(key, 16)")
+    # another word than that of the place, a different one for each place of a word
+    word = F.pmod(F.expr("shiftright(key, 18)") + 1 + F.pmod(place, F.lit(4)), F.lit(WIDE))
+    entries = nodes.select("node", "words", F.explode("keys").alias("key"))
+    entries = entries.select("key", "node", F.get("words", word).alias("word"))
+    # by node as well, so that the lists of a set of texts name the same least ones
+    lists = entries.repartition("key").sortWithinPartitions("key", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, edges in whole_groups(batches, ["key"]):
+            node = batch.column("node").to_numpy()
+            label = near_lists(batch.column("word").to_numpy().view(np.uint64), edges)
+            hit = np.flatnonzero(label != np.arange(len(label)))
+            yield pa.RecordBatch.from_arrays([pa.array(node[hit]), pa.array(node[label[hit]])], ["u", "v"])
+
+    stars = lists.mapInArrow(run, "u long, v long")
+    # a text has ENTRIES centres at most: all of them link to their least, and few links remain of a large set
+    centres = stars.groupBy("u").agg(F.collect_set("v").alias("centres"))
+    ends = F.explode(F.array_union(F.array("u"), "centres"))
+    return centres.select(ends.alias("u"), F.array_min("centres").alias("v")).where("u != v").distinct()
