@@ -8,7 +8,7 @@ import pytest
 
 from vitalgrid.llm import lm, queries
 from vitalgrid.llm.common import table
-from vitalgrid.llm.text import SPACED, Words
+from vitalgrid.llm.text import BASE, RUN, SPACED, Words, mixed, powers
 
 
 def test_probabilities_sum_to_one():
@@ -49,6 +49,110 @@ def test_training_steps_follow_the_gradient():
     assert any(abs(s) > 1e-6 for s in seen.values())
 
 
+def plain_log_softmax(x):
+    x = x - x.max(axis=1, keepdims=True)
+    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+
+
+def plain_train(weights, squares, tokens, around):
+    """One step of Adagrad, class after class, each with its own softmax and update."""
+
+    def move(target, past, gradient):
+        past += gradient * gradient
+        target -= lm.STEP * gradient / (np.sqrt(past) + lm.EPSILON)
+
+    n, kind, member = len(tokens), tokens // lm.MEMBERS, tokens % lm.MEMBERS
+    hidden = np.repeat(weights["hidden"][None, :], n, axis=0)
+    for place, near in enumerate(around):
+        hidden += weights["embed"][place][near]
+    hidden = np.tanh(hidden)
+    error = np.exp(plain_log_softmax(hidden @ weights["class_w"] + weights["class_b"]))
+    error[np.arange(n), kind] -= 1
+    error /= n
+    back = error @ weights["class_w"].T
+    steps = [("class_w", hidden.T @ error, ...), ("class_b", error.sum(axis=0), ...)]
+    for c in np.unique(kind):
+        rows = np.flatnonzero(kind == c)
+        error = np.exp(plain_log_softmax(hidden[rows] @ weights["word_w"][c] + weights["word_b"][c]))
+        error[np.arange(len(rows)), member[rows]] -= 1
+        error /= n
+        back[rows] += error @ weights["word_w"][c].T
+        steps += [("word_w", hidden[rows].T @ error, c), ("word_b", error.sum(axis=0), c)]
+    back *= 1 - hidden * hidden
+    steps.append(("hidden", back.sum(axis=0), ...))
+    for place, near in enumerate(around):
+        sums = [np.bincount(near, column.astype(float), lm.SIZE + 1) for column in back.T]
+        steps.append(("embed", np.stack(sums, axis=1).astype(np.float32), place))
+    for name, gradient, where in steps:
+        move(weights[name][where], squares[name][where], gradient)
+
+
+def trained(step, tokens, around):
+    """Weights and squares after some steps from the same start."""
+    weights = lm.initial()
+    squares = {k: np.zeros_like(v) for k, v in weights.items()}
+    for _ in range(5):
+        step(weights, squares, tokens, around)
+    return np.concatenate((lm.flat(weights), lm.flat(squares)))
+
+
+@pytest.mark.parametrize("n", [1, 3, 128, lm.BATCH])
+def test_a_training_step_equals_one_class_after_the_other(n, monkeypatch):
+    monkeypatch.setattr(lm, "STEPS", 1)  # one step over all tokens
+    tokens = np.minimum(np.random.default_rng(n).zipf(1.3, n), lm.SIZE) - 1
+    around = lm.contexts(tokens, np.array([0, n // 2, n]))
+    assert np.allclose(trained(lm.train_on, tokens, around), trained(plain_train, tokens, around), rtol=1e-4, atol=1e-6)
+
+
+def test_softmaxes_of_a_batch_cover_all_its_classes_at_once(monkeypatch):
+    """A batch of every class takes as many exponentials and square roots as a batch of one."""
+    calls = []
+    for name in ("exp", "sqrt"):
+        plain = getattr(np, name)
+        monkeypatch.setattr(lm.np, name, lambda *a, plain=plain, **k: calls.append(1) or plain(*a, **k))
+
+    def count(tokens):
+        calls.clear()
+        around = lm.contexts(tokens, np.array([0, len(tokens)]))
+        trained(lm.train_on, tokens, around)
+        lm.log_probabilities(lm.initial(), tokens, around)
+        return len(calls)
+
+    assert count(np.arange(100) * 10) == count(np.arange(100) % lm.MEMBERS)
+
+
+def test_contexts_of_random_texts():
+    rng = np.random.default_rng(6)
+    for _ in range(50):
+        lengths = rng.integers(0, 5, rng.integers(1, 8))
+        first = np.concatenate(([0], np.cumsum(lengths)))
+        tokens = rng.integers(0, lm.SIZE, first[-1])
+        plain = []
+        for a, b in zip(first, first[1:]):
+            plain += [[int(tokens[i + o]) if a <= i + o < b else lm.PAD for o in lm.PLACES] for i in range(a, b)]
+        assert lm.contexts(tokens, first).T.tolist() == plain
+
+
+def test_hashes_of_words_are_those_of_their_bytes_anywhere():
+    """Words around the ends of the runs that the powers of the hash are taken in."""
+    texts = [" " * pad + "straße x" + " y" * 3000 + " straße" for pad in (0, 1, 4089, 4090, 4095, 4096, 8187)]
+    texts += ["a" * 4095 + " b", "a" * 4096 + " b", "a" * 4097 + " b", "a" * 9000, ""]
+
+    def plain(word):
+        base, total = int(BASE), 0
+        for i, byte in enumerate(word.encode()):
+            total += (byte + 1) * pow(base, i, 1 << 64)
+        total = total * pow(base, -len(word.encode()), 1 << 64) % (1 << 64)
+        return int(mixed(np.array([total], np.uint64))[0])
+
+    low, high = powers(BASE, 3 * RUN)
+    for i in (0, 1, RUN - 1, RUN, 2 * RUN + 5, 3 * RUN):
+        assert int(low[i % RUN]) * int(high[i // RUN]) % (1 << 64) == pow(int(BASE), i, 1 << 64)
+    for some in (texts, texts[:1], texts[-1:]):
+        expected = [plain(w) for text in some for w in text.split()]
+        assert Words(pa.array(some), SPACED).hashes().tolist() == expected
+
+
 def test_order_of_words_matters(frame):
     rng = random.Random(2)
     chain = {w: [f"w{(i * 7 + k) % 30}" for k in range(2)] for i, w in enumerate(f"w{i}" for i in range(30))}

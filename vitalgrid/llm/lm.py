@@ -89,34 +89,60 @@ def token_ids(hashes: np.ndarray, vocabulary: np.ndarray, rank: np.ndarray) -> n
 
 def contexts(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
     """The tokens around each token (rows: PLACES), PAD beyond its text; first: where texts begin."""
-    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    at = np.arange(len(tokens))
-    found = np.full((len(PLACES), len(tokens)), PAD, np.int64)
+    found = np.full((len(PLACES), len(tokens)), PAD, tokens.dtype)
     for i, offset in enumerate(PLACES):
-        there = at + offset
-        inside = (there >= first[text]) & (there < first[text + 1])
-        found[i, inside] = tokens[there[inside]]
+        if offset < 0:
+            found[i, -offset:] = tokens[:offset]
+        else:
+            found[i, :-offset] = tokens[offset:]
+        # the shift crossed the edges of texts: what lies within its reach of them has no neighbour
+        for k in range(abs(offset)):
+            edge = first + k if offset < 0 else first - 1 - k
+            found[i, edge[(edge >= 0) & (edge < len(tokens))]] = PAD
     return found
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _lowered(x: np.ndarray) -> np.ndarray:
+    """Takes from each row its maximum, in place; numpy is slow along short rows, so these are turned."""
+    x -= np.ascontiguousarray(x.T).max(axis=0)[:, None]
+    return x
+
+
+def _softmax(x: np.ndarray) -> np.ndarray:
+    """The softmax of each row, in place."""
+    _lowered(x)
+    x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
+    return np.exp(x, out=x)
+
+
+def _log_softmax_at(x: np.ndarray, column: np.ndarray) -> np.ndarray:
+    """The logarithm of each row's softmax at one column; changes x."""
+    _lowered(x)
+    own = x[np.arange(len(x)), column]
+    return own - np.log(np.exp(x, out=x).sum(axis=1))
 
 
 def _hidden(weights: Weights, around: np.ndarray) -> np.ndarray:
     total = np.repeat(weights["hidden"][None, :], around.shape[1], axis=0)
     for i in range(len(PLACES)):
-        total += weights["embed"][i][around[i]]
-    return np.tanh(total)
+        total += weights["embed"][i].take(around[i], axis=0)
+    return np.tanh(total, out=total)
 
 
-def _members(kind: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(kind, kind="stable")
-    edges = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
-        if edges[c] < edges[c + 1]:
-            yield c, order[edges[c] : edges[c + 1]]
+def _by_class(kind: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """The order of rows by class, and (class, first, end) of the rows of each class found in it."""
+    order = np.argsort(kind.astype(np.uint8), kind="stable")  # small integers: a radix sort
+    edges = np.concatenate(([0], np.cumsum(np.bincount(kind, minlength=CLASSES)))).tolist()
+    return order, [(c, a, b) for c, (a, b) in enumerate(zip(edges, edges[1:])) if a < b]
+
+
+def _in_class(weights: Weights, hidden: np.ndarray, groups: list[tuple[int, int, int]]) -> np.ndarray:
+    """Inputs of the second softmax, of rows in the order of their classes."""
+    found = np.empty((len(hidden), MEMBERS), hidden.dtype)
+    for c, a, b in groups:
+        np.matmul(hidden[a:b], weights["word_w"][c], out=found[a:b])
+        found[a:b] += weights["word_b"][c]
+    return found
 
 
 def log_probabilities(weights: Weights, tokens: np.ndarray, around: np.ndarray) -> np.ndarray:
@@ -125,10 +151,10 @@ def log_probabilities(weights: Weights, tokens: np.ndarray, around: np.ndarray)
     for at in range(0, len(tokens), BATCH):
         own, near = tokens[at : at + BATCH], around[:, at : at + BATCH]
         hidden, kind, member = _hidden(weights, near), own // MEMBERS, own % MEMBERS
-        logs = _log_softmax(hidden @ weights["class_w"] + weights["class_b"])[np.arange(len(own)), kind]
-        for c, rows in _members(kind):
-            words = _log_softmax(hidden[rows] @ weights["word_w"][c] + weights["word_b"][c])
-            logs[rows] += words[np.arange(len(rows)), member[rows]]
+        logs = _log_softmax_at(hidden @ weights["class_w"] + weights["class_b"], kind)
+        order, groups = _by_class(kind)
+        words = _in_class(weights, hidden.take(order, axis=0), groups)
+        logs[order] += _log_softmax_at(words, member[order])
         found[at : at + BATCH] = logs
     return found
 
@@ -136,37 +162,41 @@ def log_probabilities(weights: Weights, tokens: np.ndarray, around: np.ndarray)
 def train_on(weights: Weights, squares: Weights, tokens: np.ndarray, around: np.ndarray) -> None:
     """One pass of Adagrad over the tokens, changing the weights and the sums of squared gradients."""
 
-    def move(name: str, gradient: np.ndarray, where: int | None = None) -> None:
-        target = weights[name] if where is None else weights[name][where]
-        past = squares[name] if where is None else squares[name][where]
-        past += gradient * gradient
-        target -= STEP * gradient / (np.sqrt(past) + EPSILON)
+    def move(name: str, gradient: np.ndarray) -> None:
+        squares[name] += gradient * gradient
+        weights[name] -= STEP * gradient / (np.sqrt(squares[name]) + EPSILON)
 
     size = min(BATCH, max(MIN_BATCH, len(tokens) // STEPS))
     for at in range(0, len(tokens), size):
         own, near = tokens[at : at + size], around[:, at : at + size]
         n = len(own)
         hidden, kind, member = _hidden(weights, near), own // MEMBERS, own % MEMBERS
-        error = np.exp(_log_softmax(hidden @ weights["class_w"] + weights["class_b"]))
+        error = _softmax(hidden @ weights["class_w"] + weights["class_b"])
         error[np.arange(n), kind] -= 1
         error /= n
         back = error @ weights["class_w"].T
-        steps = [("class_w", hidden.T @ error, None), ("class_b", error.sum(axis=0), None)]
-        for c, rows in _members(kind):
-            mine = hidden[rows]
-            error = np.exp(_log_softmax(mine @ weights["word_w"][c] + weights["word_b"][c]))
-            error[np.arange(len(rows)), member[rows]] -= 1
-            error /= n
-            back[rows] += error @ weights["word_w"][c].T
-            steps += [("word_w", mine.T @ error, c), ("word_b", error.sum(axis=0), c)]
+        steps = {k: np.zeros_like(v) for k, v in weights.items()}
+        steps["class_w"], steps["class_b"] = hidden.T @ error, error.sum(axis=0)
+        # the rows in the order of their classes, so that only the products go class by class
+        order, groups = _by_class(kind)
+        mine = hidden.take(order, axis=0)
+        error = _softmax(_in_class(weights, mine, groups))
+        error[np.arange(n), member[order]] -= 1
+        error /= n
+        backs = np.empty_like(back)
+        for c, a, b in groups:
+            np.matmul(error[a:b], weights["word_w"][c].T, out=backs[a:b])
+            steps["word_w"][c], steps["word_b"][c] = mine[a:b].T @ error[a:b], error[a:b].sum(axis=0)
+        back[order] += backs
         back *= 1 - hidden * hidden
-        steps.append(("hidden", back.sum(axis=0), None))
+        steps["hidden"] = back.sum(axis=0)
         columns = np.ascontiguousarray(back.T, np.float64)
         for i in range(len(PLACES)):
-            sums = [np.bincount(near[i], column, SIZE + 1) for column in columns]
-            steps.append(("embed", np.stack(sums, axis=1).astype(np.float32), i))
-        for step in steps:
-            move(*step)
+            place = near[i].astype(np.int64)
+            for k, column in enumerate(columns):
+                steps["embed"][i][:, k] = np.bincount(place, column, SIZE + 1)
+        for name, gradient in steps.items():
+            move(name, gradient)
 
 
 def batches_of(batches: Iterator[pa.RecordBatch], vocabulary: np.ndarray, rank: np.ndarray) -> Iterator:
@@ -290,7 +320,10 @@ def scored(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text
             # each distinct word of a text that shares a bucket, and how often it is there
             text = (np.searchsorted(first, rare, "right") - 1).astype(np.int64)
             own = hashes[rare]
-            order = np.lexsort((own, text))
+            # by text, then word; equal words of a text are alike, so only the sort by text need be stable
+            order = np.argsort(own)
+            small = np.uint16 if len(first) <= 1 << 16 else np.int64  # short integers: a radix sort
+            order = order[np.argsort(text[order].astype(small), kind="stable")]
             text, own = text[order], own[order]
             new = np.ones(len(own), bool)
             new[1:] = (own[1:] != own[:-1]) | (text[1:] != text[:-1])

@@ -77,21 +77,35 @@ class Words:
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word's bytes (polynomial, then mixed); equal words agree anywhere."""
         n = len(self.data)
-        powers = np.full(n, BASE, np.uint64)
-        if n:
-            powers[0] = 1
-        powers = np.multiply.accumulate(powers)
+        low, high = powers(BASE, n)
         total = np.zeros(n + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * powers, out=total[1:])
+        terms = total[1:]
+        np.add(self.data, 1, out=terms, dtype=np.uint64)
+        whole = n // RUN * RUN
+        runs = terms[:whole].reshape(-1, RUN)
+        runs *= low
+        runs *= high[: len(runs), None]
+        terms[whole:] *= low[: n - whole] * high[-1]
+        np.cumsum(terms, out=terms)
         # dividing by the power at the word's end makes the hash independent of its place
-        inverse = np.full(n + 1, INVERSE, np.uint64)
-        inverse[0] = 1
-        inverse = np.multiply.accumulate(inverse)
-        return mixed((total[self.ends] - total[self.starts]) * inverse[self.ends])
+        low, high = powers(INVERSE, n)
+        inverse = low[self.ends % RUN] * high[self.ends // RUN]
+        return mixed((total[self.ends] - total[self.starts]) * inverse)
 
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+RUN = 4096
+
+
+def powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two short tables: low[i % RUN] * high[i // RUN] is base to the power of i, for i up to n."""
+    low = np.full(RUN + 1, base, np.uint64)
+    low[0] = 1
+    low = np.multiply.accumulate(low)
+    high = np.full(n // RUN + 1, low[RUN], np.uint64)
+    high[0] = 1
+    return low[:RUN], np.multiply.accumulate(high)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
